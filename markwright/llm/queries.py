@@ -6,15 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from markwright.llm import decontamination, mixing
 from markwright.llm.common import table
+from markwright.llm.decontamination import find_items
+from markwright.llm.fingerprints import fingerprints
+from markwright.llm.mixing import mix_sources
 from markwright.llm.near_dedup import near_duplicates
+from markwright.llm.repeats import digests, remove_repeats
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op6_benchmark_decontamination": decontamination.ORACLE,
+    "op8_source_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
