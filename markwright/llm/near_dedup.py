@@ -36,34 +36,41 @@ SAMPLE = ROWS * BANDS
 #: the deviation 4.2) give at most 92 flips.
 MOST_BITS = 92
 
-_seeds = mix(np.arange(1, 2 * SAMPLE + 1, dtype=np.uint64))
-_times = (_seeds[:SAMPLE] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_plus = (_seeds[SAMPLE:] >> np.uint64(32)).astype(np.uint32)
-_salts = mix(np.arange(1000, 1000 + SAMPLE, dtype=np.uint64))
+#: The same for a finer sketch, made only for members of buckets that fall into several components: 271 places of 1024
+#: (mean 204.8, deviation 12.8).
+FINE_SAMPLE, FINE_BITS, FINE_MOST = 1024, 4096, 491
+
+_seeds = mix(np.arange(1, 2 * FINE_SAMPLE + 1, dtype=np.uint64))
+_times = (_seeds[:FINE_SAMPLE] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_plus = (_seeds[FINE_SAMPLE:] >> np.uint64(32)).astype(np.uint32)
+_salts = mix(np.arange(5000, 5000 + FINE_SAMPLE, dtype=np.uint64))
 
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The MinHash sample of one non-empty set of shingle hashes."""
+def minima(shingles: np.ndarray, size: int = SAMPLE) -> np.ndarray:
+    """The MinHash sample of one set of shingle hashes; zeros for an empty set."""
+    if not len(shingles):
+        return np.zeros(size, dtype=np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(SAMPLE, 0xFFFFFFFF, dtype=np.uint32)
-    for lo in range(0, len(x), 1024):
-        np.minimum(best, (_times[:, None] * x[None, lo : lo + 1024] + _plus[:, None]).min(axis=1), out=best)
+    best = np.full(size, 0xFFFFFFFF, dtype=np.uint32)
+    step = max(1, 131072 // size)
+    for lo in range(0, len(x), step):
+        np.minimum(best, (_times[:size, None] * x[None, lo : lo + step] + _plus[:size, None]).min(axis=1), out=best)
     return best
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """One parity bitmap of SKETCH_BITS, as 64-bit words, for each row of minima."""
+def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """One parity bitmap, as 64-bit words, for each row of minima."""
     n = len(samples)
-    bit = (mix(samples.astype(np.uint64) + _salts) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    flips = np.bincount((bit + np.arange(n)[:, None] * SKETCH_BITS).reshape(-1), minlength=n * SKETCH_BITS)
-    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(n, SKETCH_BITS // 64)
+    bit = (mix(samples.astype(np.uint64) + _salts[: samples.shape[1]]) >> np.uint64(40)).astype(np.int64) % bits
+    flips = np.bincount((bit + np.arange(n)[:, None] * bits).reshape(-1), minlength=n * bits)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(n, bits // 64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each row of minima."""
-    parts = (samples.astype(np.uint64) * _salts).reshape(len(samples), BANDS, ROWS)
+    parts = (samples.astype(np.uint64) * (_salts[:SAMPLE] | np.uint64(1))).reshape(len(samples), BANDS, ROWS)
     return mix(mix(parts).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
@@ -74,7 +81,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in text_pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
-                samples = np.stack([minima(s) if len(s) else np.zeros(SAMPLE, dtype=np.uint32) for s in sets])
+                samples = np.stack([minima(s) for s in sets])
                 digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), list_array(odd_sketches(samples)), list_array(band_keys(samples))],
@@ -84,17 +91,18 @@ def features(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, FEATURES)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles binary) of the documents whose doc_id is in ids: the sorted shingle hashes."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, fine: bool = False) -> DataFrame:
+    """(doc_id, shingles binary, fine) of the documents whose doc_id is in ids: the sorted shingle hashes, the fine sketch or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+                maps = list_array(odd_sketches(np.stack([minima(s, FINE_SAMPLE) for s in sets]), FINE_BITS)) if fine else pa.nulls(hi - lo, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()), maps], ["doc_id", "shingles", "fine"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id long, shingles binary")
+    return chosen.mapInArrow(run, "doc_id long, shingles binary, fine array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,8 +128,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _apart(x: str, y: str) -> str:
-    return " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SKETCH_BITS // 64))
+def _apart(x: str, y: str, bits: int = SKETCH_BITS) -> str:
+    return " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(bits // 64))
 
 
 def _near(x: str, y: str, percent: int) -> F.Column:
@@ -150,8 +158,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent)).select("a", "b")
 
     tried = cut(near(members.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))))
-    ids = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
-    ids = cut(ids)
+    ids = cut(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct())
     sets = cut(full_sets(docs, small(ids), k).dropDuplicates(["doc_id"]))
     links = cut(confirmed(tried, sets, percent))
     labels = components(links)
@@ -162,14 +169,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = members.where("size > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = placed.join(known.select(F.col("doc_id").alias("centre"), F.col("component").alias("hub")), "centre", "left").withColumn("hub", F.coalesce("hub", "centre"))
     mixed = placed.groupBy("key").agg(F.count_if(F.col("component") != F.col("hub")).alias("others")).where("others > 0").select("key")
-    placed = cut(placed.join(mixed, "key").join(light, "doc_id").select("key", "doc_id", "centre", "component", "hub", F.col("n"), "sketch"))
-    x = placed.where("component <> hub").select("key", F.col("doc_id").alias("a"), F.col("component").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
-    y = placed.where("doc_id <> centre").select("key", F.col("doc_id").alias("b"), F.col("component").alias("b_c"), "hub", F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
-    rest = x.join(y, "key").where("a_c <> b_c AND (b_c = hub OR a < b)").where(_near("a", "b", percent))
+    placed = cut(placed.join(mixed, "key").join(light, "doc_id").select("key", "doc_id", "centre", "component", "hub", "n", "sketch"))
+    ids = cut(placed.select("doc_id").distinct())
+    sets = cut(full_sets(docs, small(ids), k, fine=True).dropDuplicates(["doc_id"]))
+    placed = cut(placed.join(sets.select("doc_id", "fine"), "doc_id"))
+    x = placed.where("component <> hub").select("key", F.col("doc_id").alias("a"), F.col("component").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("fine").alias("a_fine"))
+    y = placed.where("doc_id <> centre").select("key", F.col("doc_id").alias("b"), F.col("component").alias("b_c"), "hub", F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"), F.col("fine").alias("b_fine"))
+    rest = x.join(y, "key").where("a_c <> b_c AND (b_c = hub OR a < b)").where(_near("a", "b", percent)).where(f"{_apart('a_fine', 'b_fine', FINE_BITS)} <= {FINE_MOST}")
     rest = cut(rest.select("a", "b").distinct())
     if not rest.isEmpty():
-        ids = cut(rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct())
-        sets = cut(full_sets(docs, small(ids), k).dropDuplicates(["doc_id"]))
         links = cut(links.union(confirmed(rest, sets, percent)))
         labels = components(links)
 
