@@ -5,22 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from markwright.llm import decontamination, mixing
+from markwright.llm import chat_format, decontamination, language, mixing, pii, quality, url_filters
 from markwright.llm.common import table
-from markwright.llm.decontamination import find_items
 from markwright.llm.fingerprints import fingerprints
-from markwright.llm.mixing import mix_sources
 from markwright.llm.near_dedup import near_duplicates
 from markwright.llm.repeats import digests, remove_repeats
 
+#: What both turns of conversation -1 say: control strings of the template.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(tricky)
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counts_and_digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(url_filters.html_outcomes(table(spark, sf_dir, "pages")))
+
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +49,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +62,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_document_fingerprints": op5_document_fingerprints,
-    "op6_benchmark_decontamination": op6_benchmark_decontamination,
-    "op7_minhash_near_dedup": op7_minhash_near_dedup,
-    "op8_source_mixing": op8_source_mixing,
-    "op10_suffix_array_dedup": op10_suffix_array_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_language_id, op3_pii, op4_url_filters, op5_document_fingerprints,
+        op6_benchmark_decontamination, op7_minhash_near_dedup, op8_source_mixing, op9_quality_classifier, op10_suffix_array_dedup,
+    )
+}
 ORACLES: dict[str, str] = {
+    "op4_url_filters": url_filters.ORACLE,
     "op6_benchmark_decontamination": decontamination.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }
