@@ -144,10 +144,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = cut(found.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = found.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = cut(reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch", "bands"))
-    light = reps.select("doc_id", "n", "sketch")
+    light = reps.select("doc_id", "n", "sketch", "bands")
 
     # Buckets with more than one member; the centre is the smallest member.
-    members = reps.select("doc_id", F.explode("bands").alias("key"))
+    members = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(buckets, "key"))
 
@@ -169,13 +169,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = members.where("size > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = placed.join(known.select(F.col("doc_id").alias("centre"), F.col("component").alias("hub")), "centre", "left").withColumn("hub", F.coalesce("hub", "centre"))
     mixed = placed.groupBy("key").agg(F.count_if(F.col("component") != F.col("hub")).alias("others")).where("others > 0").select("key")
-    placed = cut(placed.join(mixed, "key").join(light, "doc_id").select("key", "doc_id", "centre", "component", "hub", "n", "sketch"))
+    placed = cut(placed.join(mixed, "key").join(light, "doc_id").select("key", "band", "doc_id", "centre", "component", "hub", "n", "sketch", "bands"))
     ids = cut(placed.select("doc_id").distinct())
     sets = cut(full_sets(docs, small(ids), k, fine=True).dropDuplicates(["doc_id"]))
     placed = cut(placed.join(sets.select("doc_id", "fine"), "doc_id"))
-    x = placed.where("component <> hub").select("key", F.col("doc_id").alias("a"), F.col("component").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("fine").alias("a_fine"))
-    y = placed.where("doc_id <> centre").select("key", F.col("doc_id").alias("b"), F.col("component").alias("b_c"), "hub", F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"), F.col("fine").alias("b_fine"))
-    rest = x.join(y, "key").where("a_c <> b_c AND (b_c = hub OR a < b)").where(_near("a", "b", percent)).where(f"{_apart('a_fine', 'b_fine', FINE_BITS)} <= {FINE_MOST}")
+    x = placed.where("component <> hub").select("key", F.col("doc_id").alias("a"), F.col("component").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("fine").alias("a_fine"), F.col("bands").alias("a_bands"), "band")
+    y = placed.where("doc_id <> centre").select("key", F.col("doc_id").alias("b"), F.col("component").alias("b_c"), "hub", F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"), F.col("fine").alias("b_fine"), F.col("bands").alias("b_bands"))
+    # A pair is compared in the first band that it shares, and only there.
+    first = "CASE " + " ".join(f"WHEN a_bands[{i}] = b_bands[{i}] THEN {i}" for i in range(BANDS)) + " END"
+    apart = f"{_apart('a_fine', 'b_fine', FINE_BITS)} <= {FINE_MOST}"
+    rest = x.join(y, "key").where("a_c <> b_c AND (b_c = hub OR a < b)").where(_near("a", "b", percent)).where(f"{first} = band AND {apart}")
     rest = cut(rest.select("a", "b").distinct())
     if not rest.isEmpty():
         links = cut(links.union(confirmed(rest, sets, percent)))
