@@ -1 +1 @@
-"""."""
+"""Derived views, registered queries and their oracles."""
