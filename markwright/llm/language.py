@@ -72,15 +72,16 @@ def drawn(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), "lang").mapInArrow(run, "doc_id long, lang string, places array<int>")
 
 
-def train(places: np.ndarray, label: np.ndarray, n_labels: int, seed: int = 11, passes: int = 6, batch: int = 64, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+def train(places: np.ndarray, label: np.ndarray, n_labels: int, seed: int = 11, steps: int = 300, batch: int = 64, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
     """A row of class scores for each table place, and the bias: the product of the two linear layers."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (TABLE, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, n_labels)).astype(np.float32)
     bias = np.zeros(n_labels, dtype=np.float32)
+    passes = max(6, -(-steps * batch // len(label)))
     for turn in range(passes):
         order = rng.permutation(len(label))
-        step = rate / (1 + turn)
+        step = rate * (1 - turn / passes)
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
             x = embed[places[rows]].mean(axis=1)

@@ -35,7 +35,7 @@ filled AS (
     sum(size) OVER () AS all_sizes
   FROM capped),
 levels AS (SELECT *, ({share} * all_sizes - below) / open_weight AS level FROM filled),
-chosen AS (SELECT min(CASE WHEN level <= fill THEN level END) AS level FROM levels),
+chosen AS (SELECT max(CASE WHEN level <= fill THEN level END) AS level FROM levels),
 targets AS (SELECT source, size AS source_size,
     CASE WHEN chosen.level IS NULL OR cap <= weight * chosen.level THEN cap ELSE weight * chosen.level END AS target
   FROM capped, chosen)
@@ -45,8 +45,8 @@ targets AS (SELECT source, size AS source_size,
 def targets_sql(weights: tuple[float, ...], share: float, cap: float) -> str:
     """CTEs that end in `targets`: shares by weight, held at cap times a source's size, the excess reshared by weight.
 
-    Sorted by the level at which a source is full, the sources that stay open are a suffix; the level is the first one
-    at which the rest of the words, shared by weight among the open sources, fills none of them.
+    Sorted by the level at which a source is full, the sources that stay open are a suffix; the level is the first, and
+    so the greatest, at which the rest of the words, shared by weight among the open sources, fills none of them.
     """
     cases = " ".join(f"WHEN {i} THEN CAST({float(w)} AS DOUBLE)" for i, w in enumerate(weights))
     return TARGETS_SQL.format(n=len(weights), cases=cases, share=f"CAST({float(share)} AS DOUBLE)", cap=f"CAST({float(cap)} AS DOUBLE)")
