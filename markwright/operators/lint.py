@@ -7,13 +7,14 @@ the rules.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markwright.functions import chars as C
-from markwright.functions.text import split_lines, trim_space
+from markwright.functions.text import split_lines
 
 FINDING = "array<struct<check:string,line_no:int,detail:string>>"
 
@@ -31,22 +32,27 @@ def _found(check: str, lines: Column, hit: Callable[[Column], Column]) -> Column
 
 def choice_hyphen(lines: Column) -> Column:
     """Answer ranges written with an ASCII hyphen."""
-    return _found("choice_hyphen", lines, lambda x: trim_space(x).rlike(rf"\A{C.CHOICE_HYPHEN}"))
+    return _found("choice_hyphen", lines, lambda x: x.rlike(rf"\A{C.S}*{C.CHOICE_HYPHEN}"))
 
 
 def choice_spacing(lines: Column) -> Column:
     """Options separated by white space after the head of an answer range."""
-    return _found("choice_spacing", lines, lambda x: trim_space(x).rlike(rf"\A{C.CHOICE_HEAD}") & F.regexp_replace(trim_space(x), rf"\A{C.CHOICE_HEAD}{C.S}*", "").rlike(C.CHOICE_GAP))
+    return _found("choice_spacing", lines, lambda x: x.rlike(rf"\A{C.S}*{C.CHOICE_HEAD}") & F.regexp_replace(x, rf"\A{C.S}*{C.CHOICE_HEAD}{C.S}*", "").rlike(C.CHOICE_GAP))
 
 
 def orphan_lead(lines: Column) -> Column:
     """A question number alone on its line although the next non-blank line starts its first sub-question.
 
-    The next non-blank line is found by its place among the non-blank lines, which costs one search for each number.
+    The non-blank lines are paired with the ones after them in one pass.
     """
-    solid = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].rlike(rf"[^{C.SPACE}]"))
-    leads = F.transform(solid, lambda p, j: F.when(p["x"].rlike(rf"\A{C.LEAD_ONLY}\z") & F.coalesce(F.get(solid, j + 1)["x"].rlike(rf"\A{C.SUB_QUESTION}"), F.lit(False)), F.struct(F.lit("orphan_lead").alias("check"), (p["i"] + 1).cast("int").alias("line_no"), p["x"].alias("detail"))))
-    return F.array_compact(leads)
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    solid = F.filter(numbered, lambda p: p["x"].rlike(rf"[^{C.SPACE}]"))
+
+    def lead(p: Column, after: Column) -> Column:
+        starts = p["x"].rlike(rf"\A{C.LEAD_ONLY}\z") & after["x"].rlike(rf"\A{C.SUB_QUESTION}")
+        return F.when(starts, F.struct(F.lit("orphan_lead").alias("check"), (p["i"] + 1).cast("int").alias("line_no"), p["x"].alias("detail")))
+
+    return F.array_compact(F.zip_with(solid, F.slice(solid, F.lit(2), F.greatest(F.size(solid), F.lit(1))), lead))
 
 
 def backtick_math(lines: Column) -> Column:
@@ -57,14 +63,10 @@ def backtick_math(lines: Column) -> Column:
 def long_lines(lines: Column, limit: Column) -> Column:
     """Plain-text lines with more CJK characters than the limit."""
 
-    def plain(x: Column) -> Column:
-        t = trim_space(x)
-        special = F.lit(False)
-        for start in C.NOT_PLAIN_START:
-            special = special | t.startswith(start)
-        return (t != "") & ~special & ~t.contains("$$") & ~t.rlike(r"[=\\]")
-
-    return _found("long_line", lines, lambda x: plain(x) & (F.regexp_count(x, F.lit(C.CJK)) > limit))
+    starts = "|".join(map(re.escape, C.NOT_PLAIN_START))
+    special = rf"\A{C.S}*(?:{starts}|\z)|\$\$|[=\\]"
+    # The count comes first: few lines need the other tests.
+    return _found("long_line", lines, lambda x: (F.regexp_count(x, F.lit(C.CJK)) > limit) & ~x.rlike(special))
 
 
 def unbalanced_dollar(text: Column) -> Column:

@@ -34,11 +34,11 @@ def apply_severity(findings: DataFrame, applicable: DataFrame) -> DataFrame:
     Raw HTML is always an error and a long line always a warning. The rules are few and go to every task.
     """
     governed = F.create_map(*(F.lit(x) for pair in GOVERNS.items() for x in pair))
-    ruled = findings.withColumn("check_name", F.try_element_at(governed, F.col("check"))).join(F.broadcast(applicable), ["pack_id", "check_name"])
-    ruled = ruled.select(*findings.columns, F.col("id").alias("rule_id"), F.when(F.col("severity") == "hard", "error").otherwise("warning").alias("level"))
-    free = findings.where(F.col("check").isin("raw_html", "long_line"))
-    free = free.select(*findings.columns, F.lit(None).cast("string").alias("rule_id"), F.when(F.col("check") == "raw_html", "error").otherwise("warning").alias("level"))
-    return ruled.unionByName(free)
+    named = findings.withColumn("check_name", F.try_element_at(governed, F.col("check")))
+    joined = named.join(F.broadcast(applicable.withColumnRenamed("id", "rule_id")), ["pack_id", "check_name"], "left")
+    free = F.col("check").isin("raw_html", "long_line")
+    level = F.when(F.col("check") == "raw_html", "error").when(free, "warning").when(F.col("severity") == "hard", "error").otherwise("warning")
+    return joined.where(free | F.col("rule_id").isNotNull()).select(*findings.columns, "rule_id", level.alias("level"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
