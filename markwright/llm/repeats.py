@@ -34,7 +34,7 @@ from markwright.llm.vectors import PIECE, mix, powers, prefix_hash, sub_hash, te
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1
 #: Bytes of text after which a task reduces what it has and passes it on.
-FLUSH = 48 << 20
+FLUSH = 24 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
