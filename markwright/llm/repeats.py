@@ -10,10 +10,11 @@ of a whole corpus, so they are dealt out:
    anchor, after each task has reduced equal ones to the smallest document. Contexts that an earlier document holds
    whole are covered. Where an anchor has several contexts in several documents, its windows must be looked at.
 2. Those windows, on average a few in a hundred of the corpus, are sorted as suffixes within blocks of documents, cut
-   at 50 bytes; previous and next smaller documents in that order give the covered ones and one earliest window each.
-3. The earliest windows of all blocks are dealt by their hash and ordered again, the same way.
+   at 50 bytes; previous and next smaller documents in that order give the covered ones and the smallest document of each.
+3. Each block's distinct windows, with that document, are dealt by their hash and ordered again, the same way.
 
-Each document's covered runs are then joined, and removed in one pass.
+Answers name windows by their hash, not by place, so that they hold at every place of a window in its document. Each
+document's covered runs are then joined, and removed in one pass.
 
 Defined cases: a null text is an empty one; texts under 50 bytes stay as they are; rows that repeat a doc_id don't
 cover each other, and each is judged by itself; extra columns are ignored; an empty table gives an empty result.
@@ -214,8 +215,9 @@ def compare_anchors(dealt: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, DEALT)
 
 
-WINDOWS = "bucket int, doc_id long, key binary, doc binary, place binary"
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("doc", pa.binary()), ("place", pa.binary())])
+#: With doc_id: hashes of windows of that document that are covered; else hashes to compare and the smallest document of each.
+WINDOWS = "bucket int, doc_id long, key binary, doc binary"
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("doc", pa.binary())])
 
 
 def _listed(anchor: pa.Scalar, context: pa.Scalar) -> np.ndarray | None:
@@ -230,11 +232,22 @@ def _contexts(text: np.ndarray) -> Iterator[tuple[np.ndarray, int, tuple[np.ndar
         yield part, int(origin[0, 1]), anchors(part, ends)[1:]
 
 
+def window_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One hash of the window at each of these places, from its own bytes."""
+    key = np.zeros(len(at), dtype=np.uint64)
+    for lo in range(0, len(at), PIECE):
+        words = np.zeros((len(at[lo : lo + PIECE]), 56), dtype=np.uint8)
+        words[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at[lo : lo + PIECE]]
+        for i, w in enumerate(words.view(np.uint64).T):
+            key[lo : lo + PIECE] = mix(key[lo : lo + PIECE] + w + np.uint64(i + 1))
+    return key
+
+
 def deal_windows(joined: DataFrame, buckets: int) -> DataFrame:
-    """The windows to look into: those an earlier document of the task covers, as places, and the earliest of each, by hash."""
+    """The windows to look into, by hash: those an earlier document of the task covers, and each with its smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -242,28 +255,26 @@ def deal_windows(joined: DataFrame, buckets: int) -> DataFrame:
             data = np.concatenate([x[0] for x in held])
             at = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
             doc = np.concatenate([x[2] for x in held])
-            place = np.concatenate([x[3] for x in held])
             held.clear()
             order, runs = suffix_order(data, at, doc)
             covered, earliest = later_copies(order, doc, runs)
-            order = np.flatnonzero(covered)
-            order = order[np.argsort(doc[order], kind="stable")]
-            runs = _split(doc[order])
+            key = window_keys(data, at[earliest])
+            run = np.repeat(np.arange(len(earliest)), np.diff(runs))
+            ordered = doc[order]
+            new = np.append(True, (run[1:] != run[:-1]) | (ordered[1:] != ordered[:-1]))
+            chosen = np.flatnonzero(covered[order] & new)
+            chosen = chosen[np.argsort(ordered[chosen], kind="stable")]
+            copies, owner = key[run[chosen]], ordered[chosen]
+            runs = _split(owner)
             runs = list(zip(runs[:-1], runs[1:], strict=True))
             if runs:
-                yield _batch([[int(doc[order[a]] % buckets) for a, _ in runs], [int(doc[order[a]]) for a, _ in runs], [None] * len(runs), [None] * len(runs), [place[order[a:b]].tobytes() for a, b in runs]], _WINDOWS)
-            # one hash of each distinct window, from its own bytes
-            words = np.zeros((len(earliest), 56), dtype=np.uint8)
-            words[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at[earliest]]
-            key = np.zeros(len(earliest), dtype=np.uint64)
-            for i, w in enumerate(words.view(np.uint64).T):
-                key = mix(key + w + np.uint64(i + 1))
+                yield _batch([[int(owner[a] % buckets) for a, _ in runs], [int(owner[a]) for a, _ in runs], [copies[a:b].tobytes() for a, b in runs], [None] * len(runs)], _WINDOWS)
             bucket = (key >> np.uint64(40)).astype(np.int64) % buckets
             order = np.lexsort([doc[earliest], bucket])
             key, bucket, earliest = key[order], bucket[order], earliest[order]
             runs = _split(bucket)
             runs = list(zip(runs[:-1], runs[1:], strict=True))
-            yield _batch([[int(bucket[a]) for a, _ in runs], [None] * len(runs), [key[a:b].tobytes() for a, b in runs], [np.diff(doc[earliest[a:b]], prepend=0).tobytes() for a, b in runs], [place[earliest[a:b]].tobytes() for a, b in runs]], _WINDOWS)
+            yield _batch([[int(bucket[a]) for a, _ in runs], [None] * len(runs), [key[a:b].tobytes() for a, b in runs], [np.diff(doc[earliest[a:b]], prepend=0).tobytes() for a, b in runs]], _WINDOWS)
 
         for batch in batches:
             look = batch.column(4)
@@ -272,11 +283,11 @@ def deal_windows(joined: DataFrame, buckets: int) -> DataFrame:
                     continue
                 doc_id = batch.column(0)[i].as_py()
                 text = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint8)
-                for part, origin, (first, last, anchor, context) in _contexts(text):
+                for part, _, (first, last, anchor, context) in _contexts(text):
                     chosen = np.isin(mix(anchor) ^ context, listed)
                     for a, b in zip(first[chosen].tolist(), last[chosen].tolist(), strict=True):
                         at = np.arange(b - a + 1)
-                        held.append((part[a : b + WINDOW].copy(), at, np.full(len(at), doc_id, dtype=np.int64), (at + a + origin).astype(np.int64)))
+                        held.append((part[a : b + WINDOW].copy(), at, np.full(len(at), doc_id, dtype=np.int64)))
                         size += len(at)
                 if size >= FLUSH // 64:
                     yield from flush()
@@ -288,27 +299,25 @@ def deal_windows(joined: DataFrame, buckets: int) -> DataFrame:
 
 
 def compare_windows(dealt: DataFrame) -> DataFrame:
-    """(doc_id, place binary): the windows that an earlier document holds."""
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.binary())])
+    """(doc_id, key binary): the hashes of a document's windows that an earlier document holds."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
-        known = group.column("key").is_null()
-        out = [group.filter(known).select(["doc_id", "place"]).cast(schema)]
-        rows = group.filter(group.column("key").is_valid()).select(["key", "doc", "place"]).to_pylist()
+        out = [group.filter(group.column("doc").is_null()).select(["doc_id", "key"]).cast(schema)]
+        rows = group.filter(group.column("doc").is_valid()).select(["key", "doc"]).to_pylist()
         if rows:
             key = np.concatenate([np.frombuffer(r["key"], dtype=np.uint64) for r in rows])
             doc = np.concatenate([np.cumsum(np.frombuffer(r["doc"], dtype=np.int64)) for r in rows])
-            place = np.concatenate([np.frombuffer(r["place"], dtype=np.int64) for r in rows])
             order = np.lexsort([doc, key])
             covered, _ = later_copies(order, doc, _split(key[order]))
-            doc, place = doc[covered], place[covered]
+            doc, key = doc[covered], key[covered]
             order = np.argsort(doc, kind="stable")
             runs = _split(doc[order])
             runs = list(zip(runs[:-1], runs[1:], strict=True))
-            out.append(pa.Table.from_arrays([pa.array([int(doc[order[a]]) for a, _ in runs], pa.int64()), pa.array([place[order[a:b]].tobytes() for a, b in runs], pa.binary())], schema=schema))
+            out.append(pa.Table.from_arrays([pa.array([int(doc[order[a]]) for a, _ in runs], pa.int64()), pa.array([key[order[a:b]].tobytes() for a, b in runs], pa.binary())], schema=schema))
         return pa.concat_tables(out)
 
-    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, place binary")
+    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, key binary")
 
 
 def removed_runs(n: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,8 +346,12 @@ def finish(joined: DataFrame) -> DataFrame:
                     found = [(first[m] + o, last[m] + o) for _, o, (first, last, anchor, context) in _contexts(text) for m in [np.isin(mix(anchor) ^ context, covered)]]
                     starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
                 if windows:
-                    place = np.frombuffer(b"".join(windows), dtype=np.int64)
-                    starts, ends = np.concatenate([starts, place]), np.concatenate([ends, place])
+                    listed, keys = _listed(batch.column(4)[i], batch.column(5)[i]), np.frombuffer(b"".join(windows), dtype=np.uint64)
+                    for part, o, (first, last, anchor, context) in _contexts(text):
+                        m = np.isin(mix(anchor) ^ context, listed)
+                        at = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(a, b + 1) for a, b in zip(first[m].tolist(), last[m].tolist(), strict=True))])
+                        place = at[np.isin(window_keys(part, at), keys)] + o
+                        starts, ends = np.concatenate([starts, place]), np.concatenate([ends, place])
                 if len(starts):
                     starts, ends = removed_runs(len(text), starts, ends + WINDOW)
                     kept = b"".join(memoryview(raw)[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)], strict=True))
@@ -365,7 +378,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lists = [F.collect_list(F.when(F.col("kind") == kind, F.col(name))) for kind in (1, 2) for name in ("anchor", "context")]
     by_doc = cut(answers.groupBy("doc_id").agg(*(c.alias(n) for c, n in zip(lists, names, strict=True))))
     joined = texts.join(by_doc, "doc_id", "left").select("doc_id", "text", *names)
-    windows = compare_windows(deal_windows(joined, buckets)).groupBy("doc_id").agg(F.collect_list("place").alias("windows"))
+    windows = compare_windows(deal_windows(joined, buckets)).groupBy("doc_id").agg(F.collect_list("key").alias("windows"))
     return finish(joined.join(windows, "doc_id", "left").select("doc_id", "text", *names, "windows"))
 
 

@@ -334,6 +334,22 @@ def test_repeats(spark, docs, empty):
     assert repeats.remove_repeats(empty).isEmpty()
 
 
+@pytest.mark.parametrize("tasks", [1, 12])
+def test_passages_twice_in_a_later_document(spark, monkeypatch, tasks):
+    letters = np.random.default_rng(8)
+    fresh = lambda n: "".join(map(chr, letters.integers(97, 123, n)))
+    rows = []
+    for i in range(12):
+        passage = fresh(50 + 2 * i) if i % 3 else fresh(7) * 12
+        rows += [(i, fresh(90) + passage + fresh(90)), (100 + i, fresh(60) + passage + fresh(70) + passage + fresh(80) + passage + fresh(60))]
+    rows += [(300, rows[1][1] + fresh(50)), (300, fresh(170) + rows[3][1])]
+    monkeypatch.setattr(repeats, "FLUSH", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+    got = sorted(tuple(r) for r in repeats.digests(repeats.remove_repeats(docs)).collect())
+    want = brute_repeats(rows[:-1])
+    assert got == sorted([*((i, *v) for i, v in want.items()), (300, *brute_repeats([*rows[:-2], rows[-1]])[300])])
+
+
 def test_long_texts_are_cut_without_losing_windows(monkeypatch):
     rng = np.random.default_rng(3)
     text = rng.integers(97, 110, 5000).astype(np.uint8)
