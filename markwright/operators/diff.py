@@ -12,43 +12,76 @@ from pyspark.sql import functions as F
 from markwright.functions import chars as C
 from markwright.functions.text import unix_newlines
 
-#: Pairs of more line pairs than this (after what both start with) are not diffed but reported as too large.
-MAX_CELLS = 400_000_000
+#: Cells of the table that are held at once; a larger table is made again from kept rows, in blocks.
+HELD = 16_000_000
+#: Rows kept for each level of blocks.
+KEPT = 16
 
 
-def script(left: list[str], right: list[str]) -> list[str]:
-    """The edit script by longest common subsequence; on a tie the addition comes first."""
+def _shared(left: list[str], right: list[str]) -> int:
+    """How many lines both start with."""
     start = 0
     while start < min(len(left), len(right)) and left[start] == right[start]:
         start += 1
+    return start
+
+
+def _row_above(below: np.ndarray, y: np.ndarray, value: int) -> np.ndarray:
+    """The row of a line above the row below it: the running maximum from the right."""
+    row = below[:-1].copy()
+    np.maximum(row, np.where(y == value, below[1:] + 1, 0), out=row)
+    return np.append(np.maximum.accumulate(row[::-1])[::-1], below[-1:])
+
+
+def script(left: list[str], right: list[str]) -> list[str]:
+    """The edit script by longest common subsequence; on a tie the addition comes first.
+
+    Memory grows with the lines, not with their product.
+    """
+    start = _shared(left, right)
     a, b = left[start:], right[start:]
     place = {v: i for i, v in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([place[v] for v in a], dtype=np.int64), np.array([place[v] for v in b], dtype=np.int64)
-    # common[i][j]: length of the common subsequence of what follows i and j; a row is the running maximum from the right.
-    common = np.zeros((len(a) + 1, len(b) + 1), dtype=np.uint16 if min(len(a), len(b)) < 1 << 16 else np.uint32)
-    for i in range(len(a) - 1, -1, -1):
-        row = common[i + 1, :-1].copy()
-        np.maximum(row, np.where(y == x[i], common[i + 1, 1:] + 1, 0), out=row)
-        common[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = [f" {v}" for v in left[:start]], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and x[i] == y[j]:
-            out.append(f" {a[i]}")
-            i, j = i + 1, j + 1
-        elif j < len(b) and (i == len(a) or common[i, j + 1] >= common[i + 1, j]):
-            out.append(f"+{b[j]}")
-            j += 1
-        else:
-            out.append(f"-{a[i]}")
-            i += 1
-    return out
-
-
-def line_diff(pairs: DataFrame, key: str = "pair_id", max_cells: int = MAX_CELLS) -> DataFrame:
+    kind = np.uint16 if min(len(a), len(b)) < 1 << 16 else np.uint32
+    out = [f" {v}" for v in left[:start]]
+
+    def walk(top: int, end: int, below: np.ndarray, j: int) -> int:
+        """Writes what lines top to end of a give from column j on; below is the row of end from column j. Returns the column reached."""
+        step = 1 if (end - top) * len(below) <= HELD or end - top <= KEPT else -(-(end - top) // KEPT)
+        # rows[i]: length of the common subsequence of what follows i and each column.
+        rows, row, first = {end: below}, below, j
+        for i in range(end - 1, top - 1, -1):
+            row = _row_above(row, y[first:], x[i])
+            if (i - top) % step == 0:
+                rows[i] = row
+        if step > 1:
+            for i in range(top, end, step):
+                last = min(i + step, end)
+                j = walk(i, last, rows.pop(last)[j - first :], j)
+            return j
+        i = top
+        while i < end:
+            if j < len(b) and x[i] == y[j]:
+                out.append(f" {a[i]}")
+                i, j = i + 1, j + 1
+            elif j < len(b) and rows[i][j + 1 - first] >= rows[i + 1][j - first]:
+                out.append(f"+{b[j]}")
+                j += 1
+            else:
+                out.append(f"-{a[i]}")
+                i += 1
+        return j
+
+    j = walk(0, len(a), np.zeros(len(b) + 1, dtype=kind), 0)
+    return [*out, *(f"+{v}" for v in b[j:])]
+
+
+def line_diff(pairs: DataFrame, key: str = "pair_id", max_cells: int | None = None) -> DataFrame:
     """(key, lines, added, removed, too_large) for (key, before_text, after_text).
 
     Texts are compared with CRLF and CR as LF and without white space at the end. Equal texts never reach Python. Work is
-    dealt out by the estimated number of cells, so that a few long pairs do not meet in one task.
+    dealt out by the estimated number of cells, so that a few long pairs do not meet in one task. Every pair is diffed;
+    only if max_cells is given, pairs of more line pairs than that, after what both start with, are reported as too large.
     """
     clean = lambda c: F.split(F.regexp_replace(unix_newlines(F.coalesce(c, F.lit(""))), rf"{C.S}+\z", ""), "\n", -1)
     ready = pairs.select(key, clean("before_text").alias("a"), clean("after_text").alias("b"))
@@ -59,7 +92,8 @@ def line_diff(pairs: DataFrame, key: str = "pair_id", max_cells: int = MAX_CELLS
         for batch in batches:
             rows = []
             for left, right in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                large = len(left) * len(right) > max_cells
+                start = _shared(left, right)
+                large = max_cells is not None and (len(left) - start) * (len(right) - start) > max_cells
                 lines = None if large else script(left, right)
                 rows.append((lines, None if large else sum(x[0] == "+" for x in lines), None if large else sum(x[0] == "-" for x in lines), large))
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]

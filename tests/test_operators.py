@@ -36,6 +36,37 @@ def test_large_pairs_are_reported(spark):
     assert diff.line_diff(pairs, max_cells=8).first()["too_large"]
 
 
+def test_long_pairs_are_diffed(spark):
+    same = "".join(f"line {i}\n" for i in range(20_001))
+    other = "\n".join(f"new {i}" if i % 1000 else f"line {i}" for i in range(20_001))
+    rows = [(1, same + "a", same + "b"), (2, same, other)]
+    got = {r[0]: tuple(r)[1:] for r in diff.line_diff(spark.createDataFrame(rows, "pair_id long, before_text string, after_text string")).select("pair_id", "added", "removed", "too_large").collect()}
+    assert got == {1: (1, 1, False), 2: (19_980, 19_980, False)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=25), st.lists(st.sampled_from("abc"), max_size=25))
+def test_script_in_blocks_is_the_whole_one(a, b):
+    whole = diff.script(a, b)
+    n, m = len(a), len(b)
+    common = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in reversed(range(n)):
+        for j in reversed(range(m)):
+            common[i][j] = common[i + 1][j + 1] + 1 if a[i] == b[j] else max(common[i + 1][j], common[i][j + 1])
+    want, i, j = [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            want, i, j = [*want, f" {a[i]}"], i + 1, j + 1
+        elif j < m and (i == n or common[i][j + 1] >= common[i + 1][j]):
+            want, j = [*want, f"+{b[j]}"], j + 1
+        else:
+            want, i = [*want, f"-{a[i]}"], i + 1
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(diff, "HELD", 4)
+        patch.setattr(diff, "KEPT", 2)
+        assert whole == diff.script(a, b) == want
+
+
 def test_images(spark):
     image = "struct<width:int,height:int,data:binary>"
     rows = [(1, (2, 1, bytes(8)), (2, 1, bytes(7) + b"\1")), (2, (2, 1, bytes(8)), (1, 2, bytes(8))), (3, (2, 1, bytes(8)), (2, 1, bytes(8)))]
