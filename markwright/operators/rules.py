@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.functions.text import fingerprint
+from markwright.sources.files import cut
 
 #: The check of a rule decides which findings it governs.
 GOVERNS = {"choice_hyphen": "choice", "choice_spacing": "choice", "orphan_lead": "lead", "backtick_math": "math", "unbalanced_dollar": "math", "cjk_in_math": "math"}
@@ -53,19 +54,21 @@ def merge_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("duplicate", twice).withColumn("place", F.row_number().over(place))
 
 
-def layered_resolve(entries: DataFrame, inherits: DataFrame, max_depth: int = 8) -> DataFrame:
+def layered_resolve(entries: DataFrame, inherits: DataFrame) -> DataFrame:
     """(profile_key, path, value): leaf rows of profiles after inheritance.
 
     entries are (profile_key, path, value) leaves, inherits (profile_key, parent, ord). Ancestors are found by joins, one
-    level a round; of several layers with a path the nearest wins, of parents the later; a scalar hides the leaves that
+    level a round, until a round finds none; of several layers with a path the nearest wins, of parents the later; a scalar hides the leaves that
     an outer layer has below it, and leaves hide an outer scalar above them. A cycle gives the path `#error`.
     """
     own = entries.select("profile_key").union(inherits.select("profile_key")).distinct()
     level = own.select("profile_key", F.col("profile_key").alias("layer"), F.array().cast("array<int>").alias("order"), F.array("profile_key").alias("seen"))
     layers, cycles = level, level.limit(0)
     up = inherits.select(F.col("profile_key").alias("layer"), F.col("parent"), F.col("ord").cast("int").alias("ord"))
-    for _ in range(max_depth):
-        level = level.join(up, "layer").select("profile_key", F.col("parent").alias("layer"), F.concat("order", F.array(-F.col("ord"))).alias("order"), "seen")
+    while True:
+        level = cut(level.join(up, "layer").select("profile_key", F.col("parent").alias("layer"), F.concat("order", F.array(-F.col("ord"))).alias("order"), "seen"))
+        if level.isEmpty():
+            break
         cycles = cycles.unionByName(level.where(F.array_contains("seen", F.col("layer"))))
         level = level.where(~F.array_contains("seen", F.col("layer"))).withColumn("seen", F.concat("seen", F.array("layer")))
         layers = layers.unionByName(level)

@@ -166,6 +166,17 @@ def test_layers(spark):
     assert "#error" in got["l1"] and "#error" in got["l2"]
 
 
+def test_long_chains_of_layers(spark):
+    entries = spark.createDataFrame([(f"n{i}", f"k{i}", str(i)) for i in range(12)] + [("n11", "k3", "far")], "profile_key string, path string, value string")
+    parents = [(f"n{i}", f"n{i + 1}", 1) for i in range(11)] + [(f"c{i}", f"c{(i + 1) % 10}", 1) for i in range(10)]
+    got = {}
+    for r in rules.layered_resolve(entries, spark.createDataFrame(parents, "profile_key string, parent string, ord int")).collect():
+        got.setdefault(r["profile_key"], {})[r["path"]] = r["value"]
+    assert got["n0"] == {f"k{i}": str(i) for i in range(12)}
+    assert got["n5"] == {f"k{i}": str(i) for i in range(5, 12)} | {"k3": "far"}
+    assert [got[f"c{i}"] for i in range(10)] == [{"#error": f"cycle at c{i}"} for i in range(10)]
+
+
 def test_question_regions(spark):
     rows = [(1, 1, 1000, "1.", 50.0, 100.0), (1, 1, 1000, "2.", 50.0, 500.0), (1, 1, 1000, "7.", 50.0, 600.0), (1, 1, 1000, "3.", 300.0, 700.0), (1, 2, 1000, "2.", 50.0, 60.0), (1, 2, 1000, "3.", 50.0, 400.0), (1, 3, 1000, "4.", 50.0, 300.0)]
     got = pages.question_regions(spark.createDataFrame(rows, "doc_id long, page_no int, page_height int, text string, x double, y double")).collect()
