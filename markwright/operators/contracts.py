@@ -2,8 +2,10 @@
 
 The schema is walked once, while the plan is built; Spark evaluates the resulting predicates, so a record is parsed once
 and no Python runs. Covered: type, required, enum, const, minLength, pattern, minimum, maximum, properties,
-additionalProperties false, items, uniqueItems, minItems, maxItems, anyOf, oneOf, not and local $ref (to a depth). A type
-mismatch ends the checks of its node. additionalProperties given as a schema is not checked.
+additionalProperties false, items, uniqueItems, minItems, maxItems, anyOf, oneOf, not and local $ref. A type mismatch ends
+the checks of its node. additionalProperties given as a schema is not checked. Nesting is compiled to its end; a $ref that
+leads back into itself is followed again eight times, and a part of a record that lies deeper than that is not checked but
+reported as a problem of its own.
 """
 
 from __future__ import annotations
@@ -50,17 +52,20 @@ def _equals(v: Column, value: Any) -> Column:
     return F.to_json(v) == json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-def compile_schema(schema: dict, v: Column, path: Column, root: dict | None = None, depth: int = 8) -> Column:
-    """The problems of a variant under a schema, as an array."""
+def compile_schema(schema: dict, v: Column, path: Column, root: dict | None = None, depth: int = 8, refs: frozenset[str] = frozenset("#")) -> Column:
+    """The problems of a variant under a schema, as an array; depth counts references followed again, refs are those on the way."""
     root = root or schema
-    if depth == 0:
-        return _none()
     while "$ref" in schema:
+        if schema["$ref"] in refs:
+            if depth <= 0:
+                return F.array(F.struct(path.alias("path"), F.lit("deeper than the schema is followed").alias("message")))
+            depth -= 1
+        refs |= {schema["$ref"]}
         target: Any = root
         for part in schema["$ref"].removeprefix("#").strip("/").split("/"):
             target = target[part] if part else target
-        schema, depth = target, depth - 1
-    sub = lambda s, x, p: compile_schema(s, x, p, root, depth - 1)
+        schema = target
+    sub = lambda s, x, p: compile_schema(s, x, p, root, depth, refs)
     fine = lambda s: F.size(sub(s, v, path)) == 0
 
     found: list[Column] = []

@@ -129,6 +129,22 @@ def test_contract(spark, json, paths):
     assert sorted(r["path"] for r in rows) == paths
 
 
+def test_deep_contracts(spark):
+    import json
+
+    plain = {"type": "integer"}
+    record = "x"
+    for _ in range(11):
+        plain, record = {"type": "object", "properties": {"p": plain}}, {"p": record}
+    tree = {"type": "object", "properties": {"n": {"type": "integer"}, "child": {"$ref": "#"}}}
+    deep = lambda n, v: {"child": deep(n - 1, v)} if n else {"n": v}
+    check = lambda schema, v: [(r["path"], r["message"]) for r in contracts.check_record_contract(spark.createDataFrame([(1, json.dumps(v))], "k long, j string"), "k", "j", schema).collect()]
+    assert check(plain, record) == [("/p" * 11, "should be integer, got string")]
+    assert check(tree, deep(8, 1)) == []
+    assert check(tree, deep(8, "x")) == [("/child" * 8 + "/n", "should be integer, got string")]
+    assert check(tree, deep(9, 1)) == [("/child" * 9, "deeper than the schema is followed")]
+
+
 def outcomes(spark, rows):
     return spark.createDataFrame([("blind", *r) for r in rows], "stage string, comparison_key string, tier string, outcome string")
 
