@@ -36,8 +36,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of which the mix takes words, with size, source_size, target and taken."""
-    taken = mix_sources(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken").dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id").select(*docs.columns, "size", "source_size", "target", "taken")
+    return mix_sources(docs, carry=True).where("taken > 0").select("row.*", "size", "source_size", "target", "taken")
 
 
 STAGES = [

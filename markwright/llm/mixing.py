@@ -52,10 +52,13 @@ def targets_sql(weights: tuple[float, ...], share: float, cap: float) -> str:
     return TARGETS_SQL.format(n=len(weights), cases=cases, share=f"CAST({float(share)} AS DOUBLE)", cap=f"CAST({float(cap)} AS DOUBLE)")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted."""
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted.
+
+    With carry, each row of docs comes along whole as the struct `row`, and settles the order of rows with equal doc_id and size.
+    """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     sized = cut(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("key", 1, DIGITS)))
     by_part = cut(sized.groupBy("source", "part").agg(F.sum("size").alias("size")))
     by_source = by_part.groupBy("source").agg(F.sum("size").alias("size"))
@@ -63,12 +66,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     starts = by_part.select("source", "part", F.expr("sum(size) OVER (PARTITION BY source ORDER BY part) - size").alias("start"))
     starts = starts.join(small(targets), starts.source.eqNullSafe(targets.source)).select(starts.source, "part", "start", "source_size", "target")
     starts = cut(starts)
-    inside = sized.withColumn("before", F.expr("sum(size) OVER (PARTITION BY source, part ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size"))
+    tie = ", xxhash64(row)" if carry else ""
+    inside = sized.withColumn("before", F.expr(f"sum(size) OVER (PARTITION BY source, part ORDER BY key, doc_id, size{tie} ROWS UNBOUNDED PRECEDING) - size"))
     joined = inside.join(small(starts).alias("s"), inside.source.eqNullSafe(F.col("s.source")) & (inside.part == F.col("s.part")))
     whole = F.expr("CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT)")
     rest = F.expr("CAST(floor(target) AS BIGINT)") - whole * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("before")))
-    return joined.select("doc_id", inside.source, "size", "source_size", "target", (whole * F.col("size") + last).cast("long").alias("taken"))
+    return joined.select("doc_id", inside.source, "size", "source_size", "target", (whole * F.col("size") + last).cast("long").alias("taken"), *(["row"] if carry else []))
 
 
 #: DuckDB's version of mix_sources with the weights of the query, over a view `documents`.

@@ -295,6 +295,20 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_sources(empty).isEmpty()
 
 
+def test_last_stage_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(1, prose(1, 20), "a"), (1, prose(2, 31), "a"), (1, prose(3, 20), "b"), (None, prose(4, 25), "a"), (None, prose(5, 25), "b"), (2, prose(6, 40), "b"), (3, prose(7, 9), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    want = [(r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.mix_sources(docs).where("taken > 0").collect()]
+    order = lambda x: sorted(x, key=str)
+    assert order((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got) == order(want)
+    assert all((r["doc_id"], r["text"], r["source"]) in rows and r["size"] == len(r["text"].split()) for r in got)
+    assert len({r["text"] for r in got}) == len(got) and sum(r["doc_id"] is None for r in got) == 2
+    assert order(got) == order(corpus_pipeline.mix(spark, docs.repartition(5), "").collect())
+
+
 # 9
 def test_quality(spark, docs, empty):
     d, labels = table(spark, "documents"), table(spark, "labels")
