@@ -41,12 +41,12 @@ def hash_unit(*cols: Column) -> Column:
 def stratified(df: DataFrame, by: str, bound: int, key: str = "doc_id") -> DataFrame:
     """A repeatable sample of about `bound` rows at most, as many from each value of `by` as there are, up to an even share.
 
-    Only counts are gathered; a row is chosen by the hash of its key.
+    A row is chosen by the hash of its key; the row with the least hash of its value always, so every value is sampled.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().orderBy(F.desc("count")).limit(200).collect() if r[0] is not None}
-    if not counts:
+    place = hash_unit(F.col(key), F.lit(by))
+    counts = cut(df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__value")).agg(F.count("*").alias("__n"), F.min(place).alias("__least")))
+    n = counts.count()
+    if not n:
         return df.limit(0)
-    share, chosen = bound / len(counts), F.lit(False)
-    for value, n in counts.items():
-        chosen = chosen | ((F.col(by) == F.lit(value)) & (hash_unit(F.col(key), F.lit(by)) < F.lit(min(1.0, share / n))))
-    return df.where(chosen)
+    joined = df.join(small(counts, n), F.col(by) == F.col("__value"))
+    return joined.where((place < F.least(F.lit(1.0), F.lit(bound / n) / F.col("__n"))) | (place == F.col("__least"))).select(*df.columns)

@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 from compare import DATA, oracle_rows, spark_rows
 
 from markwright.llm import chat_format, decontamination, fingerprints, graph, language, mixing, near_dedup, pii, quality, queries, repeats, url_filters, vectors
+from markwright.llm.common import stratified
 
 SF = "sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, `range` int, size long"
@@ -117,6 +118,15 @@ def test_language_edges(spark, empty):
     assert language.fit(empty) is None and language.predict(empty, None).isEmpty()
 
 
+def test_every_language_is_sampled(spark):
+    rows = [(i, f"hello there {i}", f"l{i % 230}") for i in range(2300)] + [(9000, "bonjour", "rare")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = stratified(d, "lang", 460)
+    assert got.columns == d.columns and got.select("lang").distinct().count() == 231
+    assert stratified(d, "lang", 10).select("lang").distinct().count() == 231
+    assert stratified(d, "lang", 10**6).count() == len(rows)
+
+
 # 3
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
