@@ -30,6 +30,8 @@ from markwright.llm.common import cut, small
 from markwright.llm.graph import components
 from markwright.llm.vectors import list_array, mix, shingle_sets, text_pieces
 
+#: What bands and sketch bounds are made for.
+LEAST_PERCENT = 80
 ROWS, BANDS, SKETCH_BITS = 4, 28, 512
 SAMPLE = ROWS * BANDS
 #: Bitmaps of documents with similarity 0.8 or more differ in fewer bits than this: 46 places of 112 (the mean is 22.4,
@@ -139,7 +141,12 @@ def _near(x: str, y: str, percent: int) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that can be reached, itself included), kept."""
+    """doc_id, n_shingles, component_id (smallest doc_id that can be reached, itself included), kept.
+
+    The bands and the bounds of the sketches are made for a similarity of 0.8, so a lower percent is refused.
+    """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent is {percent}; under {LEAST_PERCENT} the bands and sketches would lose links")
     found = cut(features(docs, k))
     classes = cut(found.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = found.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

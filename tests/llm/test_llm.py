@@ -261,6 +261,12 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).isEmpty() and near_dedup.keep_first(empty).isEmpty()
 
 
+def test_a_percent_that_would_lose_links_is_refused(docs):
+    for f in (near_dedup.near_duplicates, near_dedup.keep_first):
+        with pytest.raises(ValueError, match="percent"):
+            f(docs, 5, 60)
+
+
 def test_odd_sketches_estimate_differences():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))]
