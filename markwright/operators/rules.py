@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.functions.text import fingerprint
+from markwright.operators.order import numbered
 from markwright.sources.files import cut
 
 #: The check of a rule decides which findings it governs.
@@ -49,9 +50,8 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 def merge_rules(rules: DataFrame) -> DataFrame:
     """Rules of all packs with their place: priority descending (missing is 0), then id; an id that occurs twice is marked."""
-    place = Window.orderBy(F.coalesce("priority", F.lit(0)).desc(), "id")
     twice = F.count("*").over(Window.partitionBy("id")) > 1
-    return rules.withColumn("duplicate", twice).withColumn("place", F.row_number().over(place))
+    return numbered(rules.withColumn("duplicate", twice), [F.coalesce("priority", F.lit(0)).desc(), F.col("id")])
 
 
 def layered_resolve(entries: DataFrame, inherits: DataFrame) -> DataFrame:

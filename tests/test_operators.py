@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from markwright.operators import contracts, diff, evaluate, integrity, keys, pages, rules
+from markwright.operators import contracts, diff, evaluate, integrity, keys, order, pages, rules
 from markwright.sources import files
 
 LINE = st.lists(st.sampled_from("abc"), max_size=8)
@@ -193,6 +193,22 @@ def test_long_chains_of_layers(spark):
     assert [got[f"c{i}"] for i in range(10)] == [{"#error": f"cycle at c{i}"} for i in range(10)]
 
 
+def test_numbers_come_from_several_ranges(spark):
+    rows = [(f"r{i:03}", None if i % 5 == 0 else i % 4, "g" if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, priority int, source string").repartition(3)
+    got = rules.merge_rules(df)
+    want = sorted(rows, key=lambda r: (-(r[1] or 0), r[0]))
+    assert [r["id"] for r in got.orderBy("place").collect()] == [r[0] for r in want] and [r["place"] for r in got.orderBy("place").collect()] == list(range(1, 401))
+    by = evaluate.natural_order(df, "id", "source")
+    for s in ("g", None):
+        assert [r["id"] for r in by.where(F.col("source").eqNullSafe(F.lit(s))).orderBy("place").collect()] == sorted(r[0] for r in rows if r[2] == s)
+    with pytest.MonkeyPatch.context() as patch:
+        parts = []
+        patch.setattr(order, "cut", lambda x: parts.append(x.select("__part").distinct().count()) or files.cut(x))
+        rules.merge_rules(df), evaluate.natural_order(df, "id", "source")
+    assert min(parts) > 2
+
+
 def test_question_regions(spark):
     rows = [(1, 1, 1000, "1.", 50.0, 100.0), (1, 1, 1000, "2.", 50.0, 500.0), (1, 1, 1000, "7.", 50.0, 600.0), (1, 1, 1000, "3.", 300.0, 700.0), (1, 2, 1000, "2.", 50.0, 60.0), (1, 2, 1000, "3.", 50.0, 400.0), (1, 3, 1000, "4.", 50.0, 300.0)]
     got = pages.question_regions(spark.createDataFrame(rows, "doc_id long, page_no int, page_height int, text string, x double, y double")).collect()
