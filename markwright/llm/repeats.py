@@ -1,23 +1,25 @@
 """Removal of byte strings of 50 or more that an earlier document holds, by longest-previous-factor arrays.
 
-A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. In a suffix order, the
-longest factor at a position that occurs earlier is the longer of its common prefixes with the previous and the next
-suffix of a smaller document; a position is a later copy if that factor has 50 bytes. No task could hold the suffixes
-of a whole corpus, so they are dealt out:
+A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. In suffix order, the
+longest factor at a position that occurs in a smaller document is the longer of its common prefixes with the previous and
+the next suffix of a smaller document; where that length is 50 or more, so many bytes from the position on are covered.
+No task could hold the suffixes of a whole corpus, so they are dealt out; hashes deal the work, and bytes decide.
 
 1. Every 50-byte window has an anchor: the 24-byte gram in it with the least hash, the leftmost of equal ones. Equal
-   windows have equal anchors. All windows with one anchor form a context; anchor and context hashes are dealt by
-   anchor, after each task has reduced equal ones to the smallest document. Contexts that an earlier document holds
-   whole are covered. Where an anchor has several contexts in several documents, its windows must be looked at.
-2. Those windows, on average a few in a hundred of the corpus, are sorted as suffixes within blocks of documents, cut
-   at 50 bytes; previous and next smaller documents in that order give the covered ones and the smallest document of each.
-3. Each block's distinct windows, with that document, are dealt by their hash and ordered again, the same way.
+   windows have equal anchors. The windows of one anchor form a context, 50 to 76 bytes long. Anchor hashes with their
+   documents are dealt by hash, and each document hears which of its anchors another document has too.
+2. Texts and answers meet by blocks of documents. A task takes the contexts of shared anchors, sorts equal ones as
+   suffixes and drops those that are covered whole by their factor in a smaller document of the task. The others are
+   dealt by anchor, as bytes; the windows of an anchor that very many documents share are dealt one by one instead.
+3. What shares an anchor is put in suffix order, contexts first and then the windows of those left, and the
+   longest-previous-factor lengths give the covered runs, which go back to the blocks, where the texts are cut.
 
-Answers name windows by their hash, not by place, so that they hold at every place of a window in its document. Each
-document's covered runs are then joined, and removed in one pass.
+A block is made of rows, not of keys, and grows only with the number of shuffle partitions; repeated doc_ids are told
+apart by a hash of their texts.
 
 Defined cases: a null text is an empty one; texts under 50 bytes stay as they are; rows that repeat a doc_id don't
-cover each other, and each is judged by itself; extra columns are ignored; an empty table gives an empty result.
+cover each other, and each is judged by itself; rows without a doc_id stay as they are and cover nothing; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +28,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markwright.llm.common import cut, partitions
-from markwright.llm.vectors import PIECE, mix, powers, prefix_hash, sub_hash, text_pieces
+from markwright.llm.vectors import PIECE, mix, powers, prefix_hash, text_pieces
 
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1
-#: Bytes of text after which a task reduces what it has and passes it on.
-FLUSH = 24 << 20
+#: Bytes of the longest context, in whole words, and of what is compared of a window.
+WIDE, NEAR = 80, 56
+#: Bytes of text, documents and contexts after which a task passes on what it has.
+FLUSH, ROWS, CONTEXTS = 24 << 20, 60_000, 200_000
+#: An anchor in more documents than COMMON, and than COMMON_OF_BLOCK for each block, has its windows dealt one by one.
+COMMON, COMMON_OF_BLOCK = 20_000, 4
 _PLACE = np.uint64((1 << 24) - 1)
+_CODEC = "zstd"
+
+SHAPE = "bucket int, block int, kind int, n long, doc binary, row binary, place binary, size binary, off binary, data binary"
+_SHAPE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("doc", "row", "place", "size", "off", "data"))])
+#: kind, as dealt and as answered: anchors to compare; shared anchors of documents; very common anchors; contexts; covered runs; texts.
+ANCHORS, SHARED, HOT, PIECES, RUNS, TEXT = range(6)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed: planes of like bytes cost next to nothing."""
+    planes = np.ascontiguousarray(x.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec=_CODEC, asbytes=True)
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec=_CODEC, asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(-1)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_SHAPE)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SHAPE.types, strict=True)], schema=_SHAPE)
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal keys."""
+    at = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, dtype=np.int64)
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.zeros(len(keys), dtype=bool)
+    out[order] = np.append(False, same) | np.append(same, False) if len(keys) else False
+    return out
+
+
+def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a document; _block is the same as a column."""
+    u = doc.astype(np.int64).view(np.uint64)
+    return ((u ^ (u >> np.uint64(17)) ^ (u >> np.uint64(37))).view(np.int64) % blocks).astype(np.int64)
+
+
+def _block(doc: str, blocks: int) -> Column:
+    return F.expr(f"CAST(pmod({doc} ^ shiftrightunsigned({doc}, 17) ^ shiftrightunsigned({doc}, 37), {blocks}) AS INT)")
+
+
+def pair_keys(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """40 bits for an anchor of a document."""
+    return (mix(anchor ^ mix(doc.astype(np.int64).view(np.uint64))) >> np.uint64(24)).view(np.int64)
 
 
 def cut_texts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -53,333 +111,424 @@ def cut_texts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Part, first window, last window, anchor hash and context hash of every context in the parts."""
+    """Part, first window, last window, place of the anchor and 48-bit anchor hash of every context in the parts."""
     n = len(data)
     none = np.zeros(0, dtype=np.int64)
     if n < WINDOW:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint32)
+        return none, none, none, none, none.astype(np.uint64)
     sums = prefix_hash(data)
     _, down = powers(n + 1)
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    grams = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     width = 1
     while 2 * width <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[: n - WINDOW + 1], least[SPAN - width : SPAN - width + n - WINDOW + 1])
-    place = (least & _PLACE).astype(np.int64)
-    valid = np.zeros(n - WINDOW + 1, dtype=bool)
     sizes = np.diff(offsets)
-    edge = np.zeros(n + 1, dtype=np.int64)
+    edge = np.zeros(n + 1, dtype=np.int32)
     good = sizes >= WINDOW
     np.add.at(edge, offsets[:-1][good], 1)
     np.add.at(edge, offsets[1:][good] - WINDOW + 1, -1)
     valid = np.cumsum(edge)[: n - WINDOW + 1] > 0
     window = np.flatnonzero(valid)
     if not len(window):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint32)
-    at = place[window]
+        return none, none, none, none, none.astype(np.uint64)
+    at = (least[window] & _PLACE).astype(np.int64)
     new = np.ones(len(window), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)
-    first = window[new]
-    last = window[np.append(np.flatnonzero(new)[1:], len(window)) - 1]
-    spot = at[new]
-    context = mix(sub_hash(sums, first, last + WINDOW) + (spot - first).astype(np.uint64))
+    start = np.flatnonzero(new)
+    first, last, spot = window[start], window[np.append(start[1:], len(window)) - 1], at[start]
     part = np.searchsorted(offsets, first, side="right") - 1
-    return part, first, last, grams[spot], (context >> np.uint64(32)).astype(np.uint32)
-
-
-def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
-def _split(keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys start, and the end."""
-    return np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, dtype=np.int64)
-
-
-#: kind 0: anchors to compare; kind 1: covered contexts of a document; kind 2: contexts of a document to look into.
-DEALT = "bucket int, kind int, doc_id long, anchor binary, context binary, doc binary"
-_DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("anchor", pa.binary()), ("context", pa.binary()), ("doc", pa.binary())])
+    return part, first, last, spot, mix(grams[spot]) >> np.uint64(16)
+
+
+def common_prefixes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes that each row of big-endian words shares with the row before it, within both sizes; 0 for the first."""
+    if len(words) < 2:
+        return np.zeros(len(words), dtype=np.int64)
+    apart = words[1:] ^ words[:-1]
+    where = (apart != 0).argmax(axis=1)
+    first = apart[np.arange(len(apart)), where]
+    bytes_ = sum((first < np.uint64(1) << np.uint64(8 * i)).astype(np.int64) for i in range(1, 8))
+    shared = np.where(first == 0, 8 * words.shape[1], 8 * where + bytes_)
+    return np.append(0, np.minimum(shared, np.minimum(sizes[1:], sizes[:-1])))
+
+
+def to_smaller(doc: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """For suffixes in order, the common prefix with the nearest one before of a smaller document; only lengths from WINDOW on count.
+
+    Pointers that have not met a smaller document take the pointer of the place they stand on, so a round doubles their reach.
+    """
+    back, length = np.arange(-1, len(doc) - 1), prefix.copy()
+    todo = np.flatnonzero(length >= WINDOW)
+    todo = todo[doc[back[todo]] >= doc[todo]]
+    while len(todo):
+        on = back[todo]
+        length[todo], back[todo] = np.minimum(length[todo], length[on]), back[on]
+        length[todo[back[todo] < 0]] = 0
+        todo = todo[length[todo] >= WINDOW]
+        todo = todo[doc[back[todo]] >= doc[todo]]
+    return length
+
+
+def previous_factors(words: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor length of each suffix, given as rows of words; lengths under WINDOW count as none."""
+    order = np.lexsort([doc, *(words[:, i] for i in range(words.shape[1] - 1, -1, -1))])
+    prefix = common_prefixes(words[order], sizes[order])
+    ordered = doc[order]
+    before = to_smaller(ordered, prefix)
+    after = to_smaller(ordered[::-1], np.append(0, prefix[:0:-1]))[::-1]
+    out = np.zeros(len(doc), dtype=np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
-def _answers(kind: int, doc: np.ndarray, anchor: np.ndarray, context: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each document with its contexts of this kind."""
-    order = np.argsort(doc, kind="stable")
-    doc, anchor, context = doc[order], anchor[order], context[order]
-    at = _split(doc)
-    runs = list(zip(at[:-1], at[1:], strict=True))
-    return _batch([[int(doc[a] % buckets) for a, _ in runs], [kind] * len(runs), [int(doc[a]) for a, _ in runs], [anchor[a:b].tobytes() for a, b in runs], [context[a:b].tobytes() for a, b in runs], [None] * len(runs)], _DEALT)
+def taken_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """A row of `width` bytes from each place, zero after its size."""
+    padded = np.append(data, np.zeros(width, dtype=np.uint8))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
+    return np.where(np.arange(width) < sizes[:, None], rows, 0).astype(np.uint8)
 
 
-def previous_smaller(doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether a run of equal prefixes holds a smaller document before each place; starts: of the runs, and the end."""
-    run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-    span = int(rank.max(initial=0)) + 1
-    lifted = rank + (len(starts) - 1 - run) * span
-    return np.minimum.accumulate(lifted) < lifted
+def as_words(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
 
 
-def later_copies(order: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From a suffix order cut at the window: which suffixes have a previous factor of a whole window in a smaller document,
-    and one suffix of the smallest document for each distinct window."""
-    ordered = doc[order]
-    before = previous_smaller(ordered, starts)
-    after = previous_smaller(ordered[::-1], len(order) - starts[::-1])[::-1]
-    covered = np.zeros(len(order), dtype=bool)
-    covered[order] = before | after
-    return covered, order[starts[:-1]] if len(starts) > 1 else order[:0]
+def word_hash(words: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(words), dtype=np.uint64)
+    for i, w in enumerate(words.T):
+        key = mix(key + w + np.uint64(i + 1))
+    return key
 
 
-def suffix_order(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at these places in the order of their first WINDOW bytes, and where runs of equal prefixes start."""
-    prefix = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at]
-    words = np.zeros((len(at), 56), dtype=np.uint8)
-    words[:, :WINDOW] = prefix
-    words = words.view(">u8")
-    order = np.lexsort([doc, *(words[:, i] for i in range(6, -1, -1))])
-    ordered = words[order]
-    common = (ordered[1:] == ordered[:-1]).all(axis=1) if len(at) else np.zeros(0, dtype=bool)
-    return order, np.append(np.flatnonzero(np.append(True, ~common)), len(at)) if len(at) else np.zeros(1, dtype=np.int64)
+def covered_whole(rows: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which contexts are covered whole by their factor in a smaller document among these."""
+    words = as_words(rows)
+    alike = np.flatnonzero(_repeated(word_hash(words) + sizes.astype(np.uint64)))  # others can't be
+    out = np.zeros(len(sizes), dtype=bool)
+    if len(alike):
+        out[alike] = previous_factors(words[alike], sizes[alike], doc[alike]) == sizes[alike]
+    return out
 
 
-def deal_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors and contexts of all documents by bucket of the anchor; of equal ones in a task only the smallest document's."""
+def covered_runs(rows: np.ndarray, sizes: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end): the runs that the factors of the windows of these contexts cover."""
+    none = np.zeros(0, dtype=np.int64)
+    gram = word_hash(as_words(taken_bytes(rows.reshape(-1), np.arange(len(rows)) * WIDE + off, np.full(len(rows), GRAM), GRAM)))
+    order = np.argsort(gram, kind="stable")
+    at = np.array([a for a, _ in _runs(gram[order])] + [len(rows)])
+    if len(rows) < 2:
+        return none, none, none
+    many = np.minimum.reduceat(doc[order], at[:-1]) < np.maximum.reduceat(doc[order], at[:-1])
+    chosen = order[np.repeat(many, np.diff(at))]
+    windows = sizes[chosen] - WINDOW + 1
+    of = np.repeat(chosen, windows)
+    start = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    if not len(of):
+        return none, none, none
+    flat = rows.reshape(-1)
+    alike = np.flatnonzero(_repeated(word_hash(as_words(taken_bytes(flat, of * WIDE + start, np.full(len(of), WINDOW), NEAR)))))
+    of, start = of[alike], start[alike]
+    left = np.minimum(sizes[of] - start, NEAR)
+    factor = previous_factors(as_words(taken_bytes(flat, of * WIDE + start, left, NEAR)), left, doc[of]) if len(of) else none
+    of, start, end = of[factor >= WINDOW], start[factor >= WINDOW], (start + factor)[factor >= WINDOW]
+    order = np.lexsort([start, of])
+    return join_runs(of[order], start[order], end[order])
+
+
+def join_runs(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in order of owner and start, made maximal."""
+    if not len(of):
+        return of, start, end
+    # The greatest end so far within an owner: owners are lifted over each other.
+    rank = np.append(0, np.cumsum(of[1:] != of[:-1]))
+    lift = rank * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(end + lift)
+    first = np.flatnonzero(np.append(True, (start + lift)[1:] > reach[:-1]))
+    return of[first], start[first], np.append(reach[first[1:] - 1], reach[-1]) - lift[first]
+
+
+def deal_anchors(docs: DataFrame, buckets: int, blocks: int) -> DataFrame:
+    """Anchors of all documents by bucket; what documents of one task share is dealt once, with their number, and answered at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort([doc, context, anchor])
-            doc, anchor, context = doc[order], anchor[order], context[order]
-            same = np.append(False, (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]))
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-            later = doc > doc[first]
-            if later.any():
-                yield _answers(1, doc[later], anchor[later], context[later], buckets)
-            doc, anchor, context = doc[~same], anchor[~same], context[~same]
-            bucket = (anchor >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.lexsort([doc, bucket])
-            doc, anchor, context, bucket = doc[order], anchor[order], context[order], bucket[order]
-            at = _split(bucket)
-            runs = list(zip(at[:-1], at[1:], strict=True))
-            yield _batch([[int(bucket[a]) for a, _ in runs], [0] * len(runs), [None] * len(runs), [anchor[a:b].tobytes() for a, b in runs], [context[a:b].tobytes() for a, b in runs], [np.diff(doc[a:b], prepend=0).tobytes() for a, b in runs]], _DEALT)
+        ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        rows = size = 0
+
+        def flush() -> pa.RecordBatch:
+            doc = np.concatenate(ids)
+            packed = np.unique(np.concatenate(held))
+            anchor, owner = packed >> np.uint64(16), doc[(packed & np.uint64(0xFFFF)).astype(np.int64)]
+            at = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
+            low = np.minimum.reduceat(owner, at[:-1])
+            many = low < np.maximum.reduceat(owner, at[:-1])
+            shared = np.repeat(many, np.diff(at))
+            out = answers(anchor[shared], owner[shared], buckets, blocks)
+            anchor, count = anchor[at[:-1]], np.where(many, np.diff(at), 1)
+            bucket = ((anchor >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            for a, b in _runs(bucket):
+                out.append((int(bucket[a]), None, ANCHORS, b - a, pack(low[a:b]), None, pack(np.diff(anchor[a:b].view(np.int64), prepend=0)), pack(count[a:b]), None, None))
+            return _batch(out)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            own = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_pieces(batch.column(1)):
-                for part, ends, origin in cut_texts(data, offsets):
-                    row, _, _, anchor, context = anchors(part, ends)
-                    if len(row):
-                        held.append((ids[lo:hi][origin[row, 0]], anchor, context))
+                for a in range(lo, hi, ROWS):
+                    b = min(a + ROWS, hi)
+                    if rows + b - a > ROWS:
+                        yield flush() if held else _batch([])
+                        ids, held, rows, size = [], [], 0, 0
+                    ids.append(own[a:b])
+                    inner = offsets[a - lo : b - lo + 1]
+                    for part, ends, origin in cut_texts(data[inner[0] : inner[-1]], inner - inner[0]):
+                        row, _, _, _, anchor = anchors(part, ends)
+                        if len(row):
+                            held.append(anchor << np.uint64(16) | (origin[row, 0] + rows).astype(np.uint64))
+                    rows += b - a
                 size += len(data)
-                if size >= FLUSH and held:
-                    yield from flush()
-                    size = 0
+                if size >= FLUSH:
+                    yield flush() if held else _batch([])
+                    ids, held, rows, size = [], [], 0, 0
         if held:
-            yield from flush()
+            yield flush()
+
+    return docs.mapInArrow(run, SHAPE)
 
-    return docs.mapInArrow(run, DEALT)
 
+def answers(anchor: np.ndarray, doc: np.ndarray, buckets: int, blocks: int) -> list[tuple]:
+    """A row for each block with the keys of its documents' shared anchors."""
+    block = block_of(doc, blocks)
+    key = pair_keys(anchor, doc)
+    order = np.lexsort([key, block])
+    block, key = block[order], key[order]
+    return [(int(block[a]) % buckets, int(block[a]), SHARED, b - a, None, None, pack(np.diff(key[a:b], prepend=0)), None, None, None) for a, b in _runs(block)]
 
-def compare_anchors(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind 1 and 2 for each document, from all anchors of each bucket."""
+
+def compare_anchors(dealt: DataFrame, buckets: int, blocks: int) -> DataFrame:
+    """Answers for each block, from all anchors of each bucket."""
 
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("kind").to_numpy()
-        done = group.filter(pa.array(kind != 0))
-        rows = group.filter(pa.array(kind == 0)).select(["anchor", "context", "doc"]).to_pylist()
-        if not rows:
-            return done
-        anchor = np.concatenate([np.frombuffer(r["anchor"], dtype=np.uint64) for r in rows])
-        context = np.concatenate([np.frombuffer(r["context"], dtype=np.uint32) for r in rows])
-        doc = np.concatenate([np.cumsum(np.frombuffer(r["doc"], dtype=np.int64)) for r in rows])
-        order = np.lexsort([doc, context, anchor])
-        doc, anchor, context = doc[order], anchor[order], context[order]
-        same = np.append(False, (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]))
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-        later = doc > doc[first]
-        out = [done, pa.Table.from_batches([_answers(1, doc[later], anchor[later], context[later], buckets)])] if later.any() else [done]
-        doc, anchor, context = doc[~same], anchor[~same], context[~same]
-        at = _split(anchor)
-        low, high = np.minimum.reduceat(doc, at[:-1]), np.maximum.reduceat(doc, at[:-1])
-        look = np.repeat(low < high, np.diff(at))
-        if look.any():
-            out.append(pa.Table.from_batches([_answers(2, doc[look], anchor[look], context[look], buckets)]))
-        return pa.concat_tables([t.cast(_DEALT) for t in out])
-
-    return dealt.groupBy("bucket").applyInArrow(run, DEALT)
-
-
-#: With doc_id: hashes of windows of that document that are covered; else hashes to compare and the smallest document of each.
-WINDOWS = "bucket int, doc_id long, key binary, doc binary"
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("doc", pa.binary())])
-
-
-def _listed(anchor: pa.Scalar, context: pa.Scalar) -> np.ndarray | None:
-    """The contexts that a document's answers name, as one number each."""
-    a, c = anchor.as_py(), context.as_py()
-    return mix(np.frombuffer(b"".join(a), dtype=np.uint64)) ^ np.frombuffer(b"".join(c), dtype=np.uint32) if a else None
-
-
-def _contexts(text: np.ndarray) -> Iterator[tuple[np.ndarray, int, tuple[np.ndarray, ...]]]:
-    """Parts of one text with their place in it and their contexts."""
-    for part, ends, origin in cut_texts(text, np.array([0, len(text)])):
-        yield part, int(origin[0, 1]), anchors(part, ends)[1:]
-
-
-def window_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One hash of the window at each of these places, from its own bytes."""
-    key = np.zeros(len(at), dtype=np.uint64)
-    for lo in range(0, len(at), PIECE):
-        words = np.zeros((len(at[lo : lo + PIECE]), 56), dtype=np.uint8)
-        words[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at[lo : lo + PIECE]]
-        for i, w in enumerate(words.view(np.uint64).T):
-            key[lo : lo + PIECE] = mix(key[lo : lo + PIECE] + w + np.uint64(i + 1))
-    return key
+        out = [group.filter(pa.array(kind != ANCHORS)).cast(_SHAPE)]
+        rows = group.filter(pa.array(kind == ANCHORS)).select(["n", "doc", "place", "size"]).to_pylist()
+        if rows:
+            anchor = np.concatenate([np.cumsum(unpack(r["place"], r["n"])) for r in rows]).view(np.uint64)
+            doc, count = (np.concatenate([unpack(r[c], r["n"]) for r in rows]) for c in ("doc", "size"))
+            order = np.argsort(anchor, kind="stable")
+            anchor, doc, count = anchor[order], doc[order], count[order]
+            at = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
+            total = np.add.reduceat(count, at[:-1])
+            many = (np.minimum.reduceat(doc, at[:-1]) < np.maximum.reduceat(doc, at[:-1])) | (np.maximum.reduceat(count, at[:-1]) > 1)
+            told = np.repeat(many, np.diff(at)) & (count == 1)
+            found = answers(anchor[told], doc[told], buckets, blocks)
+            hot = anchor[at[:-1]][many & (total > max(COMMON, COMMON_OF_BLOCK * blocks))]
+            if len(hot):
+                found += [(b % buckets, b, HOT, len(hot), None, None, pack(hot), None, None, None) for b in range(blocks)]
+            out.append(pa.Table.from_batches([_batch(found)]))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("bucket").applyInArrow(run, SHAPE)
+
+
+def beside_texts(texts: DataFrame, told: DataFrame, blocks: int) -> DataFrame:
+    """What blocks were told and then their texts, in order within each block."""
+    first = told.select("block", "kind", "n", "doc", "row", "place", "size", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("binary").alias("text"))
+    none = [F.lit(None).cast("binary").alias(c) for c in ("doc", "row", "place", "size")]
+    then = texts.select("block", F.lit(TEXT).alias("kind"), F.lit(None).cast("long").alias("n"), *none, "doc_id", "hash", "text")
+    return first.union(then).repartition(partitions(texts.sparkSession), "block").sortWithinPartitions("block", "kind", "doc_id", "hash")
+
+
+def in_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
+    """(block, rows, are they texts) of runs of a batch."""
+    block, text = batch.column(0).to_numpy(), batch.column(1).to_numpy() == TEXT
+    for a, b in _runs(2 * block.astype(np.int64) + text):
+        yield int(block[a]), batch.slice(a, b - a), bool(text[a])
 
 
-def deal_windows(joined: DataFrame, buckets: int) -> DataFrame:
-    """The windows to look into, by hash: those an earlier document of the task covers, and each with its smallest document."""
+def deal_pieces(beside: DataFrame, buckets: int, blocks: int) -> DataFrame:
+    """The contexts that share an anchor, as bytes by bucket, and the runs that a smaller document of the task covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            base = np.cumsum([0, *(len(x[0]) for x in held)])
-            data = np.concatenate([x[0] for x in held])
-            at = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
-            doc = np.concatenate([x[2] for x in held])
+        held: list[tuple[np.ndarray, ...]] = []
+        count, now = 0, -1
+        told: dict[int, list[np.ndarray]] = {SHARED: [], HOT: []}
+        keys: dict[int, np.ndarray] | None = None
+
+        def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+            if not len(listed):
+                return np.zeros(len(values), dtype=bool)
+            return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+        def contexts(ids: np.ndarray, marks: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+            nonlocal count
+            for part, ends, origin in cut_texts(data, offsets):
+                row, first, last, spot, anchor = anchors(part, ends)
+                mine = among(pair_keys(anchor, ids[origin[row, 0]]), keys[SHARED])
+                if not mine.any():
+                    continue
+                row, first, last, spot, anchor = (x[mine] for x in (row, first, last, spot, anchor))
+                common = among(anchor, keys[HOT].view(np.uint64))
+                if common.any():  # a context for each window, dealt by its own bytes
+                    n = np.where(common, last - first + 1, 1)
+                    of = np.repeat(np.arange(len(row)), n)
+                    shift = np.where(common[of], np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), 0)
+                    row, spot, anchor, common = row[of], spot[of], anchor[of], common[of]
+                    first = first[of] + shift
+                    last = np.where(common, first, last[of])
+                size = last - first + WINDOW
+                rows = taken_bytes(part, first, size, WIDE)
+                if common.any():
+                    anchor = np.where(common, word_hash(as_words(rows)) >> np.uint64(16), anchor)
+                line = origin[row, 0]
+                held.append((ids[line], marks[line], first - ends[row] + origin[row, 1], size, spot - first, anchor, rows))
+                count += len(row)
+
+        def flush() -> pa.RecordBatch:
+            doc, mark, place, size, off, anchor, rows = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, runs = suffix_order(data, at, doc)
-            covered, earliest = later_copies(order, doc, runs)
-            key = window_keys(data, at[earliest])
-            run = np.repeat(np.arange(len(earliest)), np.diff(runs))
-            ordered = doc[order]
-            new = np.append(True, (run[1:] != run[:-1]) | (ordered[1:] != ordered[:-1]))
-            chosen = np.flatnonzero(covered[order] & new)
-            chosen = chosen[np.argsort(ordered[chosen], kind="stable")]
-            copies, owner = key[run[chosen]], ordered[chosen]
-            runs = _split(owner)
-            runs = list(zip(runs[:-1], runs[1:], strict=True))
-            if runs:
-                yield _batch([[int(owner[a] % buckets) for a, _ in runs], [int(owner[a]) for a, _ in runs], [copies[a:b].tobytes() for a, b in runs], [None] * len(runs)], _WINDOWS)
-            bucket = (key >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.lexsort([doc[earliest], bucket])
-            key, bucket, earliest = key[order], bucket[order], earliest[order]
-            runs = _split(bucket)
-            runs = list(zip(runs[:-1], runs[1:], strict=True))
-            yield _batch([[int(bucket[a]) for a, _ in runs], [None] * len(runs), [key[a:b].tobytes() for a, b in runs], [np.diff(doc[earliest[a:b]], prepend=0).tobytes() for a, b in runs]], _WINDOWS)
+            whole = covered_whole(rows, size, doc)
+            out = run_rows(doc[whole], mark[whole], place[whole], (place + size)[whole], buckets, blocks)
+            doc, mark, place, size, off, anchor, rows = (x[~whole] for x in (doc, mark, place, size, off, anchor, rows))
+            bucket = ((anchor >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort([anchor, bucket])
+            for a, b in _runs(bucket[order]):
+                i = order[a:b]
+                data = rows[i][np.arange(WIDE) < size[i][:, None]].tobytes()
+                out.append((int(bucket[i[0]]), None, PIECES, b - a, pack(doc[i]), pack(mark[i]), pack(place[i]), pack(size[i]), pack(off[i]), pa.compress(data, codec=_CODEC, asbytes=True)))
+            return _batch(out)
 
         for batch in batches:
-            look = batch.column(4)
-            for i in np.flatnonzero(look.is_valid().to_numpy(zero_copy_only=False)):
-                if (listed := _listed(look[i], batch.column(5)[i])) is None:
+            for block, rows, is_text in in_blocks(batch):
+                if block != now:
+                    now, keys, told = block, None, {SHARED: [], HOT: []}
+                if not is_text:
+                    for kind, n, place in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(5).to_pylist(), strict=True):
+                        values = unpack(place, n)
+                        told[kind].append(np.cumsum(values) if kind == SHARED else values)
                     continue
-                doc_id = batch.column(0)[i].as_py()
-                text = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint8)
-                for part, _, (first, last, anchor, context) in _contexts(text):
-                    chosen = np.isin(mix(anchor) ^ context, listed)
-                    for a, b in zip(first[chosen].tolist(), last[chosen].tolist(), strict=True):
-                        at = np.arange(b - a + 1)
-                        held.append((part[a : b + WINDOW].copy(), at, np.full(len(at), doc_id, dtype=np.int64)))
-                        size += len(at)
-                if size >= FLUSH // 64:
-                    yield from flush()
-                    size = 0
+                if keys is None:
+                    keys = {k: np.unique(np.concatenate(v)) if v else np.zeros(0, dtype=np.int64) for k, v in told.items()}
+                    told = {}
+                if not len(keys[SHARED]):
+                    continue
+                ids, marks = rows.column(7).to_numpy(), rows.column(8).to_numpy()
+                for lo, hi, data, offsets in text_pieces(rows.column(9)):
+                    contexts(ids[lo:hi], marks[lo:hi], data, offsets)
+                    if count >= CONTEXTS:
+                        yield flush()
+                        count = 0
         if held:
-            yield from flush()
+            yield flush()
 
-    return joined.mapInArrow(run, WINDOWS)
+    return beside.mapInArrow(run, SHAPE)
 
 
-def compare_windows(dealt: DataFrame) -> DataFrame:
-    """(doc_id, key binary): the hashes of a document's windows that an earlier document holds."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
+def run_rows(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int, blocks: int) -> list[tuple]:
+    """A row for each block with the covered runs of its documents, made maximal."""
+    if not len(doc):
+        return []
+    order = np.lexsort([start, mark, doc])
+    doc, mark, start, end = doc[order], mark[order], start[order], end[order]
+    owner = np.append(0, np.cumsum((doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
+    at = np.searchsorted(owner, np.arange(owner[-1] + 1))
+    of, start, end = join_runs(owner, start, end)
+    doc, mark = doc[at][of], mark[at][of]
+    block = block_of(doc, blocks)
+    order = np.argsort(block, kind="stable")
+    doc, mark, start, end, block = (x[order] for x in (doc, mark, start, end, block))
+    return [(int(block[a]) % buckets, int(block[a]), RUNS, b - a, pack(doc[a:b]), pack(mark[a:b]), pack(start[a:b]), pack((end - start)[a:b]), None, None) for a, b in _runs(block)]
 
-    def run(group: pa.Table) -> pa.Table:
-        out = [group.filter(group.column("doc").is_null()).select(["doc_id", "key"]).cast(schema)]
-        rows = group.filter(group.column("doc").is_valid()).select(["key", "doc"]).to_pylist()
-        if rows:
-            key = np.concatenate([np.frombuffer(r["key"], dtype=np.uint64) for r in rows])
-            doc = np.concatenate([np.cumsum(np.frombuffer(r["doc"], dtype=np.int64)) for r in rows])
-            order = np.lexsort([doc, key])
-            covered, _ = later_copies(order, doc, _split(key[order]))
-            doc, key = doc[covered], key[covered]
-            order = np.argsort(doc, kind="stable")
-            runs = _split(doc[order])
-            runs = list(zip(runs[:-1], runs[1:], strict=True))
-            out.append(pa.Table.from_arrays([pa.array([int(doc[order[a]]) for a, _ in runs], pa.int64()), pa.array([key[order[a:b]].tobytes() for a, b in runs], pa.binary())], schema=schema))
-        return pa.concat_tables(out)
 
-    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, key binary")
+def compare_pieces(dealt: DataFrame, buckets: int, blocks: int) -> DataFrame:
+    """The covered runs for each block, from the contexts of each bucket in suffix order."""
 
+    def run(group: pa.Table) -> pa.Table:
+        kind = group.column("kind").to_numpy()
+        out = [group.filter(pa.array(kind != PIECES)).cast(_SHAPE)]
+        dealt_rows = group.filter(pa.array(kind == PIECES)).to_pylist()
+        if dealt_rows:
+            doc, mark, place, size, off = (np.concatenate([unpack(r[c], r["n"]) for r in dealt_rows]) for c in ("doc", "row", "place", "size", "off"))
+            inside = np.arange(WIDE) < size[:, None]
+            rows = np.zeros((len(doc), WIDE), dtype=np.uint8)
+            ends = np.cumsum([0, *(r["n"] for r in dealt_rows)])
+            for r, a, b in zip(dealt_rows, ends[:-1], ends[1:], strict=True):
+                n = int(size[a:b].sum())
+                rows[a:b][inside[a:b]] = np.frombuffer(pa.decompress(r["data"], decompressed_size=n, codec=_CODEC, asbytes=True), dtype=np.uint8)
+            whole = covered_whole(rows, size, doc)
+            left = np.flatnonzero(~whole)
+            of, start, end = covered_runs(rows[left], size[left], off[left], doc[left])
+            of = left[of]
+            all_of = np.concatenate([np.flatnonzero(whole), of])
+            starts = place[all_of] + np.concatenate([np.zeros(int(whole.sum()), dtype=np.int64), start])
+            ends = place[all_of] + np.concatenate([size[whole], end])
+            out.append(pa.Table.from_batches([_batch(run_rows(doc[all_of], mark[all_of], starts, ends, buckets, blocks))]))
+        return pa.concat_tables(out)
 
-def removed_runs(n: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs of what the intervals cover."""
-    depth = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, ends, -1)
-    gone = np.diff(np.concatenate([[0], (np.cumsum(depth)[:n] > 0).astype(np.int8), [0]]))
-    return np.flatnonzero(gone == 1), np.flatnonzero(gone == -1)
+    return dealt.groupBy("bucket").applyInArrow(run, SHAPE)
 
 
-def finish(joined: DataFrame) -> DataFrame:
+def finish(beside: DataFrame) -> DataFrame:
     """doc_id, kept bytes and the removed runs as (start, end) pairs of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+        now, told = -1, []
+        doc = mark = start = end = np.zeros(0, dtype=np.int64)
+        fresh = False
+
+        def batch_of(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            held = 0
-            for i in range(batch.num_rows):
-                raw = batch.column(1)[i].as_buffer()
-                text = np.frombuffer(raw, dtype=np.uint8)
-                covered, windows = _listed(batch.column(2)[i], batch.column(3)[i]), batch.column(6)[i].as_py()
-                starts, ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-                if covered is not None:
-                    found = [(first[m] + o, last[m] + o) for _, o, (first, last, anchor, context) in _contexts(text) for m in [np.isin(mix(anchor) ^ context, covered)]]
-                    starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
-                if windows:
-                    listed, keys = _listed(batch.column(4)[i], batch.column(5)[i]), np.frombuffer(b"".join(windows), dtype=np.uint64)
-                    for part, o, (first, last, anchor, context) in _contexts(text):
-                        m = np.isin(mix(anchor) ^ context, listed)
-                        at = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(a, b + 1) for a, b in zip(first[m].tolist(), last[m].tolist(), strict=True))])
-                        place = at[np.isin(window_keys(part, at), keys)] + o
-                        starts, ends = np.concatenate([starts, place]), np.concatenate([ends, place])
-                if len(starts):
-                    starts, ends = removed_runs(len(text), starts, ends + WINDOW)
-                    kept = b"".join(memoryview(raw)[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)], strict=True))
-                else:
-                    kept = raw.to_pybytes()
-                for column, value in zip(out, (batch.column(0)[i].as_py(), len(text), kept, starts, ends), strict=True):
-                    column.append(value)
-                held += len(kept)
-                if held > 4 * PIECE:
-                    yield _batch(out, schema)
-                    out, held = [[], [], [], [], []], 0
-            yield _batch(out, schema)
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
+            for block, rows, is_text in in_blocks(batch):
+                if block != now:
+                    now, told, fresh = block, [], True
+                if not is_text:
+                    for n, *columns in zip(*(rows.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
+                        told.append([unpack(c, n) for c in columns])
+                    continue
+                if fresh:
+                    doc, mark, start, end = (np.concatenate(x) for x in zip(*told, strict=True)) if told else [np.zeros(0, dtype=np.int64)] * 4
+                    order = np.lexsort([start, mark, doc])
+                    doc, mark, start, end = doc[order], mark[order], start[order], (start + end)[order]
+                    told, fresh = [], False
+                out: list[list] = [[], [], [], [], []]
+                held = 0
+                for doc_id, row, text in zip(rows.column(7).to_pylist(), rows.column(8).to_pylist(), rows.column(9), strict=True):
+                    raw = text.as_buffer()
+                    starts, ends = [], []
+                    if doc_id is not None:
+                        a, b = np.searchsorted(doc, doc_id), np.searchsorted(doc, doc_id, side="right")
+                        a, b = a + np.searchsorted(mark[a:b], row), a + np.searchsorted(mark[a:b], row, side="right")
+                        if b > a:
+                            _, x, y = join_runs(np.zeros(b - a, dtype=np.int64), start[a:b], end[a:b])
+                            starts, ends = x.tolist(), y.tolist()
+                    kept = b"".join(memoryview(raw)[i:j] for i, j in zip([0, *ends], [*starts, len(raw)], strict=True)) if starts else raw.to_pybytes()
+                    for column, value in zip(out, (doc_id, len(raw), kept, starts, ends), strict=True):
+                        column.append(value)
+                    held += len(kept)
+                    if held > 4 * PIECE:
+                        yield batch_of(out)
+                        out, held = [[], [], [], [], []], 0
+                yield batch_of(out)
+
+    return beside.mapInArrow(run, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), starts and ends of the removed runs, for every document."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    answers = compare_anchors(deal_anchors(texts.where("doc_id IS NOT NULL"), buckets), buckets)
-    names = ["covered", "covered_context", "look", "look_context"]
-    lists = [F.collect_list(F.when(F.col("kind") == kind, F.col(name))) for kind in (1, 2) for name in ("anchor", "context")]
-    by_doc = cut(answers.groupBy("doc_id").agg(*(c.alias(n) for c, n in zip(lists, names, strict=True))))
-    joined = texts.join(by_doc, "doc_id", "left").select("doc_id", "text", *names)
-    windows = compare_windows(deal_windows(joined, buckets)).groupBy("doc_id").agg(F.collect_list("key").alias("windows"))
-    return finish(joined.join(windows, "doc_id", "left").select("doc_id", "text", *names, "windows"))
+    blocks, buckets = 4 * partitions(spark), 2 * partitions(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).withColumn("hash", F.xxhash64("text"))
+    texts = texts.withColumn("block", F.coalesce(_block("doc_id", blocks), F.pmod("hash", F.lit(blocks)).cast("int")))
+    known = texts.where("doc_id IS NOT NULL")
+    shared = cut(compare_anchors(deal_anchors(known.select("doc_id", "text"), buckets, blocks), buckets, blocks))
+    pieces = deal_pieces(beside_texts(known, shared, blocks), buckets, blocks)
+    return finish(beside_texts(texts, cut(compare_pieces(pieces, buckets, blocks)), blocks))
 
 
 def digests(removed: DataFrame) -> DataFrame:
@@ -387,4 +536,3 @@ def digests(removed: DataFrame) -> DataFrame:
     return removed.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept").cast("long")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
-

@@ -386,11 +386,11 @@ def test_long_texts_are_cut_without_losing_windows(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     found = set()
     for part, ends, origin in repeats.cut_texts(text, np.array([0, len(text)])):
-        _, first, last, anchor, _ = repeats.anchors(part, ends)
+        _, first, last, _, anchor = repeats.anchors(part, ends)
         for a, b, h in zip(first, last, anchor, strict=True):
             found |= {(int(s + origin[0, 1]), int(h)) for s in range(a, b + 1)}
     monkeypatch.undo()
-    _, first, last, anchor, _ = repeats.anchors(text, np.array([0, len(text)]))
+    _, first, last, _, anchor = repeats.anchors(text, np.array([0, len(text)]))
     assert found == {(int(s), int(h)) for a, b, h in zip(first, last, anchor, strict=True) for s in range(a, b + 1)}
     assert {s for s, _ in found} == set(range(len(text) - 49))
 
