@@ -14,8 +14,8 @@ No task could hold the suffixes of a whole corpus, so they are dealt out; hashes
 3. What shares an anchor is put in suffix order, contexts first and then the windows of those left, and the
    longest-previous-factor lengths give the covered runs, which go back to the blocks, where the texts are cut.
 
-A block is made of rows, not of keys, and grows only with the number of shuffle partitions; repeated doc_ids are told
-apart by a hash of their texts.
+A block is what goes to one shuffle partition, by a mix of the bits of doc_id; its texts pass as a stream. Rows that repeat
+a doc_id stand in one block in order of the hashes of their texts, and are told apart by their place in it.
 
 Defined cases: a null text is an empty one; texts under 50 bytes stay as they are; rows that repeat a doc_id don't
 cover each other, and each is judged by itself; rows without a doc_id stay as they are and cover nothing; extra columns
@@ -339,7 +339,26 @@ def beside_texts(texts: DataFrame, told: DataFrame, blocks: int) -> DataFrame:
     first = told.select("block", "kind", "n", "doc", "row", "place", "size", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("binary").alias("text"))
     none = [F.lit(None).cast("binary").alias(c) for c in ("doc", "row", "place", "size")]
     then = texts.select("block", F.lit(TEXT).alias("kind"), F.lit(None).cast("long").alias("n"), *none, "doc_id", "hash", "text")
-    return first.union(then).repartition(partitions(texts.sparkSession), "block").sortWithinPartitions("block", "kind", "doc_id", "hash")
+    return first.union(then).repartitionById(blocks, "block").sortWithinPartitions("block", "kind", "doc_id", "hash")
+
+
+class Marks:
+    """Numbers rows that repeat a doc_id, as they come in order of doc_id and hash: the same in each pass."""
+
+    def __init__(self) -> None:
+        self.last: tuple[int | None, int] = (None, -1)
+
+    def of(self, ids: pa.Array) -> np.ndarray:
+        there = ids.is_valid().to_numpy(zero_copy_only=False)
+        out, own = np.zeros(len(ids), dtype=np.int64), ids.drop_null().to_numpy(zero_copy_only=False)
+        if len(own):
+            at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            marks = np.arange(len(own)) - np.repeat(at, np.diff(np.append(at, len(own))))
+            if self.last[0] == own[0]:
+                marks[: at[1] if len(at) > 1 else len(own)] += self.last[1] + 1
+            self.last = (int(own[-1]), int(marks[-1]))
+            out[there] = marks
+        return out
 
 
 def in_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
@@ -357,6 +376,7 @@ def deal_pieces(beside: DataFrame, buckets: int, blocks: int) -> DataFrame:
         count, now = 0, -1
         told: dict[int, list[np.ndarray]] = {SHARED: [], HOT: []}
         keys: dict[int, np.ndarray] | None = None
+        numbered = Marks()
 
         def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
             if not len(listed):
@@ -413,9 +433,10 @@ def deal_pieces(beside: DataFrame, buckets: int, blocks: int) -> DataFrame:
                 if keys is None:
                     keys = {k: np.unique(np.concatenate(v)) if v else np.zeros(0, dtype=np.int64) for k, v in told.items()}
                     told = {}
+                marks = numbered.of(rows.column(7))
                 if not len(keys[SHARED]):
                     continue
-                ids, marks = rows.column(7).to_numpy(), rows.column(8).to_numpy()
+                ids = rows.column(7).to_numpy()
                 for lo, hi, data, offsets in text_pieces(rows.column(9)):
                     contexts(ids[lo:hi], marks[lo:hi], data, offsets)
                     if count >= CONTEXTS:
@@ -476,7 +497,7 @@ def finish(beside: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, told = -1, []
+        now, told, numbered = -1, [], Marks()
         doc = mark = start = end = np.zeros(0, dtype=np.int64)
         fresh = False
 
@@ -498,7 +519,7 @@ def finish(beside: DataFrame) -> DataFrame:
                     told, fresh = [], False
                 out: list[list] = [[], [], [], [], []]
                 held = 0
-                for doc_id, row, text in zip(rows.column(7).to_pylist(), rows.column(8).to_pylist(), rows.column(9), strict=True):
+                for doc_id, row, text in zip(rows.column(7).to_pylist(), numbered.of(rows.column(7)).tolist(), rows.column(9), strict=True):
                     raw = text.as_buffer()
                     starts, ends = [], []
                     if doc_id is not None:
@@ -522,7 +543,7 @@ def finish(beside: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), starts and ends of the removed runs, for every document."""
     spark = docs.sparkSession
-    blocks, buckets = 4 * partitions(spark), 2 * partitions(spark)
+    blocks, buckets = partitions(spark), 2 * partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).withColumn("hash", F.xxhash64("text"))
     texts = texts.withColumn("block", F.coalesce(_block("doc_id", blocks), F.pmod("hash", F.lit(blocks)).cast("int")))
     known = texts.where("doc_id IS NOT NULL")
