@@ -3,14 +3,15 @@
 A template is a function from a list of (role, text) turns to a string; nothing else is known of it. The prefixes of a
 conversation are rendered one after the other. Where each output starts with the one before, what it adds is the span of
 its turn; a template for which some output does not start with the one before rewrites history, and is reported. Inside
-a span, the text stands between what the template writes before and after it, which two probes of the role's turn show:
-outputs for two different texts agree before and after them.
+a span, the text stands between what the template writes before and after it, which two probes at the turn's own place
+show: outputs for two different texts behind the same prefix agree before and after them. A turn whose span does not
+fit its probes, and every turn of a rewritten conversation, has an empty text and is not under the loss mask.
 
-The instruct template of this module marks turns and escapes its control strings inside texts: before a control string,
-with or without backslashes before it, one more backslash is written after its first character's place; reading takes it
-away again.
+The instruct template of this module marks turns and escapes its control strings inside texts: after the first character
+of a control string, whole or already escaped, one more backslash is written, so that none is left whole; reading takes
+it away again.
 
-Defined cases: rows without a conv_id form one conversation; a null role or text is empty; turns that repeat a number
+Defined cases: rows without a conv_id are conversations of one turn each; a null role or text is empty; turns that repeat a number
 follow each other by role and text; a null turn comes first; an empty table gives an empty result; extra columns are
 ignored. A conversation's rows are handled in one task, since a prefix has to be rendered whole; its cost grows with
 its turns times its length, whatever the other conversations.
@@ -22,6 +23,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,17 +34,19 @@ Template = Callable[[list[Turn]], str]
 
 #: The control strings of the instruct template.
 CONTROL = ("[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[TURN", "[/TURN]", "<s>", "</s>")
-_ESCAPE = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROL)) + ")")
-_UNESCAPE = re.compile(r"\\(\\*)(" + "|".join(map(re.escape, CONTROL)) + ")")
+_BROKEN = "|".join(rf"(?<={re.escape(c[0])}){{}}(\\*)(?={re.escape(c[1:])})" for c in CONTROL)
+_ESCAPE = re.compile(_BROKEN.replace("{}", ""))
+_UNESCAPE = re.compile(_BROKEN.replace("{}", r"\\"))
 
 
+@lru_cache(maxsize=1024)
 def escape(text: str) -> str:
-    """A text in which every control string has at least one backslash before it."""
-    return _ESCAPE.sub(r"\\\1\2", text)
+    """A text in which no control string is left whole. A conversation's prefixes repeat its texts, so the last ones are kept."""
+    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1\2", text)
+    return _UNESCAPE.sub(lambda m: m[0][1:], text)
 
 
 def instruct(turns: list[Turn]) -> str:
@@ -75,9 +79,12 @@ def common(a: str, b: str) -> int:
     return low
 
 
-def frame(template: Template, role: str) -> tuple[str, str]:
-    """What the template writes before and after the text of a role's turn, from two probes."""
-    one, two = template([(role, "a1")]), template([(role, "b2")])
+def frame(template: Template, before: list[Turn], prefix: str, role: str) -> tuple[str, str] | None:
+    """What the template writes before and after the text of a role's turn behind these turns, from two probes; None if it rewrites them."""
+    one, two = template([*before, (role, "a1")]), template([*before, (role, "b2")])
+    if not (one.startswith(prefix) and two.startswith(prefix)):
+        return None
+    one, two = one[len(prefix) :], two[len(prefix) :]
     start = common(one, two)
     end = common(one[::-1], two[::-1])
     return one[:start], one[len(one) - end :]
@@ -105,7 +112,6 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ends", pa.list_(pa.int64())), ("text_starts", pa.list_(pa.int64())), ("text_ends", pa.list_(pa.int64())), ("loss", pa.list_(pa.bool_())), ("rewrites", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames: dict[str, tuple[str, str]] = {}
         held: list[list] = [[] for _ in schema]
         size = 0
         turns: list[Turn] = []
@@ -114,22 +120,22 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
         def close(conv_id: int | None) -> None:
             nonlocal size
             output, ends, rewrites = locate(template, turns)
-            starts, stops, start = [], [], 0
-            for (role, _), end in zip(turns, ends, strict=True):
-                if role not in frames:
-                    frames[role] = frame(template, role)
-                before, after = frames[role]
-                framed = output[start:end].startswith(before) and output[start:end].endswith(after) and end - start >= len(before) + len(after)
-                starts.append(start + len(before) if framed else start)
-                stops.append(end - len(after) if framed else end)
+            starts, stops, loss, start = [], [], [], 0
+            for k, ((role, _), end) in enumerate(zip(turns, ends, strict=True)):
+                marks = None if rewrites else frame(template, turns[:k], output[:start], role)
+                span = output[start:end]
+                framed = marks is not None and span.startswith(marks[0]) and span.endswith(marks[1]) and len(span) >= len(marks[0]) + len(marks[1])
+                starts.append(start + len(marks[0]) if framed else end)
+                stops.append(end - len(marks[1]) if framed else end)
+                loss.append(framed and role in learn)
                 start = end
-            for column, value in zip(held, (conv_id, output, ends, starts, stops, [role in learn for role, _ in turns], rewrites), strict=True):
+            for column, value in zip(held, (conv_id, output, ends, starts, stops, loss, rewrites), strict=True):
                 column.append(value)
             size += len(output)
 
         for batch in batches:
             for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if current is not None and current != (conv_id,):
+                if current is not None and (conv_id is None or current != (conv_id,)):
                     close(current[0])
                     turns = []
                     if size > 1 << 22:
@@ -143,7 +149,7 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, schema.types, strict=True)], schema=schema)
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    ordered = rows.repartition(F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return ordered.mapInArrow(run, FORMATTED)
 
 

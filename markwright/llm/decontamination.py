@@ -10,8 +10,8 @@ the sketches, which leaves few candidates and loses none; they are confirmed by
 Shingles are sequences of `k` words with A-Z in lower case; an item with fewer words is one shingle of all its words.
 
 Defined cases: items without words match nothing; null and blank texts hold nothing; rows that repeat an id count as
-one document or item if their texts agree, else each text is judged and the greatest containment counts; extra columns
-are ignored; empty tables give empty results.
+one document or item if their texts agree, else each text is judged and the greatest containment counts; rows without an
+id are not reported by find_items, but drop_contaminated judges them too; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -101,9 +101,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that hold no item; columns as they come."""
-    gone = cut(find_items(docs, benchmark, k, threshold).select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no item; columns as they come.
+
+    Texts are told apart by their hash, not by doc_id, so that rows without an id, or with one that repeats, are each
+    judged by their own text.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    gone = cut(find_items(docs.select(key.alias("doc_id"), "text"), benchmark, k, threshold).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small(gone), key == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 #: DuckDB's version of find_items with k = 5 and threshold 0.8, by shingles alone.

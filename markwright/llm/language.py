@@ -9,13 +9,12 @@ threshold is the least score from which on that part's predictions are right in
 
 Languages are learned only from rows whose held_out is false; language, source and id are never inputs.
 
-Defined cases: a null text or one without a letter gets `und` and score 0; with no label at all every text does; null
-labels are not learned; extra columns are ignored; an empty table gives an empty result.
+Defined cases: a null text or one without a letter (Unicode category L) gets `und` and score 0; with no label at all every text does; null
+labels are not learned; rows that repeat a doc_id are judged each by its text; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ from markwright.llm.vectors import text_pieces
 #: Labelled documents in the sample, subwords drawn from each, size of the hash table and of an embedding.
 BOUND, DRAWN, TABLE, DIM = 6000, 400, 1 << 15, 16
 RIGHT = 0.99
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, dtype=np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -141,7 +139,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         m = shared.value
         for batch in batches:
             for lo, hi, data, offsets in text_pieces(batch.column(2)):
-                lettered = np.array([t is not None and _LETTER.search(t) is not None for t in batch.column(2).slice(lo, hi - lo).to_pylist()])
+                lettered = batch.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 lang, score, low = ["und"] * (hi - lo), np.zeros(hi - lo), np.ones(hi - lo, dtype=bool)
                 if m is not None:
                     places, count = subwords(data, offsets)
@@ -155,4 +153,5 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score), pa.array(low)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")

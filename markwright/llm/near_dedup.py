@@ -12,8 +12,9 @@ Two documents with similarity 0.8 share no band with probability (1 - 0.8**4)**2
 one with probability below 1e-6.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a text with fewer words than a shingle
-has its whole word sequence as its only shingle; rows that repeat a doc_id count as one document if their texts agree;
-extra columns are ignored; empty tables give empty results.
+has its whole word sequence as its only shingle; rows that repeat a doc_id count as one document if their texts agree,
+else the text with the greatest digest of those it is the first of stands for the id in comparisons; a row without a doc_id is linked
+with nothing and has no component_id; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -76,6 +77,11 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix(mix(parts).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def set_digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit numbers for each set."""
+    return np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets])
+
+
 def features(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, set size, 128-bit digest of the set, odd sketch and band keys of every document."""
 
@@ -84,7 +90,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
             for lo, hi, data, offsets in text_pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
                 samples = np.stack([minima(s) for s in sets])
-                digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets])
+                digests = set_digests(sets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), list_array(odd_sketches(samples)), list_array(band_keys(samples))],
                     ["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"],
@@ -94,16 +100,17 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, fine: bool = False) -> DataFrame:
-    """(doc_id, shingles binary, fine) of the documents whose doc_id is in ids: the sorted shingle hashes, the fine sketch or null."""
+    """(doc_id, shingles binary, fine) of the documents with the doc_id and set digest of ids: the sorted shingle hashes, the fine sketch or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
+                own = pa.array(set_digests(sets)[:, 0] == batch.column(2).slice(lo, hi - lo).to_numpy())
                 maps = list_array(odd_sketches(np.stack([minima(s, FINE_SAMPLE) for s in sets]), FINE_BITS)) if fine else pa.nulls(hi - lo, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()), maps], ["doc_id", "shingles", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()), maps], ["doc_id", "shingles", "fine"]).filter(own)
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("doc_id", "text", "d1")
     return chosen.mapInArrow(run, "doc_id long, shingles binary, fine array<long>")
 
 
@@ -148,15 +155,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent is {percent}; under {LEAST_PERCENT} the bands and sketches would lose links")
     found = cut(features(docs, k))
-    classes = cut(found.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = found.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = cut(reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch", "bands"))
+    classes = cut(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
+    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max(F.struct("d1", "d2")).alias("d")).select("doc_id", "d.d1", "d.d2")
+    reps = found.join(chosen, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
+    reps = cut(reps.select("doc_id", "d1", F.col("n_shingles").alias("n"), "sketch", "bands"))
     light = reps.select("doc_id", "n", "sketch", "bands")
 
     # Buckets with more than one member; the centre is the smallest member.
     members = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = cut(members.join(buckets, "key"))
+    buckets = cut(members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1"))
+    # Both sides of a merge join come straight from their exchanges, so that Spark can split a bucket that holds a large part of all rows.
+    members = cut(members.join(buckets.hint("merge"), "key"))
 
     def side(name: str) -> DataFrame:
         return light.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
@@ -165,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent)).select("a", "b")
 
     tried = cut(near(members.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))))
-    ids = cut(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct())
+    ids = cut(reps.select("doc_id", "d1").join(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct(), "doc_id", "left_semi"))
     sets = cut(full_sets(docs, small(ids), k).dropDuplicates(["doc_id"]))
     links = cut(confirmed(tried, sets, percent))
     labels = components(links)
@@ -177,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = placed.join(known.select(F.col("doc_id").alias("centre"), F.col("component").alias("hub")), "centre", "left").withColumn("hub", F.coalesce("hub", "centre"))
     mixed = placed.groupBy("key").agg(F.count_if(F.col("component") != F.col("hub")).alias("others")).where("others > 0").select("key")
     placed = cut(placed.join(mixed, "key").join(light, "doc_id").select("key", "band", "doc_id", "centre", "component", "hub", "n", "sketch", "bands"))
-    ids = cut(placed.select("doc_id").distinct())
+    ids = cut(reps.select("doc_id", "d1").join(placed.select("doc_id").distinct(), "doc_id", "left_semi"))
     sets = cut(full_sets(docs, small(ids), k, fine=True).dropDuplicates(["doc_id"]))
     placed = cut(placed.join(sets.select("doc_id", "fine"), "doc_id"))
     x = placed.where("component <> hub").select("key", F.col("doc_id").alias("a"), F.col("component").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("fine").alias("a_fine"), F.col("bands").alias("a_bands"), "band")
@@ -193,14 +202,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     named = found.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that a document with a smaller doc_id represents; columns as they come.
 
-    Documents without a doc_id are kept, since nothing can be said of them.
+    Documents without a doc_id are kept, since nothing can be said of them. Of rows with equal doc_id and text one is kept.
     """
     gone = cut(near_duplicates(docs.where("doc_id IS NOT NULL"), k, percent).where("NOT kept").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    twice = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"))
+    n = twice.count()
+    if not n:
+        return left
+    repeated = left.join(small(twice, n), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(small(twice, n), "doc_id", "left_anti").select(*docs.columns).union(repeated)

@@ -69,11 +69,11 @@ def test_oracle(spark, name):
 def test_escape_is_reversible(text):
     out = chat_format.escape(text)
     assert chat_format.unescape(out) == text
-    assert not re.search(r"(?<!\\)(?:" + "|".join(map(re.escape, chat_format.CONTROL)) + ")", out)
+    assert not any(c in out for c in chat_format.CONTROL)
 
 
 def test_chat(spark):
-    rows = [(1, 1, "assistant", "b [/INST] </s>", 0), (1, 0, "user", None, 0), (2, 0, "tool] {x}", "t", 0), (2, 1, "assistant", "a", 0), (2, 2, "assistant", "a", 0), (None, 0, "user", "q", 0), (3, None, "system", "s", 0), (3, 0, None, "n", 0)]
+    rows = [(1, 1, "assistant", "b [/INST] </s>", 0), (1, 0, "user", None, 0), (2, 0, "tool] {x}", "t", 0), (2, 1, "assistant", "a", 0), (2, 2, "assistant", "a", 0), (3, None, "system", "s", 0), (3, 0, None, "n", 0)]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int").repartition(3)
     got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(conv)).collect()}
     by = defaultdict(list)
@@ -89,6 +89,22 @@ def test_chat(spark):
     assert chat_format.format_conversations(conv.limit(0)).isEmpty()
 
 
+def test_rows_without_a_conversation_are_each_one(spark):
+    conv = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 1, "assistant", "a"), (7, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    got = chat_format.read_back(chat_format.format_conversations(conv)).collect()
+    assert Counter((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got) == {(None, 1, 0): 1, (None, 1, 1): 2, (7, 1, 0): 1}
+
+
+def test_marks_that_depend_on_the_place_are_found(spark):
+    numbered = lambda turns: "".join(f"{i}{r}> {t} <{'!' * i}\n" for i, (r, t) in enumerate(turns))
+    conv = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate([("user", "one"), ("assistant", "two <"), ("assistant", "")])], "conv_id long, turn long, role string, text string")
+    row = chat_format.format_conversations(conv, numbered).first()
+    assert [row["formatted"][a:b] for a, b in zip(row["text_starts"], row["text_ends"], strict=True)] == ["one", "two <", ""] and row["loss"] == [False, True, True]
+    last = lambda turns: "".join(f"{t}\n" for _, t in turns[:-1]) + f"*{turns[-1][1]}\n"
+    row = chat_format.format_conversations(conv, last).first()
+    assert row["rewrites"] and not any(row["loss"])
+
+
 def test_rewriting_template_is_found():
     def only_last_marked(turns):
         return "".join(f"{r}:{t}\n" for r, t in turns[:-1]) + f"*{turns[-1][0]}:{turns[-1][1]}\n"
@@ -202,10 +218,24 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.fingerprints(empty).isEmpty()
 
 
-def test_equal_digests_of_different_bytes_are_told_apart(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
-    same = spark.createDataFrame([(1, "d"), (2, "d"), (3, "d")], "doc_id long, digest string")
-    assert [r["doc_id"] for r in fingerprints.collisions(docs, same).collect()] == [3]
+def test_equal_digests_of_different_bytes_are_told_apart(spark, monkeypatch):
+    same = spark.createDataFrame([("d", b"a"), ("d", b"a"), ("e", b"a"), ("e", b"b"), ("f", b"c")], "digest string, canon binary")
+    assert [r["digest"] for r in fingerprints.colliding(same).collect()] == ["e"]
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.substring(canon, 1, 1))
+    docs = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "AB "), (4, "b"), (None, "ac"), (4, "ab")], "doc_id long, text string")
+    by = defaultdict(set)
+    for r in fingerprints.fingerprints(docs).join(docs.withColumnRenamed("text", "t"), "doc_id").collect():
+        by[r["doc_id"]].add(r["fingerprint"])
+    found = {r["fingerprint"]: 0 for r in fingerprints.fingerprints(docs).collect()}
+    assert len(found) == 3 and by[1] == by[3] and by[1] != by[2] and by[4] == by[1] | {"b"}
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    """Rows that repeat an id, or have none, are documents of their own; equal texts have equal fingerprints."""
+    docs = spark.createDataFrame([(1, "alpha beta", "x"), (1, "gamma delta", "y"), (2, "alpha beta", "z"), (None, "alpha  BETA", None)], "doc_id long, text string, own string")
+    got = Counter((r["doc_id"], r["fingerprint"]) for r in fingerprints.fingerprints(docs).collect())
+    one = next(f for i, f in got if i == 2)
+    assert got[1, one] == got[2, one] == got[None, one] == 1 and len({f for _, f in got}) == 2 and sum(got.values()) == 4
 
 
 # 6
