@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwright.sources.files import cut, shared_dir  # noqa: F401
+from markwright.sources.files import cut, scratch, shared_dir  # noqa: F401
 
 #: A side of a join is broadcast only if it has been counted and holds no more rows than this.
 BROADCAST_ROWS = 200_000
