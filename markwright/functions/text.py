@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markwright.functions import chars as C
 
 
+#: White space but for the line feed.
+BLANK = C.SPACE.replace(r"\n", "")
+#: White space at the end; a run is tried from its first character only, so that long runs cost no more than their length.
+END_SPACE = rf"(?<!{C.S}){C.S}++\z"
+
+
 def trim_space(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A{C.S}+|{C.S}+\z", "")
+    return F.regexp_replace(text, rf"\A{C.S}++|{END_SPACE}", "")
+
+
+def trim_end(text: Column) -> Column:
+    """Without white space of any kind at the end."""
+    return F.regexp_replace(text, END_SPACE, "")
 
 
 def unix_newlines(text: Column) -> Column:
@@ -31,8 +43,10 @@ def text_receipt(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """A model's output as an answer sheet: one outer fence off, nothing before the answer heading, option lists out of math."""
     clean = trim_space(unix_newlines(F.coalesce(text, F.lit(""))))
-    unfenced = F.regexp_replace(clean, rf"(?is)\A```(?:markdown|md)?{C.S}*\n(.*?)\n```{C.S}*\z", "$1")
-    unfenced = trim_space(unfenced)
+    # Most texts have no fence, and nothing to trim after the first time.
+    opened = F.regexp_replace(clean, rf"(?i)\A```(?:markdown|md)?[{BLANK}]*+\n", "")
+    whole = clean.startswith("```") & (F.length(opened) < F.length(clean)) & opened.endswith("\n```")
+    unfenced = F.when(whole, trim_space(F.substring(opened, F.lit(1), F.length(opened) - 4))).otherwise(clean)
     at = F.regexp_instr(unfenced, F.lit(C.ANSWER_HEADING))
     answer = F.when(at > 0, F.substring(unfenced, at, F.length(unfenced))).otherwise(unfenced)
     return F.regexp_replace(answer, C.OPTION_LIST, "$1")
@@ -41,7 +55,7 @@ def normalize_answer(text: Column) -> Column:
 def join_question_leads(text: Column) -> Column:
     """A line that holds only a marked question number, joined to the next non-blank line if that starts a sub-question."""
     clean = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    pattern = rf"(?m)^([{C.SPACE.replace(chr(92) + 'n', '')}]*{C.LEAD_MARKED}){C.S}*\n{C.S}*(?={C.SUB_NUMBER})"
+    pattern = rf"(?m)^([{BLANK}]*{C.LEAD_MARKED})(?=[{BLANK}]*+\n){C.S}++(?={C.SUB_NUMBER})"
     return F.regexp_replace(clean, pattern, "$1 ")
 
 
@@ -62,7 +76,7 @@ def title_and_body(text: Column) -> Column:
     clean = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     title = F.regexp_extract(clean, r"\A#[ \t]+([^\n]+)", 1)
     found = title != ""
-    body = F.regexp_replace(F.regexp_replace(clean, r"\A[^\n]*\n?", ""), rf"\A{C.S}+", "")
+    body = F.regexp_replace(F.regexp_replace(clean, r"\A[^\n]*\n?", ""), rf"\A{C.S}++", "")
     return F.struct(F.when(found, trim_space(title)).alias("title"), F.when(found, body).alias("body"), F.when(~found, F.lit("no title heading")).alias("error"))
 
 
@@ -87,9 +101,26 @@ def same_bag(a: Column, b: Column) -> Column:
     return F.array_sort(a).eqNullSafe(F.array_sort(b))
 
 
-def fingerprint(payload: Column) -> Column:
-    """snapshot- and 16 hexadecimal digits of the SHA-256 of a struct's JSON; the struct's fields must be in key order."""
-    return F.concat(F.lit("snapshot-"), F.substring(F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256), 1, 16))
+def in_key_order(value: Column, kind: T.DataType) -> Column:
+    """A value of this type with the fields of its structs in key order, and the entries of its maps, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = [in_key_order(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: in_key_order(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), in_key_order(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return value
+
+
+def fingerprint(payload: Column, kind: T.DataType | None = None) -> Column:
+    """snapshot- and 16 hexadecimal digits of the SHA-256 of a struct's JSON.
+
+    Keys come in order at every depth if the type is given; else the struct's fields must already stand in key order.
+    """
+    ordered = payload if kind is None else in_key_order(payload, kind)
+    return F.concat(F.lit("snapshot-"), F.substring(F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256), 1, 16))
 
 
 def natural_key(name: Column) -> Column:

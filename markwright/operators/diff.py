@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwright.functions import chars as C
-from markwright.functions.text import unix_newlines
+from markwright.functions.text import trim_end, unix_newlines
 
 #: Cells of the table that are held at once; a larger table is made again from kept rows, in blocks.
 HELD = 16_000_000
@@ -76,40 +75,45 @@ def script(left: list[str], right: list[str]) -> list[str]:
     return [*out, *(f"+{v}" for v in b[j:])]
 
 
-def line_diff(pairs: DataFrame, key: str = "pair_id", max_cells: int | None = None) -> DataFrame:
-    """(key, lines, added, removed, too_large) for (key, before_text, after_text).
+def line_diff(pairs: DataFrame, key: str = "pair_id", max_cells: int | None = None, *keep: str) -> DataFrame:
+    """(key, keep..., lines, added, removed, too_large) for (key, keep..., before_text, after_text).
 
     Texts are compared with CRLF and CR as LF and without white space at the end. Equal texts never reach Python. Work is
     dealt out by the estimated number of cells, so that a few long pairs do not meet in one task. Every pair is diffed;
     only if max_cells is given, pairs of more line pairs than that, after what both start with, are reported as too large.
     """
-    clean = lambda c: F.split(F.regexp_replace(unix_newlines(F.coalesce(c, F.lit(""))), rf"{C.S}+\z", ""), "\n", -1)
-    ready = pairs.select(key, clean("before_text").alias("a"), clean("after_text").alias("b"))
+    clean = lambda c: trim_end(unix_newlines(F.coalesce(c, F.lit(""))))
+    ready = pairs.select(key, *keep, clean("before_text").alias("a"), clean("after_text").alias("b"))
     same = F.col("a") == F.col("b")
-    kind = pairs.schema[key].dataType.simpleString()
+    names = [key, *keep]
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for left, right in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for a, b in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+                left, right = a.split("\n"), b.split("\n")
                 start = _shared(left, right)
                 large = max_cells is not None and (len(left) - start) * (len(right) - start) > max_cells
                 lines = None if large else script(left, right)
                 rows.append((lines, None if large else sum(x[0] == "+" for x in lines), None if large else sum(x[0] == "-" for x in lines), large))
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.string()), pa.int64(), pa.int64(), pa.bool_()), strict=True))], [key, "lines", "added", "removed", "too_large"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.string()), pa.int64(), pa.int64(), pa.bool_()), strict=True))], [*names, "lines", "added", "removed", "too_large"])
 
     differ = ready.where(~same).repartition(F.pmod(F.xxhash64(key), F.lit(1 << 16)))
-    changed = differ.mapInArrow(run, f"{key} {kind}, lines array<string>, added long, removed long, too_large boolean")
-    equal = ready.where(same).select(key, F.transform("a", lambda x: F.concat(F.lit(" "), x)).alias("lines"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("removed"), F.lit(False).alias("too_large"))
+    changed = differ.mapInArrow(run, f"{kinds}, lines array<string>, added long, removed long, too_large boolean")
+    equal = ready.where(same).select(*names, F.transform(F.split("a", "\n", -1), lambda x: F.concat(F.lit(" "), x)).alias("lines"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("removed"), F.lit(False).alias("too_large"))
     return changed.unionByName(equal)
 
 
 def diff_report(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, before_sha256, after_sha256, changed, added, removed): hashes of the raw texts, the flag on the cleaned ones."""
-    clean = lambda c: F.regexp_replace(unix_newlines(F.coalesce(c, F.lit(""))), rf"{C.S}+\z", "")
-    facts = pairs.select(key, F.sha2("before_text", 256).alias("before_sha256"), F.sha2("after_text", 256).alias("after_sha256"), (clean("before_text") != clean("after_text")).alias("changed"))
-    return facts.join(line_diff(pairs, key).select(key, "added", "removed"), key)
+    """(key, before_sha256, after_sha256, changed, added, removed): hashes of the raw texts, the flag on the cleaned ones.
+
+    The hashes go along with the texts that are diffed, so that only changed texts are shuffled, once.
+    """
+    hashed = pairs.withColumns({"before_sha256": F.sha2("before_text", 256), "after_sha256": F.sha2("after_text", 256)})
+    found = line_diff(hashed, key, None, "before_sha256", "after_sha256")
+    return found.select(key, "before_sha256", "after_sha256", ((F.col("added") > 0) | (F.col("removed") > 0)).alias("changed"), "added", "removed")
 
 
 def pixel_diff(pairs: DataFrame, key: str, max_ratio: float = 0.005) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markwright.functions import chars as C
 from markwright.functions.text import trim_space
+from markwright.sources.files import normal_path
 
 # Fixed values.
 OCR_STATUSES = ("not-requested", "requested", "ok", "failed")
@@ -68,11 +69,18 @@ def match_graphics(refs: DataFrame, placements: DataFrame) -> DataFrame:
     return explode_errors(joined, errors, "manifest_id", "item")
 
 
-def fresh_manifests(runs: DataFrame, manifests: DataFrame, keys: Sequence[str], tolerance: int = 2, width: int = 60) -> DataFrame:
+def fresh_manifests(runs: DataFrame, manifests: DataFrame, keys: Sequence[str], tolerance: int = 2, width: int = 60, paths: Sequence[str] = (), complete: str | None = None) -> DataFrame:
     """(run_id, manifest_id): manifests generated from `tolerance` seconds before a run starts until as long after it ends.
 
-    A range join made an equi-join: runs are put into all buckets of `width` seconds that they touch, manifests into theirs.
+    They must agree with the run in `keys`, and in `paths` once these are normal, case ignored; if `complete` names a column
+    of the manifests, it must be true. A range join made an equi-join: runs are put into all buckets of `width` seconds that
+    they touch, manifests into theirs.
     """
+    if complete:
+        manifests = manifests.where(complete)
+    if paths:
+        same = {f"__{p}": normal_path(F.col(p)) for p in paths}
+        runs, manifests, keys = runs.withColumns(same), manifests.withColumns(same), [*keys, *same]
     low, high = F.col("started_at") - F.make_interval(secs=F.lit(tolerance)), F.col("finished_at") + F.make_interval(secs=F.lit(tolerance))
     bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
     spread = runs.select("run_id", *keys, low.alias("low"), high.alias("high")).withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
@@ -145,8 +153,15 @@ def build_manifests(runs: DataFrame, files: DataFrame, refs: DataFrame) -> DataF
     """One nested manifest and its JSON for each run.
 
     runs are (run_id, pack, profile, toolchain_passed, keep_review), files (run_id, role, path, bytes, sha256) with roles
-    input, output, snapshot and review, refs (run_id, ord, placement_path).
+    input, output, snapshot and review, refs (run_id, ord, placement_path). Where runs have them, snapshot_id and
+    snapshot_version go into the manifest, and ocr, a struct of status, provider, version, language, error and page_count;
+    a run without one did not request it.
     """
+    none = F.lit(None).cast("string")
+    given = lambda c, other: F.col(c) if c in runs.columns else other
+    kind = "struct<status:string,provider:string,version:string,language:string,error:string,page_count:int>"
+    unasked = F.struct(F.lit(OCR_STATUSES[0]).alias("status"), *(none.alias(c) for c in ("provider", "version", "language", "error")), F.lit(None).cast("int").alias("page_count"))
+    runs = runs.select("*", F.coalesce(given("ocr", F.lit(None)).cast(kind), unasked).alias("__ocr"), given("snapshot_id", none).alias("__id"), given("snapshot_version", none).alias("__version"))
     receipt = F.struct("path", "bytes", "sha256")
     of = lambda role: F.max(F.when(F.col("role") == role, receipt))
     review = F.sort_array(F.collect_list(F.when(F.col("role") == "review", receipt)))
@@ -156,7 +171,9 @@ def build_manifests(runs: DataFrame, files: DataFrame, refs: DataFrame) -> DataF
     complete = F.col("toolchain_passed") & F.col("output").isNotNull()
     ready = F.col("keep_review") & (F.size("review_files") > 0)
     manifest = F.struct(
-        F.lit("1.1").alias("schemaVersion"), F.lit("delivery-manifest").alias("kind"), F.col("pack").alias("subjectPack"), "profile",
+        F.lit("1.1").alias("schemaVersion"), F.lit("delivery-manifest").alias("kind"), F.col("__id").alias("snapshotId"),
+        F.struct(F.col("__id").alias("id"), F.col("__version").alias("version"), F.col("profile").alias("profile")).alias("snapshot"), F.col("pack").alias("subjectPack"), "profile",
+        F.struct(*(F.col(f"__ocr.{c}").alias(c) for c in ("status", "provider", "version", "language", "error")), F.col("__ocr.page_count").alias("pageCount")).alias("ocr"),
         F.struct(F.coalesce("items", F.array().cast("array<struct<placement_path:string>>")).alias("items")).alias("graphics"),
         F.struct(F.lit("sha256").alias("algorithm"), "input", "output", "snapshot", F.col("review_files").alias("reviewFiles")).alias("integrity"),
         F.struct(F.col("toolchain_passed").alias("toolchainPassed"), F.coalesce(complete, F.lit(False)).alias("deliveryComplete"), F.coalesce(ready, F.lit(False)).alias("reviewArtifactReady")).alias("status"),
@@ -165,9 +182,13 @@ def build_manifests(runs: DataFrame, files: DataFrame, refs: DataFrame) -> DataF
 
 
 def run_receipts(phases: DataFrame, run: str = "run_id") -> DataFrame:
-    """(run, ok, n_phases, phases): phase -> struct<status, artifact>; a failed phase fails the run; artifacts only if it succeeded."""
+    """(run, ok, n_phases, phases): phase -> struct<status, artifact, error>; a failed phase fails the run; artifacts only if it succeeded.
+
+    error is the phase's, where the rows have such a column.
+    """
     # A phase that occurs twice keeps its last row.
-    last = phases.groupBy(run, "phase").agg(F.max(F.struct("ord", "status", "artifact")).alias("p"))
-    per = last.groupBy(run).agg(F.bool_or(F.col("p.status") == "failed").alias("failed"), F.sort_array(F.collect_list(F.struct("phase", "p.status", "p.artifact"))).alias("rows"))
-    entries = F.transform("rows", lambda r: F.struct(r["phase"].alias("key"), F.struct(r["status"].alias("status"), F.when(~F.col("failed") & (r["status"] == "completed"), r["artifact"]).alias("artifact")).alias("value")))
+    phases = phases if "error" in phases.columns else phases.withColumn("error", F.lit(None).cast("string"))
+    last = phases.groupBy(run, "phase").agg(F.max(F.struct("ord", "status", "artifact", "error")).alias("p"))
+    per = last.groupBy(run).agg(F.bool_or(F.col("p.status") == "failed").alias("failed"), F.sort_array(F.collect_list(F.struct("phase", "p.status", "p.artifact", "p.error"))).alias("rows"))
+    entries = F.transform("rows", lambda r: F.struct(r["phase"].alias("key"), F.struct(r["status"].alias("status"), F.when(~F.col("failed") & (r["status"] == "completed"), r["artifact"]).alias("artifact"), r["error"].alias("error")).alias("value")))
     return per.select(run, (~F.col("failed")).alias("ok"), F.size("rows").alias("n_phases"), F.map_from_entries(entries).alias("phases"))

@@ -13,7 +13,8 @@ def _numbered(text: Column) -> Column:
     """array<struct<question, answer>> of the numbered answers in a text, in order."""
     pieces = F.split(unix_newlines(text), rf"(?<!\d)(?=(?:10|[1-9])\.{C.S}+)", -1)
     pairs = F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, rf"\A(10|[1-9])\.{C.S}+", 1).try_cast("int").alias("question"), F.upper(F.regexp_extract(p, rf"(?iu)【{C.S}*答案{C.S}*】{C.S}*([A-D])", 1)).alias("answer")))
-    return F.filter(pairs, lambda p: p["question"].isNotNull() & (p["answer"] != ""))
+    found = F.filter(pairs, lambda p: p["question"].isNotNull() & (p["answer"] != ""))
+    return F.when(text.contains("答案"), found).otherwise(F.array().cast("array<struct<question:int,answer:string>>"))
 
 
 def numbered_keys(docs: DataFrame, key: str = "doc_id", text: str = "reference_text") -> DataFrame:
@@ -35,7 +36,9 @@ def _joined(pairs: Column) -> tuple[Column, Column]:
 
 def _compact(text: Column) -> Column:
     """Distinct ten-letter sequences in a text."""
-    plain = F.regexp_replace(F.upper(text), f"{C.S}+", "")
+    # Few texts have ten such letters in a row, white space aside; only those are rewritten.
+    may = text.rlike(rf"(?:[A-Da-d]{C.S}*+){{10}}")
+    plain = F.when(may, F.regexp_replace(F.upper(text), f"{C.S}+", "")).otherwise(F.lit(""))
     return F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<![A-Z])([A-D]{10})(?![A-Z])"), F.lit(1)))
 
 

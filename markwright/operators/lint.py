@@ -24,20 +24,29 @@ def to_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(split_lines(F.col(text))).alias("i", "line")).select(key, (F.col("i") + 1).alias("line_no"), "line")
 
 
-def _found(check: str, lines: Column, hit: Callable[[Column], Column]) -> Column:
-    """A finding for each line that hit accepts."""
-    numbered = F.transform(lines, lambda x, i: F.when(hit(x), F.struct(F.lit(check).alias("check"), (i + 1).cast("int").alias("line_no"), x.alias("detail"))))
-    return F.array_compact(numbered)
+#: What a line has if any check of single lines can find something in it: a number first, a backtick, or a CJK character.
+MAY_HIT = rf"\A{C.S}*+\d|[`\x{{3400}}-\x{{9FFF}}]"
 
 
-def choice_hyphen(lines: Column) -> Column:
+def number_lines(lines: Column) -> Column:
+    """array<struct<i, x>>: lines with their place from 0."""
+    return F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+
+
+def _found(check: str, lines: Column, hit: Callable[[Column], Column], numbered: Column | None = None) -> Column:
+    """A finding for each line that hit accepts; numbered: the lines to look at, if not all."""
+    hits = F.filter(number_lines(lines) if numbered is None else numbered, lambda p: hit(p["x"]))
+    return F.transform(hits, lambda p: F.struct(F.lit(check).alias("check"), (p["i"] + 1).cast("int").alias("line_no"), p["x"].alias("detail")))
+
+
+def choice_hyphen(lines: Column, numbered: Column | None = None) -> Column:
     """Answer ranges written with an ASCII hyphen."""
-    return _found("choice_hyphen", lines, lambda x: x.rlike(rf"\A{C.S}*{C.CHOICE_HYPHEN}"))
+    return _found("choice_hyphen", lines, lambda x: x.rlike(rf"\A{C.S}*{C.CHOICE_HYPHEN}"), numbered)
 
 
-def choice_spacing(lines: Column) -> Column:
+def choice_spacing(lines: Column, numbered: Column | None = None) -> Column:
     """Options separated by white space after the head of an answer range."""
-    return _found("choice_spacing", lines, lambda x: x.rlike(rf"\A{C.S}*{C.CHOICE_HEAD}") & F.regexp_replace(x, rf"\A{C.S}*{C.CHOICE_HEAD}{C.S}*", "").rlike(C.CHOICE_GAP))
+    return _found("choice_spacing", lines, lambda x: x.rlike(rf"\A{C.S}*{C.CHOICE_HEAD}") & F.regexp_replace(x, rf"\A{C.S}*{C.CHOICE_HEAD}{C.S}*", "").rlike(C.CHOICE_GAP), numbered)
 
 
 def orphan_lead(lines: Column) -> Column:
@@ -45,8 +54,7 @@ def orphan_lead(lines: Column) -> Column:
 
     The non-blank lines are paired with the ones after them in one pass.
     """
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    solid = F.filter(numbered, lambda p: p["x"].rlike(rf"[^{C.SPACE}]"))
+    solid = F.filter(number_lines(lines), lambda p: p["x"].rlike(rf"[^{C.SPACE}]"))
 
     def lead(p: Column, after: Column) -> Column:
         starts = p["x"].rlike(rf"\A{C.LEAD_ONLY}\z") & after["x"].rlike(rf"\A{C.SUB_QUESTION}")
@@ -55,18 +63,18 @@ def orphan_lead(lines: Column) -> Column:
     return F.array_compact(F.zip_with(solid, F.slice(solid, F.lit(2), F.greatest(F.size(solid), F.lit(1))), lead))
 
 
-def backtick_math(lines: Column) -> Column:
+def backtick_math(lines: Column, numbered: Column | None = None) -> Column:
     """Formulas and units in backticks."""
-    return _found("backtick_math", lines, lambda x: x.rlike(C.BACKTICK_MATH))
+    return _found("backtick_math", lines, lambda x: x.contains("`") & x.rlike(C.BACKTICK_MATH), numbered)
 
 
-def long_lines(lines: Column, limit: Column) -> Column:
+def long_lines(lines: Column, limit: Column, numbered: Column | None = None) -> Column:
     """Plain-text lines with more CJK characters than the limit."""
 
     starts = "|".join(map(re.escape, C.NOT_PLAIN_START))
     special = rf"\A{C.S}*(?:{starts}|\z)|\$\$|[=\\]"
     # The count comes first: few lines need the other tests.
-    return _found("long_line", lines, lambda x: (F.regexp_count(x, F.lit(C.CJK)) > limit) & ~x.rlike(special))
+    return _found("long_line", lines, lambda x: (F.regexp_count(x, F.lit(C.CJK)) > limit) & ~x.rlike(special), numbered)
 
 
 def unbalanced_dollar(text: Column) -> Column:
@@ -107,10 +115,13 @@ def explode_findings(docs: DataFrame, found: Column, *keep: str) -> DataFrame:
 
 def lint(docs: DataFrame, limit: Column | None = None, *keep: str) -> DataFrame:
     """All findings of the documents (with the columns `keep`), without severity. Also for streams: it keeps no state."""
-    text, lines = F.col("text"), F.col("__lines")
+    text, lines, some = F.col("text"), F.col("__lines"), F.col("__some")
     limit = F.lit(C.DEFAULT_LINE_LIMIT) if limit is None else limit
-    parts = (choice_hyphen(lines), choice_spacing(lines), orphan_lead(lines), backtick_math(lines), unbalanced_dollar(text), cjk_in_math(text), raw_html(text), long_lines(lines, limit))
-    return explode_findings(docs.withColumn("__lines", split_lines(text)), F.concat(*(p.cast(FINDING) for p in parts)), *keep)
+    # One look at each line leaves few for the checks of single lines; leads are looked for only where there is one alone.
+    lead = F.when(F.exists(some, lambda p: p["x"].rlike(rf"\A{C.LEAD_ONLY}\z")), orphan_lead(lines)).otherwise(F.array().cast(FINDING))
+    parts = (choice_hyphen(lines, some), choice_spacing(lines, some), lead, backtick_math(lines, some), unbalanced_dollar(text), cjk_in_math(text), raw_html(text), long_lines(lines, limit, some))
+    docs = docs.withColumn("__lines", split_lines(text)).withColumn("__some", F.filter(number_lines(lines), lambda p: p["x"].rlike(MAY_HIT)))
+    return explode_findings(docs, F.concat(*(p.cast(FINDING) for p in parts)), *keep)
 
 
 def resolve_line_limit(*places: Column) -> Column:

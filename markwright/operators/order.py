@@ -1,4 +1,4 @@
-"""Row numbers over a whole table or heavy groups, without a task that sees all of it."""
+"""Row numbers over a whole table or heavy groups, without a task that sees all of it; broadcasts of a checked size."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from markwright.sources.files import cut
 
 
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """df marked for broadcast if its rows, which are counted, are within the limit; else the choice of join is Spark's."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def numbered(df: DataFrame, order: list[Column], group: str | None = None, name: str = "place") -> DataFrame:
     """df with the row number in this order, within each group if one is named.
 

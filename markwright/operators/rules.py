@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.functions.text import fingerprint
-from markwright.operators.order import numbered
+from markwright.operators.order import numbered, small
 from markwright.sources.files import cut
 
 #: The check of a rule decides which findings it governs.
@@ -33,11 +33,11 @@ def applicable_rules(rules: DataFrame, packs: DataFrame) -> DataFrame:
 def apply_severity(findings: DataFrame, applicable: DataFrame) -> DataFrame:
     """Findings (with pack_id) and their level: error under a hard rule, else warning; without a rule there is no finding.
 
-    Raw HTML is always an error and a long line always a warning. The rules are few and go to every task.
+    Raw HTML is always an error and a long line always a warning. The rules, counted, go to every task if they are few.
     """
     governed = F.create_map(*(F.lit(x) for pair in GOVERNS.items() for x in pair))
     named = findings.withColumn("check_name", F.try_element_at(governed, F.col("check")))
-    joined = named.join(F.broadcast(applicable.withColumnRenamed("id", "rule_id")), ["pack_id", "check_name"], "left")
+    joined = named.join(small(applicable.withColumnRenamed("id", "rule_id")), ["pack_id", "check_name"], "left")
     free = F.col("check").isin("raw_html", "long_line")
     level = F.when(F.col("check") == "raw_html", "error").when(free, "warning").when(F.col("severity") == "hard", "error").otherwise("warning")
     return joined.where(free | F.col("rule_id").isNotNull()).select(*findings.columns, "rule_id", level.alias("level"))
@@ -88,7 +88,9 @@ def compile_snapshots(packs: DataFrame, rules: DataFrame, resolved: DataFrame) -
     The id covers the content only; when the snapshot was made stays outside.
     """
     own = packs.select("pack_id", "version", "profile_key")
-    ruled = own.select("pack_id").distinct().join(rules.withColumnRenamed("pack_id", "rule_pack"), (F.col("rule_pack") == F.col("pack_id")) | (F.col("rule_pack") == "platform"))
+    # A pack looks for its own rules and for the platform's: an equi-join on one key.
+    wanted = own.select("pack_id").distinct().select("pack_id", F.explode(F.array_distinct(F.array("pack_id", F.lit("platform")))).alias("rule_pack"))
+    ruled = wanted.join(rules.withColumnRenamed("pack_id", "rule_pack"), "rule_pack")
     order = F.sort_array(F.collect_list(F.struct((-F.coalesce("priority", F.lit(0))).alias("rank"), "id", "severity", "enabled")))
     by_pack = ruled.groupBy("pack_id").agg(F.transform(order, lambda r: F.struct(r["enabled"].alias("enabled"), r["id"].alias("id"), (-r["rank"]).alias("priority"), r["severity"].alias("severity"))).alias("rules"))
     profile = resolved.groupBy("profile_key").agg(F.sort_array(F.collect_list(F.struct("path", "value"))).alias("profile"))
@@ -104,7 +106,7 @@ def foreign_rules(snapshot_rules: DataFrame, packs: DataFrame, required: DataFra
     """
     prefix = F.substring_index("rule_id", ".", 1)
     others = packs.select(F.col("pack_id").alias("owner")).distinct()
-    foreign = snapshot_rules.withColumn("owner", prefix).join(F.broadcast(others), "owner").where("owner <> pack_id")
+    foreign = snapshot_rules.withColumn("owner", prefix).join(small(others), "owner").where("owner <> pack_id")
     foreign = foreign.select("snapshot_id", "rule_id", F.lit("foreign").alias("problem"))
     wanted = snapshot_rules.select("snapshot_id", "pack_id").distinct().join(required, "pack_id")
     missing = wanted.join(snapshot_rules, ["snapshot_id", "rule_id"], "left_anti").select("snapshot_id", "rule_id", F.lit("missing").alias("problem"))

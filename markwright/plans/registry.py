@@ -159,20 +159,25 @@ def _(spark, d):
     return contracts.check_record_contract(table(spark, d, "events"), "event_id", "props", CONTRACT)
 
 
-@query("l20_check_baseline")
+@query(
+    "l20_check_baseline",
+    """WITH p AS (SELECT source, doc_id // 100 AS part, min(sha256(text)) AS sha, bool_or(quality IS NULL) AS open FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT concat_ws('-', source, part::VARCHAR) AS id, CASE WHEN part % 17 = 3 THEN 'kind' WHEN part % 11 = 0 THEN 'comparison_key' WHEN part % 7 = 0 AND upper(sha) <> sha THEN 'authority.source_exam'
+  WHEN open THEN 'blind.cases: open though run' WHEN part % 5 = 1 THEN 'blind.execution' END AS error FROM p""",
+)
 def _(spark, d):
     """Baselines with planted errors, one for every hundred documents of a source; stages hold the labelled outcomes."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     case = F.struct(F.col("doc_id").cast("string").alias("key"), F.when(F.col("quality").isNull(), "not_evaluated").when(F.col("quality") == 1, "pass").otherwise("fail").alias("value"))
     per = docs.groupBy("source", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"), F.map_from_entries(F.collect_list(case)).alias("cases"), F.min(F.sha2("text", 256)).alias("sha"))
     binding = F.struct(F.lit("a/b.pdf").alias("path"), F.when(F.col("part") % 7 == 0, F.upper("sha")).otherwise(F.col("sha")).alias("sha256"))
-    tier = F.struct(F.lit("m").alias("model"), F.lit("high").alias("reasoning_effort"))
+    tier = F.struct(F.when(F.col("part") % 5 == 1, "other").otherwise(evaluate.MODELS[0]).alias("model"), F.lit("high").alias("reasoning_effort"))
     open_cases = F.transform_values("cases", lambda k, v: F.lit("not_evaluated"))
     all_passed = F.transform_values("cases", lambda k, v: F.lit("pass"))
     stage = lambda status, cases, done: F.struct(F.lit(status).alias("status"), F.when(F.lit(done), tier).alias("execution"), F.when(F.lit(done), binding).alias("artifact"), cases.alias("cases"))
     stages = F.create_map(F.lit("blind"), stage("evaluated", F.col("cases"), True), F.lit("visualAudit"), stage("not_run", open_cases, False), F.lit("referenceReview"), stage("evaluated", all_passed, True))
     baselines = per.select(
-        F.concat_ws("-", "source", F.col("part").cast("string")).alias("id"), F.lit(2024).alias("year"), F.lit("physics").alias("subject_pack"), F.when(F.col("part") % 11 != 0, F.col("source")).alias("comparison_key"),
+        F.when(F.col("part") % 17 == 3, "other").otherwise(evaluate.BASELINE_KIND).alias("kind"), F.lit(evaluate.BASELINE_VERSION).alias("schema_version"), F.concat_ws("-", "source", F.col("part").cast("string")).alias("id"), F.lit(2024).alias("year"), F.lit("physics").alias("subject_pack"), F.when(F.col("part") % 11 != 0, F.col("source")).alias("comparison_key"),
         F.col("ids").alias("target_questions"), F.struct(binding.alias("source_exam"), binding.alias("reference_answer")).alias("authority"), stages.alias("stages"), F.lit("e").alias("evidence_ref"), F.lit(True).alias("teacher_accepted"),
     )
     return evaluate.check_baseline(baselines)
@@ -268,10 +273,23 @@ def _(spark, d):
     return rules.duplicate_keys(view(spark, d, "doc_rules"), "id")
 
 
-@query("e38_build_manifests")
+_RECEIPT = """'{{"path":"{role}/' || doc_id || '","bytes":' || strlen(text) || ',"sha256":"' || sha256(text) || '"}}'"""
+
+
+@query(
+    "e38_build_manifests",
+    f"""{ctes('answer_md')} SELECT d.doc_id AS run_id, d.doc_id % 3 <> 0 AS complete, (d.doc_id % 29 = 0)::INT AS graphics,
+  '{{"schemaVersion":"1.1","kind":"delivery-manifest","snapshotId":"s' || d.doc_id % 10 || '","snapshot":{{"id":"s' || d.doc_id % 10 || '","version":"8.2","profile":"classroom"}},"subjectPack":"' || d.lang || '","profile":"classroom","ocr":'
+  || CASE WHEN d.doc_id % 4 = 0 THEN '{{"status":"ok","provider":"engine","version":"1","language":"' || d.lang || '","pageCount":' || d.doc_id % 9 || '}}' ELSE '{{"status":"not-requested"}}' END
+  || ',"graphics":{{"items":[' || CASE WHEN d.doc_id % 29 = 0 THEN '{{"placement_path":"g' || d.doc_id % 10 || '.json"}}' ELSE '' END || ']}},"integrity":{{"algorithm":"sha256","input":' || {_RECEIPT.format(role='input')} || ',"output":' || {_RECEIPT.format(role='output')}
+  || ',"snapshot":' || {_RECEIPT.format(role='snapshot')} || ',"reviewFiles":[' || {_RECEIPT.format(role='review')} || ']}},"status":{{"toolchainPassed":' || (d.doc_id % 3 <> 0) || ',"deliveryComplete":' || (d.doc_id % 3 <> 0) || ',"reviewArtifactReady":' || (d.doc_id % 2 = 0) || '}}}}' AS json
+FROM documents d""",
+)
 def _(spark, d):
     docs = table(spark, d, "documents")
-    runs = docs.select(F.col("doc_id").alias("run_id"), F.col("lang").alias("pack"), F.lit("classroom").alias("profile"), (F.col("doc_id") % 3 != 0).alias("toolchain_passed"), (F.col("doc_id") % 2 == 0).alias("keep_review"))
+    ocr = F.struct(F.lit("ok").alias("status"), F.lit("engine").alias("provider"), F.lit("1").alias("version"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("error"), (F.col("doc_id") % 9).cast("int").alias("page_count"))
+    asked, version = F.when(F.col("doc_id") % 4 == 0, ocr).alias("ocr"), F.lit("8.2").alias("snapshot_version")
+    runs = docs.select(F.col("doc_id").alias("run_id"), F.col("lang").alias("pack"), F.lit("classroom").alias("profile"), (F.col("doc_id") % 3 != 0).alias("toolchain_passed"), (F.col("doc_id") % 2 == 0).alias("keep_review"), asked, F.concat(F.lit("s"), (F.col("doc_id") % 10).cast("string")).alias("snapshot_id"), version)
     roles = F.explode(F.array(*map(F.lit, ("input", "output", "snapshot", "review")))).alias("role")
     files = docs.select(F.col("doc_id").alias("run_id"), roles, "doc_id", X.text_receipt(F.col("text")).alias("r")).select("run_id", "role", F.concat_ws("/", "role", F.col("doc_id").cast("string")).alias("path"), "r.bytes", "r.sha256")
     refs = integrity.graphic_refs(_answers(spark, d)).select(F.col("doc_id").alias("run_id"), "ord", F.col("path").alias("placement_path"))
@@ -366,9 +384,9 @@ def _(spark, d):
     return integrity.match_graphics(refs, placed)
 
 
-@query("d29_fresh_manifests", f"{ctes('runs', 'run_manifests')} SELECT run_id, manifest_id FROM runs r JOIN run_manifests m ON r.user_id = m.user_id AND generated_at BETWEEN started_at - INTERVAL 2 SECOND AND finished_at + INTERVAL 2 SECOND")
+@query("d29_fresh_manifests", f"{ctes('runs', 'run_manifests')} SELECT run_id, manifest_id FROM runs r JOIN run_manifests m ON r.user_id = m.user_id AND generated_at BETWEEN started_at - INTERVAL 2 SECOND AND finished_at + INTERVAL 2 SECOND WHERE m.complete AND replace(r.input, '/./', '/') = replace(lower(m.input), '//', '/')")
 def _(spark, d):
-    return integrity.fresh_manifests(view(spark, d, "runs"), view(spark, d, "run_manifests"), ["user_id"])
+    return integrity.fresh_manifests(view(spark, d, "runs"), view(spark, d, "run_manifests"), ["user_id"], width=3600, paths=["input"], complete="complete")
 
 
 @query("d30_drift", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'missing' ELSE 'different' END AS problem FROM documents WHERE doc_id % 9 = 0 OR doc_id % 10 = 0")
@@ -486,21 +504,40 @@ def _(spark, d):
     return pages.join_text_layers(rows, "conv_id").select("conv_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("k58_numbered_keys")
+# Each white space stands twice, so that a number's own may be used up when it is marked.
+NUMBERED = rf"""marked AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(reference_text, '({S})', '\1\1', 'g'), '(^|[^0-9])((?:10|[1-9])\.{S})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM reference_keys),
+found AS (SELECT doc_id, TRY_CAST(regexp_extract(p, '^(10|[1-9])\.{S}', 1) AS INT) AS q, upper(regexp_extract(p, '(?i)【{S}*答案{S}*】{S}*([A-D])', 1)) AS a FROM (SELECT doc_id, unnest(p) AS p FROM marked)),
+per AS (SELECT doc_id, q, count(DISTINCT a) AS n, min(a) AS a FROM found WHERE q IS NOT NULL AND a <> '' GROUP BY ALL),
+numbered AS (SELECT doc_id, CASE WHEN max(n) > 1 THEN 'conflict' WHEN count(q) = 10 THEN 'complete' ELSE 'incomplete' END AS status, CASE WHEN max(n) = 1 AND count(q) = 10 THEN string_agg(a, '' ORDER BY q) END AS answers FROM reference_keys LEFT JOIN per USING (doc_id) GROUP BY doc_id)"""
+COMPACT = rf"compact AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(regexp_replace(upper(reference_text), '{S}+', '', 'g'), '([^A-Z])', '\1\1', 'g'), '(?:^|[^A-Z])([A-D]{{10}})(?:[^A-Z]|$)', 1)) AS s FROM reference_keys)"
+
+
+@query("k58_numbered_keys", f"{ctes('reference_keys')}, {NUMBERED} SELECT * FROM numbered")
 def _(spark, d):
     return keys.numbered_keys(view(spark, d, "reference_keys"))
 
 
 @query(
     "k59_compact_keys",
-    rf"""{ctes('reference_keys')}, c AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(upper(reference_text), '{S}+', '', 'g'), '([^A-Z])', '\1\1', 'g'), '(?:^|[^A-Z])([A-D]{{10}})(?:[^A-Z]|$)', 1), lambda x: x)) AS s FROM reference_keys)
-SELECT doc_id, CASE WHEN len(s) > 1 THEN 'conflict' WHEN len(s) = 1 THEN 'complete' ELSE 'none' END AS status, CASE WHEN len(s) = 1 THEN s[1] END AS answers FROM c""",
+    f"{ctes('reference_keys')}, {COMPACT} SELECT doc_id, CASE WHEN len(s) > 1 THEN 'conflict' WHEN len(s) = 1 THEN 'complete' ELSE 'none' END AS status, CASE WHEN len(s) = 1 THEN s[1] END AS answers FROM compact",
 )
 def _(spark, d):
     return keys.compact_keys(view(spark, d, "reference_keys"))
 
 
-@query("k60_apply_keys")
+_RANGE = [f"regexp_matches(line, '^{S}*{a}{S}*[—–-]{S}*{b}{S}*[:：]')" for a, b in ((1, 5), (6, 10))]
+_LETTERS = ["array_to_string(list_transform(range({0}, {0} + 5), lambda i: answers[i]), '、')".format(i) for i in (1, 6)]
+
+
+@query(
+    "k60_apply_keys",
+    f"""{ctes('answer_md', 'reference_keys')}, {LINES}, {NUMBERED}, {COMPACT},
+key AS (SELECT doc_id, CASE WHEN status = 'conflict' THEN 'conflict' WHEN status = 'complete' OR len(s) = 1 THEN 'ok' WHEN len(s) > 1 THEN 'conflict' ELSE 'no_key' END AS k, coalesce(answers, s[1]) AS answers FROM numbered JOIN compact USING (doc_id)),
+shape AS (SELECT doc_id, count(*) FILTER ({_RANGE[0]}) = 1 AND count(*) FILTER ({_RANGE[1]}) = 1 AS single FROM lines GROUP BY doc_id),
+fixed AS (SELECT doc_id, string_agg(CASE WHEN {_RANGE[0]} THEN '1—5：' || {_LETTERS[0]} WHEN {_RANGE[1]} THEN '6—10：' || {_LETTERS[1]} ELSE line END, chr(10) ORDER BY line_no) AS text FROM lines JOIN key USING (doc_id) WHERE k = 'ok' GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN k <> 'ok' THEN k WHEN single THEN 'applied' ELSE 'bad_shape' END AS status, sha256(CASE WHEN k = 'ok' AND single THEN f.text ELSE d.text END) AS sha256
+FROM answer_md d JOIN key USING (doc_id) JOIN shape USING (doc_id) LEFT JOIN fixed f ON d.doc_id = f.doc_id""",
+)
 def _(spark, d):
     return keys.apply_keys(_answers(spark, d).select("doc_id", "text"), view(spark, d, "reference_keys")).select("doc_id", "status", F.sha2("text", 256).alias("sha256"))
 
@@ -535,14 +572,22 @@ def _(spark, d):
 @query(
     "r64_layered_resolve",
     f"""{ctes('profile_entries', 'profile_parents').replace('WITH ', 'WITH RECURSIVE ')}, own AS (SELECT DISTINCT profile_key FROM profile_entries),
-up(profile_key, layer, depth) AS (SELECT profile_key, profile_key, 0 FROM own UNION ALL SELECT u.profile_key, p.parent, u.depth + 1 FROM up u JOIN profile_parents p ON u.layer = p.profile_key WHERE u.depth < 8)
+up(profile_key, layer, depth) AS (SELECT profile_key, profile_key, 0 FROM own UNION ALL SELECT u.profile_key, p.parent, u.depth + 1 FROM up u JOIN profile_parents p ON u.layer = p.profile_key)
 SELECT profile_key, path, value FROM (SELECT u.profile_key, e.path, e.value, row_number() OVER (PARTITION BY u.profile_key, e.path ORDER BY u.depth) AS n FROM up u JOIN profile_entries e ON u.layer = e.profile_key) WHERE n = 1""",
 )
 def _(spark, d):
     return rules.layered_resolve(view(spark, d, "profile_entries"), view(spark, d, "profile_parents"))
 
 
-@query("r70_compile_snapshots")
+@query(
+    "r70_compile_snapshots",
+    f"""{ctes('rules_lit', 'profile_entries')}, own AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN 'junior' WHEN 1 THEN 'senior' ELSE 'math' END AS pack_id, 'p' || doc_id AS profile_key FROM documents),
+r AS (SELECT o.pack_id, count(*)::INT AS n, string_agg('{{"enabled":' || enabled || ',"id":"' || id || '","priority":' || priority || ',"severity":"' || severity || '"}}', ',' ORDER BY priority DESC, id) AS j
+  FROM (SELECT DISTINCT pack_id FROM own) o JOIN rules_lit l ON l.pack_id IN (o.pack_id, 'platform') GROUP BY o.pack_id),
+p AS (SELECT profile_key, string_agg('{{"path":"' || path || '","value":"' || value || '"}}', ',' ORDER BY path) AS j FROM profile_entries GROUP BY profile_key)
+SELECT pack_id, profile_key, n AS rule_count, 'snapshot-' || substr(sha256('{{"pack":"' || pack_id || '","profile":[' || p.j || '],"rules":[' || r.j || '],"version":"8.2"}}'), 1, 16) AS snapshot_id
+FROM own JOIN r USING (pack_id) JOIN p USING (profile_key)""",
+)
 def _(spark, d):
     docs = table(spark, d, "documents")
     packs = docs.select(F.element_at(F.array(*map(F.lit, ("junior", "senior", "math"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("pack_id"), F.lit("8.2").alias("version"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("profile_key"))
@@ -566,7 +611,17 @@ def _(spark, d):
 
 
 # Pages
-@query("p45_question_regions")
+@query(
+    "p45_question_regions",
+    f"""{ctes('page_sizes').replace('WITH ', 'WITH RECURSIVE ', 1)},
+laid AS (SELECT doc_id, height, p AS page_no, j, (p - 1) * (doc_id % 4) + j + 1 AS n, j * 150.0 + 60 AS y FROM (SELECT *, unnest(range(1, page_count + 1)) AS p FROM page_sizes), (SELECT unnest(range(4)) AS j) WHERE j <= doc_id % 4 AND (doc_id + j) % 7 <> 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, y, n) AS i FROM laid WHERE n < 100),
+walk(doc_id, i, n, page, took) AS (SELECT doc_id, i, n, page_no, true FROM m WHERE i = 1
+  UNION ALL SELECT doc_id, i, CASE WHEN took THEN own_n ELSE n END, CASE WHEN took THEN own_page ELSE page END, took FROM (SELECT m.doc_id, m.i, w.n, w.page, m.n AS own_n, m.page_no AS own_page, m.n = w.n + 1 OR (m.n = w.n AND m.page_no <> w.page) AS took FROM walk w JOIN m ON m.doc_id = w.doc_id AND m.i = w.i + 1) t),
+k AS (SELECT m.doc_id, m.n, m.page_no, m.y, m.height, lead(m.y) OVER pg AS next_y, row_number() OVER pg AS nth, lag(m.n) OVER (PARTITION BY m.doc_id ORDER BY m.i) AS before FROM m JOIN walk w ON m.doc_id = w.doc_id AND m.i = w.i WHERE w.took WINDOW pg AS (PARTITION BY m.doc_id, m.page_no ORDER BY m.i))
+SELECT doc_id, n::INT AS question, page_no::INT AS page_no, greatest(0, y - 24)::DOUBLE AS y0, coalesce(next_y - 24, height)::DOUBLE AS y1 FROM k
+UNION ALL SELECT doc_id, before::INT, page_no::INT, 0::DOUBLE, (y - 24)::DOUBLE FROM k WHERE nth = 1 AND before <> n AND y > 24""",
+)
 def _(spark, d):
     i = F.col("doc_id")
     size = view(spark, d, "page_sizes").select("doc_id", "height", F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_no"))
@@ -609,15 +664,17 @@ def _n_lines(c: str) -> str:
 
 
 
-@query("f67_line_diff", f"{ctes('diff_pairs')}, c AS (SELECT pair_id, {_clean('before_text')} AS a, {_clean('after_text')} AS b FROM diff_pairs) SELECT pair_id, a = b AS equal, ({_n_lines('b')} - {_n_lines('a')})::BIGINT AS net FROM c")
+@query("f67_line_diff", f"{ctes('diff_pairs')}, c AS (SELECT pair_id, {_clean('before_text')} AS a, {_clean('after_text')} AS b FROM diff_pairs) SELECT pair_id, a = b AS equal, ({_n_lines('b')} - {_n_lines('a')})::BIGINT AS net, sha256(a) AS before_sha256, sha256(b) AS after_sha256 FROM c")
 def _(spark, d):
+    """The texts that the lines of the diff give again: what it keeps and removes is the text before, what it keeps and adds the one after."""
     found = diff.line_diff(view(spark, d, "diff_pairs"))
-    return found.select("pair_id", ((F.col("added") == 0) & (F.col("removed") == 0)).alias("equal"), (F.col("added") - F.col("removed")).alias("net"))
+    side = lambda sign: F.sha2(F.array_join(F.transform(F.filter("lines", lambda x: ~x.startswith(sign)), lambda x: F.substr(x, F.lit(2))), "\n"), 256)
+    return found.select("pair_id", ((F.col("added") == 0) & (F.col("removed") == 0)).alias("equal"), (F.col("added") - F.col("removed")).alias("net"), side("+").alias("before_sha256"), side("-").alias("after_sha256"))
 
 
-@query("f68_diff_report", f"{ctes('diff_pairs')} SELECT pair_id, sha256(before_text) AS before_sha256, sha256(after_text) AS after_sha256, {_clean('before_text')} <> {_clean('after_text')} AS changed FROM diff_pairs")
+@query("f68_diff_report", f"{ctes('diff_pairs')}, c AS (SELECT *, {_clean('before_text')} AS a, {_clean('after_text')} AS b FROM diff_pairs) SELECT pair_id, sha256(before_text) AS before_sha256, sha256(after_text) AS after_sha256, a <> b AS changed, ({_n_lines('b')} - {_n_lines('a')})::BIGINT AS net FROM c")
 def _(spark, d):
-    return diff.diff_report(view(spark, d, "diff_pairs")).select("pair_id", "before_sha256", "after_sha256", "changed")
+    return diff.diff_report(view(spark, d, "diff_pairs")).select("pair_id", "before_sha256", "after_sha256", "changed", (F.col("added") - F.col("removed")).alias("net"))
 
 
 @query(

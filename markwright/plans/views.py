@@ -44,8 +44,9 @@ VIEWS: dict[str, str] = {
     CASE WHEN doc_id % 37 = 0 THEN {sha}concat(text, '!'){end} ELSE {sha}text{end} END AS sha256 FROM {documents} WHERE doc_id % 41 <> 0""",
     "file_state": """SELECT source AS manifest_id, concat('f/', CAST(doc_id AS VARCHAR(20))) AS path, n_chars AS bytes, {sha}text{end} AS sha256
   FROM {documents} WHERE doc_id % 43 <> 0""",
-    "runs": "SELECT event_id AS run_id, user_id, ts AS started_at, ts + INTERVAL 30 SECOND AS finished_at FROM {events} WHERE event_type = 'click'",
-    "run_manifests": "SELECT event_id AS manifest_id, user_id, ts AS generated_at FROM {events} WHERE event_type IN ('view', 'purchase')",
+    "runs": """SELECT event_id AS run_id, user_id, ts AS started_at, ts + INTERVAL 6 HOUR AS finished_at, concat('a/./', CAST(user_id AS VARCHAR(20)), '.md') AS input FROM {events} WHERE event_type = 'click'""",
+    "run_manifests": """SELECT event_id AS manifest_id, user_id, ts AS generated_at, event_id % 3 <> 0 AS complete,
+    concat(CASE WHEN event_id % 2 = 0 THEN 'A//' ELSE 'a/' END, CAST(CASE WHEN event_id % 5 = 0 THEN user_id + 1 ELSE user_id END AS VARCHAR(20)), '.md') AS input FROM {events} WHERE event_type IN ('view', 'purchase')""",
     "run_paths": """SELECT user_id AS run_id, concat(CASE WHEN event_id % 2 = 0 THEN 'Out/F' ELSE 'out/f' END, CAST(event_id % 50 AS VARCHAR(10)), '.md') AS path, event_type FROM {events}""",
     "rules_lit": """SELECT * FROM (VALUES
   ('junior.choice-answer.compact-line', 'junior', 'choice', true, 'hard', 100), ('junior.question-lead.same-line', 'junior', 'lead', true, 'hard', 95),

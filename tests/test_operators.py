@@ -232,3 +232,57 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     paths = spark.createDataFrame([("A\\.\\b//C/x",), ("./q",)], "p string").select(files.normal_path(F.col("p"))).collect()
     assert [r[0] for r in paths] == ["a/b/c/x", "q"]
+
+
+def test_long_blank_runs_cost_their_length(spark):
+    import time
+
+    from markwright.functions import text as X
+
+    blank = " " * 200_000
+    rows = [(1, f"a{blank}b{blank}"), (2, f"18.\n{blank}x"), (3, f"```md\n{blank}\nx\n```{blank}")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    began = time.perf_counter()
+    got = {r["id"]: r for r in df.select("id", X.trim_space(F.col("text")).alias("t"), X.join_question_leads(F.col("text")).alias("j"), X.normalize_answer(F.col("text")).alias("n")).collect()}
+    assert time.perf_counter() - began < 10
+    assert got[1]["t"] == f"a{blank}b" and got[2]["j"] == rows[1][1] and got[3]["n"] == "x"
+
+
+def test_fences_come_off_only_whole(spark):
+    from markwright.functions import text as X
+
+    want = {"```md\na\n```": "a", "```\n```": "```\n```", "```\n\n```": "", "```python\na\n```": "```python\na\n```", "x\n```": "x\n```", "``` \n\n  a\nb \n```\n": "a\nb"}
+    df = spark.createDataFrame([(k,) for k in want], "text string")
+    assert {r[0]: r[1] for r in df.select("text", X.normalize_answer(F.col("text"))).collect()} == want
+
+
+def test_fresh_manifests_agree_in_paths_and_are_complete(spark):
+    runs = spark.sql("SELECT 1 AS run_id, 'p' AS pack, TIMESTAMP'2024-01-01 00:00:00' AS started_at, TIMESTAMP'2024-01-01 00:01:00' AS finished_at, 'A/x.md' AS input")
+    made = spark.sql("SELECT * FROM VALUES (1, 'p', TIMESTAMP'2024-01-01 00:00:59', 'a/./X.md', true), (2, 'p', TIMESTAMP'2024-01-01 00:00:59', 'a/x.md', false), (3, 'p', TIMESTAMP'2024-01-01 00:00:59', 'b/x.md', true), (4, 'p', TIMESTAMP'2024-01-01 00:02:59', 'a/x.md', true) AS t(manifest_id, pack, generated_at, input, done)")
+    assert [r["manifest_id"] for r in integrity.fresh_manifests(runs, made, ["pack"], paths=["input"], complete="done").collect()] == [1]
+
+
+def test_phases_keep_their_error(spark):
+    rows = spark.createDataFrame([(1, 0, "a", "completed", 5, None), (1, 1, "b", "failed", 6, "timeout")], "run_id long, ord int, phase string, status string, artifact long, error string")
+    got = integrity.run_receipts(rows).first()
+    assert not got["ok"] and got["phases"]["b"]["error"] == "timeout" and got["phases"]["a"]["error"] is None and got["phases"]["a"]["artifact"] is None
+
+
+def test_fingerprints_sort_keys_at_every_depth(spark):
+    import json
+
+    from markwright.functions.text import fingerprint
+
+    df = spark.sql("SELECT named_struct('z', 1, 'a', named_struct('y', array(named_struct('d', 'x', 'c', 2)), 'b', true), 'm', map('q', 1, 'k', 2)) AS p")
+    got = df.select(fingerprint(F.col("p"), df.schema["p"].dataType)).first()[0]
+    plain = json.dumps({"z": 1, "a": {"y": [{"d": "x", "c": 2}], "b": True}, "m": {"q": 1, "k": 2}}, sort_keys=True, separators=(",", ":"))
+    assert got == "snapshot-" + hashlib.sha256(plain.encode()).hexdigest()[:16]
+
+
+def test_scratch_tables_go_away(spark):
+    from pathlib import Path
+
+    with files.scratch(spark):
+        gone, stays = files.cut(spark.range(3)), files.cut(spark.range(2), keep=True)
+        paths = [Path(f.inputFiles()[0].removeprefix("file://")) for f in (gone, stays)]
+    assert not paths[0].exists() and paths[1].exists() and stays.count() == 2
