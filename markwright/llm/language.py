@@ -100,12 +100,13 @@ def train(places: np.ndarray, label: np.ndarray, n_labels: int, seed: int = 11,
 
 def fit(docs: DataFrame, bound: int = BOUND) -> dict | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    found = drawn(stratified(known, "lang", bound)).where("size(places) > 0").orderBy("doc_id", "lang").toPandas()
-    if found.empty:
+    found = drawn(stratified(known, "lang", bound)).where("size(places) > 0").orderBy("doc_id", "lang", "places").toArrow()
+    if not found.num_rows:
         return None
-    langs = sorted(found["lang"].unique())
-    label = found["lang"].map({v: i for i, v in enumerate(langs)}).to_numpy()
-    places = np.stack(found["places"].to_numpy())
+    names = found.column("lang").to_pylist()
+    langs = sorted(set(names))
+    label = np.array([langs.index(v) for v in names])
+    places = found.column("places").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
     aside = np.arange(len(label)) % 5 == 4
     aside &= np.isin(label, label[~aside])  # a language is not set aside whole
     scores, bias = train(places[~aside], label[~aside], len(langs))

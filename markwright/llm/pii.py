@@ -184,11 +184,12 @@ def _features(k: Column, m: Column, left: Column, right: Column, d: Column) -> C
 def made_spans(spark: SparkSession) -> DataFrame:
     """(k, m, l, r): MADE spans of each exact kind from hashes of numbers, so that the trees need no corpus to learn from."""
     digit = lambda n, salt: F.lpad(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10**n)).cast("string"), n, "7")
+    letters = lambda salt: F.substring(F.translate(digit(7, salt), "0123456789", "aeioucntrs"), F.lit(1), F.pmod(F.xxhash64("id"), F.lit(4)).cast("int") + 4)
     body = F.concat(F.lit("4"), digit(14, "card"))
     check = F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: luhn(F.concat(body, c.cast("string")))), F.lit(0)).cast("string")
     octet = lambda salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(254)) + 1).cast("string")
     of = (
-        F.concat(F.lit("user"), digit(3, "user"), F.lit("@mail"), digit(1, "host"), F.lit(".example.com")), F.concat_ws(".", *(octet(f"octet{i}") for i in range(4))), F.concat(body, check),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("user"), digit(3, "user"), F.lit("@mail"), digit(1, "host"), F.lit(".example.com"))).otherwise(F.concat(letters("user"), F.lit("@"), letters("host"), F.lit(".org"))), F.concat_ws(".", *(octet(f"octet{i}") for i in range(4))), F.concat(body, check),
         F.concat(F.lit("+1 ("), digit(3, "area"), F.lit(") 555-"), digit(4, "line")),
     )
     rows = F.array(*(F.struct(F.lit(k).alias("k"), m.alias("m"), F.lit(" it says ").alias("l"), F.lit(" and goes on").alias("r")) for k, m in enumerate(of)))
@@ -213,7 +214,7 @@ def examples(spans: DataFrame) -> DataFrame:
         """From (kind, text, label[, left])."""
         return F.array(*(F.struct(F.lit(x[0]).alias("k"), x[1].alias("m"), F.lit(x[2]).alias("label"), (x[3] if len(x) > 3 else left).alias("l")) for x in of))
 
-    rows = F.when(k == 0, made((0, m, 1), (0, F.replace(m, F.lit("@"), F.lit(" (at) ")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit("[at]")), F.lit("."), F.lit("[dot]")), 1), (0, F.regexp_replace(m, r"\..*\z", ""), 0), (0, F.regexp_replace(m, r"@.*\z", " [at] 12.5"), 0)))
+    rows = F.when(k == 0, made((0, m, 1), (0, F.replace(m, F.lit("@"), F.lit(" (at) ")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit(" (at) ")), F.lit("."), F.lit(" (dot) ")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit("[at]")), F.lit("."), F.lit("[dot]")), 1), (0, F.regexp_replace(m, r"\..*\z", ""), 0), (0, F.regexp_replace(m, r"@.*\z", " [at] 12.5"), 0)))
     rows = rows.when(k == 1, made((1, m, 1), (1, F.replace(m, F.lit("."), F.lit("[.]")), 1), (1, many, 0), (1, F.replace(F.regexp_replace(m, r"[0-9]+\z", "799"), F.lit("."), F.lit("(.)")), 0), (3, m, 0), (3, many, 0)))
     rows = rows.when(k == 2, made((2, m, 1), (2, grouped, 1), (2, turned, 0), (2, F.substring(turned, 1, 14), 0), (2, F.concat(F.substring(d, 1, 4), F.lit(" "), turned), 0), (3, F.substring(d, 1, 11), 0)))
     rows = rows.otherwise(made((3, m, 1), (3, bare, 1), (3, F.concat(F.lit("("), F.substring(d, 2, 3), F.lit(") "), F.substring(d, 5, 3), F.lit("-"), F.substring(d, 8, 4)), 1), (3, F.substring(d, 1, 7), 0), (3, d, 0), (3, year, 0), (3, F.concat(F.substring(d, 1, 4), F.lit("."), F.substring(d, 5, 4)), 0), (2, F.concat(d, d), 0)))
@@ -295,7 +296,8 @@ def fit(found: DataFrame) -> tuple[list[dict[str, list]], dict[int, float]]:
         value, right = scores[mine][order], np.cumsum(y[aside][mine][order])
         ends = np.append(value[1:] < value[:-1], True)[: len(value)]
         good = np.flatnonzero(ends & (right >= PRECISION * np.arange(1, len(value) + 1)))
-        limits[k] = max(float(value[good[-1]]), 0.0) if len(good) else float("inf")
+        # Half way to the next lower score, so that forms a little unlike the ones kept aside are on the right side.
+        limits[k] = max(float(value[good[-1] : good[-1] + 2].mean()), 0.0) if len(good) else float("inf")
     return trees, limits
 
 
