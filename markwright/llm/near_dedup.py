@@ -184,8 +184,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     known = labels.withColumnRenamed("node", "doc_id")
     placed = members.where("size > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = placed.join(known.select(F.col("doc_id").alias("centre"), F.col("component").alias("hub")), "centre", "left").withColumn("hub", F.coalesce("hub", "centre"))
-    mixed = placed.groupBy("key").agg(F.count_if(F.col("component") != F.col("hub")).alias("others")).where("others > 0").select("key")
-    placed = cut(placed.join(mixed, "key").join(light, "doc_id").select("key", "band", "doc_id", "centre", "component", "hub", "n", "sketch", "bands"))
+    mixed = cut(placed.groupBy("key").agg(F.count_if(F.col("component") != F.col("hub")).alias("others")).where("others > 0").select("key"))
+    placed = cut(placed.join(small(mixed), "key").join(light, "doc_id").select("key", "band", "doc_id", "centre", "component", "hub", "n", "sketch", "bands"))
     ids = cut(reps.select("doc_id", "d1").join(placed.select("doc_id").distinct(), "doc_id", "left_semi"))
     sets = cut(full_sets(docs, small(ids), k, fine=True).dropDuplicates(["doc_id"]))
     placed = cut(placed.join(sets.select("doc_id", "fine"), "doc_id"))
