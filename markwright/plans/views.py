@@ -25,7 +25,7 @@ VIEWS: dict[str, str] = {
     CASE doc_id % 3 WHEN 0 THEN 'junior' WHEN 1 THEN 'senior' ELSE 'math' END AS pack_id
   FROM {documents}""",
     "diff_pairs": """SELECT doc_id AS pair_id, text AS before_text,
-    CASE WHEN doc_id % 4 = 0 THEN text ELSE coalesce(lead(text) OVER (PARTITION BY source ORDER BY doc_id), text) END AS after_text FROM {documents}""",
+    CASE WHEN doc_id % 4 = 0 THEN text ELSE coalesce(lead(text) OVER (PARTITION BY source, floor(doc_id / 1000) ORDER BY doc_id), text) END AS after_text FROM {documents}""",
     "reference_keys": """SELECT doc_id, concat(CASE WHEN doc_id % 6 = 0 THEN 'page 1 no key here'
     WHEN doc_id % 6 = 1 THEN '第1页 BAADA CBBDD 11.（1）'
     WHEN doc_id % 6 = 2 THEN 'BAADA CBBDD 略 ABCDA ABCDA'
