@@ -15,7 +15,7 @@ LEAD_ONLY = rf"{S}*\d{{1,3}}[.．、]?{S}*"
 SUB_QUESTION = rf"{S}*[（(][\x{{4E00}}-\x{{9FFF}}\d]+[）)]"
 BACKTICK_MATH = r"`[^`\n]*(?:\$|\\|Ω|℃|°|V|A|W|N|Pa|J|kg|cm|mm|kW|h)[^`\n]*`"
 CJK_MARK = "[、，；：。！？]"
-MATH_FENCE = r"(?s)(?<!\\)(\${1,2})(.*?)(?<!\\)\1"
+MATH_FENCE = r"(?s)(\$(?<!\\\$)\$?)(.*?)(?=\$)(?<!\\)\1"
 RAW_HTML = rf"<{S}*/?{S}*(?:script|iframe|object|embed|svg|style|link|meta)\b"
 ANSWER_HEADING = rf"#{S}+(?:物理试卷参考答案|参考答案|答案)(?:{S}|\z)"
 OPTION_LIST = r"\$([A-D](?:['′])?(?:[、，][A-D](?:['′])?)*)\$"

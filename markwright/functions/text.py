@@ -11,23 +11,23 @@ from markwright.functions import chars as C
 
 #: White space but for the line feed.
 BLANK = C.SPACE.replace(r"\n", "")
-#: White space at the end; a run is tried from its first character only, so that long runs cost no more than their length.
-END_SPACE = rf"(?<!{C.S}){C.S}++\z"
+#: The characters of C.SPACE themselves, for the built-in trims, which look at the ends only.
+SPACE_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim_space(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A{C.S}++|{END_SPACE}", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def trim_end(text: Column) -> Column:
     """Without white space of any kind at the end."""
-    return F.regexp_replace(text, END_SPACE, "")
+    return F.rtrim(text, F.lit(SPACE_CHARS))
 
 
 def unix_newlines(text: Column) -> Column:
     """CRLF and lone CR as LF."""
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def split_lines(text: Column) -> Column:
@@ -47,9 +47,9 @@ def normalize_answer(text: Column) -> Column:
     opened = F.regexp_replace(clean, rf"(?i)\A```(?:markdown|md)?[{BLANK}]*+\n", "")
     whole = clean.startswith("```") & (F.length(opened) < F.length(clean)) & opened.endswith("\n```")
     unfenced = F.when(whole, trim_space(F.substring(opened, F.lit(1), F.length(opened) - 4))).otherwise(clean)
-    at = F.regexp_instr(unfenced, F.lit(C.ANSWER_HEADING))
-    answer = F.when(at > 0, F.substring(unfenced, at, F.length(unfenced))).otherwise(unfenced)
-    return F.regexp_replace(answer, C.OPTION_LIST, "$1")
+    # From the heading to the end as one match: places of regexp_instr are not code points.
+    answer = F.coalesce(F.nullif(F.regexp_extract(unfenced, rf"{C.ANSWER_HEADING}(?s:.*)", 0), F.lit("")), unfenced)
+    return F.when(answer.contains("$"), F.regexp_replace(answer, C.OPTION_LIST, "$1")).otherwise(answer)
 
 
 def join_question_leads(text: Column) -> Column:

@@ -24,8 +24,12 @@ def to_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(split_lines(F.col(text))).alias("i", "line")).select(key, (F.col("i") + 1).alias("line_no"), "line")
 
 
-#: What a line has if any check of single lines can find something in it: a number first, a backtick, or a CJK character.
-MAY_HIT = rf"\A{C.S}*+\d|[`\x{{3400}}-\x{{9FFF}}]"
+def may_hit(line: Column) -> Column:
+    """Whether a check of single lines can find something: a number first, a backtick, or a CJK character.
+
+    A pattern with \\A alone in front is tried once, and lines of one byte a character have no CJK.
+    """
+    return line.rlike(rf"\A{C.S}*+\d") | line.contains("`") | ((F.octet_length(line) > F.length(line)) & line.rlike(C.CJK))
 
 
 def number_lines(lines: Column) -> Column:
@@ -73,13 +77,14 @@ def long_lines(lines: Column, limit: Column, numbered: Column | None = None) ->
 
     starts = "|".join(map(re.escape, C.NOT_PLAIN_START))
     special = rf"\A{C.S}*(?:{starts}|\z)|\$\$|[=\\]"
-    # The count comes first: few lines need the other tests.
-    return _found("long_line", lines, lambda x: (F.regexp_count(x, F.lit(C.CJK)) > limit) & ~x.rlike(special), numbered)
+    # A CJK character has three bytes, so short lines need no count, and few lines the other tests.
+    cjk = lambda x: F.length(F.regexp_replace(x, rf"[^{C.CJK[1:-1]}]+", ""))
+    return _found("long_line", lines, lambda x: (F.octet_length(x) > limit * 3) & (cjk(x) > limit) & ~x.rlike(special), numbered)
 
 
 def unbalanced_dollar(text: Column) -> Column:
     """One finding for a document with an odd count of dollar signs that no backslash precedes."""
-    odd = F.regexp_count(text, F.lit(r"(?<!\\)\$")) % 2 == 1
+    odd = F.regexp_count(text, F.lit(r"\$(?<!\\\$)")) % 2 == 1
     return F.when(odd, F.array(F.struct(F.lit("unbalanced_dollar").alias("check"), F.lit(None).cast("int").alias("line_no"), F.lit("$").alias("detail")))).otherwise(F.array().cast(FINDING))
 
 
@@ -88,7 +93,7 @@ def cjk_in_math(text: Column) -> Column:
     pieces, fences = F.split(text, C.MATH_FENCE, -1), F.regexp_extract_all(text, F.lit(C.MATH_FENCE), F.lit(0))
 
     def breaks(x: Column) -> Column:
-        return F.regexp_count(x, F.lit("\n"))
+        return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
     zero = F.struct(F.lit(1).alias("line"), F.array().cast(FINDING).alias("out"))
 
@@ -100,13 +105,15 @@ def cjk_in_math(text: Column) -> Column:
         return F.struct((line + breaks(p["f"])).alias("line"), F.when(mark != "", F.concat(acc["out"], F.array(finding))).otherwise(acc["out"]).alias("out"))
 
     parts = F.zip_with(F.slice(pieces, F.lit(1), F.size(fences)), fences, lambda b, f: F.struct(b.alias("b"), f.alias("f")))
-    return F.when(text.contains("$"), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(FINDING))
+    # Lines are counted only in texts that have a mark in a fence.
+    marked = text.contains("$") & F.exists(fences, lambda f: f.rlike(C.CJK_MARK))
+    return F.when(marked, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(FINDING))
 
 
 def raw_html(text: Column) -> Column:
     """The first executable tag, whatever the rules; at most one finding."""
     tag = F.regexp_extract(text, f"(?iu){C.RAW_HTML}", 0)
-    return F.when(tag != "", F.array(F.struct(F.lit("raw_html").alias("check"), F.lit(None).cast("int").alias("line_no"), tag.alias("detail")))).otherwise(F.array().cast(FINDING))
+    return F.when(text.contains("<") & (tag != ""), F.array(F.struct(F.lit("raw_html").alias("check"), F.lit(None).cast("int").alias("line_no"), tag.alias("detail")))).otherwise(F.array().cast(FINDING))
 
 
 def explode_findings(docs: DataFrame, found: Column, *keep: str) -> DataFrame:
@@ -120,7 +127,7 @@ def lint(docs: DataFrame, limit: Column | None = None, *keep: str) -> DataFrame:
     # One look at each line leaves few for the checks of single lines; leads are looked for only where there is one alone.
     lead = F.when(F.exists(some, lambda p: p["x"].rlike(rf"\A{C.LEAD_ONLY}\z")), orphan_lead(lines)).otherwise(F.array().cast(FINDING))
     parts = (choice_hyphen(lines, some), choice_spacing(lines, some), lead, backtick_math(lines, some), unbalanced_dollar(text), cjk_in_math(text), raw_html(text), long_lines(lines, limit, some))
-    docs = docs.withColumn("__lines", split_lines(text)).withColumn("__some", F.filter(number_lines(lines), lambda p: p["x"].rlike(MAY_HIT)))
+    docs = docs.withColumn("__lines", split_lines(text)).withColumn("__some", F.filter(number_lines(lines), lambda p: may_hit(p["x"])))
     return explode_findings(docs, F.concat(*(p.cast(FINDING) for p in parts)), *keep)
 
 

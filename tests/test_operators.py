@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from markwright.operators import contracts, diff, evaluate, integrity, keys, order, pages, rules
+from markwright.functions import text as X
+from markwright.operators import contracts, diff, evaluate, integrity, keys, lint, order, pages, rules
 from markwright.sources import files
 
 LINE = st.lists(st.sampled_from("abc"), max_size=8)
@@ -286,3 +287,15 @@ def test_scratch_tables_go_away(spark):
         gone, stays = files.cut(spark.range(3)), files.cut(spark.range(2), keep=True)
         paths = [Path(f.inputFiles()[0].removeprefix("file://")) for f in (gone, stays)]
     assert not paths[0].exists() and paths[1].exists() and stays.count() == 2
+
+
+def test_normalize_answer_cuts_by_code_points(spark):
+    """Characters outside the basic plane before the heading do not shift the cut; all white space goes at both ends."""
+    rows = spark.createDataFrame([("😀😀 so\r\n# 答案\r\nA😀　﻿\n",), (" \xa0plain $A、B$\t ",), ("😀",), (None,)], "text string")
+    assert [r[0] for r in rows.select(X.normalize_answer(F.col("text"))).collect()] == ["# 答案\nA😀", "plain A、B", "😀", ""]
+
+
+def test_fences_and_escaped_dollars(spark):
+    rows = spark.createDataFrame([(r"\$a，b\$ $x$",), (r"$x\$，$ y",), ("$$x\n，$$ $y",), ("a$$b，c$",)], "text string")
+    found = rows.select(F.size(lint.cjk_in_math(F.col("text"))), F.size(lint.unbalanced_dollar(F.col("text")))).collect()
+    assert [tuple(r) for r in found] == [(0, 0), (1, 0), (1, 1), (0, 1)]
