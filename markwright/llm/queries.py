@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwright.llm import chat_format, decontamination, language, mixing, pii, quality, url_filters
+from markwright.llm import chat_format, decontamination, language, mixing, pii, quality, spelling, url_filters, vector_codes, word_bpe
 from markwright.llm.common import table
 from markwright.llm.fingerprints import fingerprints
 from markwright.llm.near_dedup import near_duplicates
@@ -61,15 +61,31 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return word_bpe.digests(word_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_language_id, op3_pii, op4_url_filters, op5_document_fingerprints,
         op6_benchmark_decontamination, op7_minhash_near_dedup, op8_source_mixing, op9_quality_classifier, op10_suffix_array_dedup,
+        op11_word_bpe, op12_spelling_variants, op13_vector_codes,
     )
 }
 ORACLES: dict[str, str] = {
     "op4_url_filters": url_filters.ORACLE,
     "op6_benchmark_decontamination": decontamination.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
