@@ -5,11 +5,12 @@ letters, digits and marks, but not inside a control string of the vocabulary, be
 beside a character that is not ASCII (normalisation, classes beyond ASCII). The tokens of a text are then those of its
 words, one after the other, whatever the words' neighbours are.
 
-Runs of texts of some megabytes make a block, in which a word is stored once and texts are lists of places. The words
-of all blocks are dealt by word, so that each distinct word is encoded by the tokenizers library once, in the task that
-owns it; its ids go back to the blocks that hold it, where they are joined to the texts by position. Ids become text
-again by a join with the vocabulary's table from id to piece, whose size is fixed, and so it is sent to every task.
-Blocks, words and ids pass through tasks as streams.
+Runs of texts of some megabytes make a block, in which a word is stored once and texts are lists of codes, the frequent
+words having the small ones. The words of all blocks are dealt by word, so that each distinct word is encoded by the
+tokenizers library once, in the task that owns it; its ids go back to the blocks that hold it, where they are joined to
+the texts by position. Ids become text again by a join with the vocabulary's table from id to piece, whose size is fixed,
+and so it is sent to every task. Texts and ids pass through tasks as streams; a task holds a block, or its share of the
+distinct words, which the number of shuffle partitions divides.
 
 Defined cases: a null text counts as an empty one, which has no tokens and is decoded as an empty text; every row is a
 text of its own, whether doc_ids repeat or are null; a text longer than a block is a block of its own; a word of any
@@ -19,6 +20,7 @@ length is encoded whole; extra columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -38,15 +40,12 @@ from markwright.llm.vectors import IS_SPACE, LOWER, text_pieces
 class Sizes(NamedTuple):
     """What bounds a task's memory; results don't depend on it."""
 
-    #: Bytes of text in a row of places.
+    #: Bytes of text in a row of codes.
     piece: int = 1 << 20
-    #: Words, and bytes of words, after which a block ends.
-    words: int = 1 << 19
+    #: Distinct words, bytes of these, and words after which a block ends.
+    distinct: int = 1 << 19
     bytes: int = 1 << 25
-    #: Words in a row of a dictionary.
-    row: int = 1 << 14
-    #: Words that are kept before their ids are handed back.
-    held: int = 1 << 17
+    words: int = 1 << 23
 
 
 SPACE, LETTER, DIGIT, MARK, WIDE = range(5)
@@ -106,95 +105,115 @@ def split_words(data: np.ndarray, offsets: np.ndarray, whole: list[bytes]) -> tu
     return spans.filter(pa.array(solid)), np.where(np.diff(offsets) > 0, counts, 0).astype(np.int64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    raw = values.astype(np.int32).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def pack(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays or bytes as one compressed string, each with its length in bytes before it."""
+    raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    packed = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+    return b"".join([np.array([[len(r), len(p)] for r, p in zip(raw, packed, strict=True)], dtype=np.int64).tobytes(), *packed])
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), dtype=np.int32)
+def unpack(packed: bytes, *kinds: type) -> list:
+    """What pack() was given, as arrays of these kinds."""
+    sizes = np.frombuffer(packed, dtype=np.int64, count=2 * len(kinds)).reshape(-1, 2).tolist()
+    at, out = 16 * len(kinds), []
+    for (size, length), kind in zip(sizes, kinds, strict=True):
+        out.append(np.frombuffer(pa.decompress(packed[at : at + length], size, codec="zstd", asbytes=True), dtype=kind))
+        at += length
+    return out
 
 
-def blocks(docs: DataFrame, path: str, key: str, text: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """Rows of texts, (block, keys, sizes, codes), and of dictionaries, (block, first, words), where word i has code first + i."""
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Small codes in a byte, others in three, few in five; bytes of a kind stand together, as they compress best."""
+    rest = codes[codes >= 192] - 192
+    top = np.minimum(rest >> 14, 62)
+    first = codes.astype(np.uint8)
+    first[codes >= 192] = 192 + top
+    return pack(first, (rest & 255).astype(np.uint8), (rest >> 8 & 63).astype(np.uint8), rest[top == 62].astype(np.int32))
+
+
+def unpack_codes(packed: bytes) -> np.ndarray:
+    first, low, high, far = unpack(packed, np.uint8, np.uint8, np.uint8, np.int32)
+    codes = first.astype(np.int32)
+    large = codes >= 192
+    top = codes[large] - 192
+    rest = (top << 14) + (high.astype(np.int32) << 8) + low
+    rest[top == 62] = far
+    codes[large] = rest + 192
+    return codes
+
+
+def blocks(docs: DataFrame, path: str, key: str, text: str, shares: int, sizes: Sizes = Sizes()) -> DataFrame:
+    """Rows of texts, (block, keys, lengths, codes), and of dictionaries, (block, codes, share, words): the words of a block that
+    belong to one of the `shares` of all words, and their codes."""
     kind = docs.schema[key].dataType
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()),
-        T.StructField("first", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()),
+        T.StructField("share", T.IntegerType()), T.StructField("words", T.BinaryType()),
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known, size = TaskContext.get().partitionId() << 32, {}, 0
+        block, known, texts, size, n = TaskContext.get().partitionId() << 32, {}, [], 0, 0
         whole, shape = controls(path), None
 
-        def row(keys=None, lengths=None, codes=None, first=None, words=None) -> pa.RecordBatch:
-            some = [None if x is None else [x] for x in (keys, lengths, codes, first, words)]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64())] + [pa.nulls(1, f.type) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x[0])], pa.int32()), x[0]) if isinstance(x[0], pa.Array) else pa.array(x, f.type) for x, f in zip(some, list(shape)[1:], strict=True)], schema=shape)
-
-        def dictionary() -> Iterator[pa.RecordBatch]:
-            words = list(known)
-            for lo in range(0, len(words), sizes.row):
-                yield row(first=lo, words=words[lo : lo + sizes.row])
+        def row(codes: bytes, keys: pa.Array | None = None, lengths: pa.Array | None = None, share: int | None = None, words: bytes | None = None) -> pa.RecordBatch:
+            lists = [pa.nulls(1, f.type) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, f in ((keys, shape.field(1)), (lengths, shape.field(2)))]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, pa.array([codes], pa.binary()), pa.array([share], pa.int32()), pa.array([words], pa.binary())], schema=shape)
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            """The rows of a block: codes are given anew, by how often a word occurs."""
+            count = np.zeros(len(known), dtype=np.int64)
+            for _, _, codes in texts:
+                count += np.bincount(codes, minlength=len(known))
+            rank = np.empty(len(known), dtype=np.int32)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(known))
+            for keys, lengths, codes in texts:
+                yield row(pack_codes(rank[codes]), keys, lengths)
+            words = sorted(known)
+            share = np.array([zlib.crc32(w.encode()) % shares for w in words], dtype=np.int64)
+            code = rank[[known[w] for w in words]] if words else rank
+            order = np.argsort(share, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(share[order])) + 1) if words else []:
+                yield row(pack(code[some]), share=int(share[some[0]]), words=pack("\n".join([words[i] for i in some]).encode()))
 
         for batch in batches:
             if shape is None:
-                shape = pa.schema([("block", pa.int64()), ("keys", pa.list_(batch.schema.field(0).type)), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
+                shape = pa.schema([("block", pa.int64()), ("keys", pa.list_(batch.schema.field(0).type)), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("share", pa.int32()), ("words", pa.binary())])
             for lo, hi, data, offsets in text_pieces(batch.column(1), sizes.piece):
                 words, counts = split_words(data, offsets, whole)
                 local = words.dictionary_encode()
-                new = local.dictionary.to_pylist()
                 were = len(known)
-                places = np.fromiter((known.setdefault(w, len(known)) for w in new), dtype=np.int32, count=len(new))
-                size += sum(len(w) for w, place in zip(new, places, strict=True) if place >= were)
-                codes = places[local.indices.to_numpy()] if len(words) else places
-                yield row(keys=batch.column(0).slice(lo, hi - lo), lengths=pa.array(counts.astype(np.int32)), codes=pack(codes))
-                if len(known) > sizes.words or size > sizes.bytes:
-                    yield from dictionary()
-                    block, known, size = block + 1, {}, 0
-        if known:
-            yield from dictionary()
+                places = np.fromiter((known.setdefault(w, len(known)) for w in local.dictionary.to_pylist()), dtype=np.int32, count=len(local.dictionary))
+                size += pc.sum(pc.binary_length(local.dictionary.filter(pa.array(places >= were)))).as_py() or 0
+                # Copies, so that no batch is held by a slice of it.
+                texts.append((pa.concat_arrays([batch.column(0).slice(lo, hi - lo)]), pa.array(counts.astype(np.int32)), places[local.indices.to_numpy()] if len(words) else places))
+                n += len(words)
+                if len(known) > sizes.distinct or size > sizes.bytes or n > sizes.words:
+                    yield from finished()
+                    block, known, texts, size, n = block + 1, {}, [], 0, 0
+        if texts:
+            yield from finished()
 
     return docs.select(key, F.coalesce(F.col(text), F.lit(""))).mapInArrow(work, schema)
 
 
-def encode_words(words: DataFrame, path: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """(block, codes, ids) for (word, block, code): each distinct word is encoded once, by the task that all its rows are dealt to.
+def encode_words(dictionaries: DataFrame, path: str, shares: int) -> DataFrame:
+    """(block, codes, ids) for (block, codes, share, words): each distinct word is encoded once, by the task that has its share.
 
     ids holds how many ids each code has, then the ids.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
-        last, last_ids, held, n = None, [], [], 0
-
-        def hand_back() -> Iterator[pa.RecordBatch]:
-            block, code, count, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(block, kind="stable")
-            starts = np.cumsum(count) - count
-            for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(block[rows[:1]]), pa.array([pack(code[rows])], pa.binary()), pa.array([pack(np.concatenate([count[rows], gather(ids, starts[rows], count[rows])]))], pa.binary())], ["block", "codes", "ids"])
-
+        own, table = tokenizer(path), {}
         for batch in batches:
-            if not len(batch):
-                continue
-            local = batch.column(0).dictionary_encode()
-            distinct = local.dictionary.to_pylist()
-            known = [last_ids] if distinct[0] == last else []
-            known += [e.ids for e in own.encode_batch(distinct[len(known) :], add_special_tokens=False)]
-            last, last_ids = distinct[-1], known[-1]
-            count = np.array([len(x) for x in known], dtype=np.int64)
-            flat = np.array([i for x in known for i in x], dtype=np.int64)
-            which = local.indices.to_numpy()
-            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), count[which], gather(flat, (np.cumsum(count) - count)[which], count[which])))
-            n += len(batch)
-            if n > sizes.held:
-                yield from hand_back()
-                held, n = [], 0
-        if held:
-            yield from hand_back()
-
-    dealt = words.repartition(partitions(words.sparkSession), "word").sortWithinPartitions("word")
-    return dealt.select("word", "block", "code").mapInArrow(work, "block long, codes binary, ids binary")
+            for block, codes, packed in zip(*batch.columns, strict=True):
+                words = unpack(packed.as_py(), np.uint8)[0].tobytes().decode().split("\n")
+                new = [w for w in words if w not in table]
+                table.update(zip(new, (e.ids for e in own.encode_batch(new, add_special_tokens=False)), strict=True))
+                ids = [table[w] for w in words]
+                flat = np.array([i for x in ids for i in x], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([codes.as_py()], pa.binary()), pa.array([pack(np.array([len(x) for x in ids], dtype=np.int32), flat)], pa.binary())], ["block", "codes", "ids"])
+
+    return dictionaries.repartitionById(shares, F.col("share")).select("block", "codes", "words").mapInArrow(work, "block long, codes binary, ids binary")
 
 
 def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -210,28 +229,28 @@ def join_pieces(ids: pa.ListArray, table: pa.Array) -> pa.Array:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False, sizes: Sizes = Sizes()) -> DataFrame:
     """(key, ids) for every row, and, if asked for, the text that the ids decode to."""
-    parts = cut(blocks(docs, path, key, text, sizes))
-    words = parts.where("words IS NOT NULL").select("block", "first", F.posexplode("words").alias("at", "word")).select("word", "block", (F.col("first") + F.col("at")).alias("code"))
+    shares = partitions(docs.sparkSession)
+    parts = cut(blocks(docs, path, key, text, shares, sizes))
     nothing = F.lit(None)
-    tables = encode_words(words, path, sizes).select("block", F.lit(0).alias("kind"), nothing.cast(parts.schema["keys"].dataType).alias("keys"), nothing.cast("array<int>").alias("sizes"), "codes", "ids")
-    texts = parts.where("words IS NULL").select("block", F.lit(1).alias("kind"), "keys", "sizes", "codes", nothing.cast("binary").alias("ids"))
+    tables = encode_words(parts.where("share IS NOT NULL").select("block", "codes", "share", "words"), path, shares)
+    tables = tables.select("block", F.lit(0).alias("kind"), nothing.cast(parts.schema["keys"].dataType).alias("keys"), nothing.cast("array<int>").alias("lengths"), "codes", "ids")
+    texts = parts.where("share IS NULL").select("block", F.lit(1).alias("kind"), "keys", "lengths", "codes", nothing.cast("binary").alias("ids"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, table = None, [], None
         for batch in batches:
             for i in range(len(batch)):
-                here, kind, codes = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), unpack(batch.column(4)[i].as_py())
+                here, kind, packed = (batch.column(c)[i].as_py() for c in (0, 1, 4))
                 if here != block:
                     block, parts, table = here, [], None
                 if kind == 0:
-                    both = unpack(batch.column(5)[i].as_py())
-                    parts.append((codes, both[: len(codes)], both[len(codes) :]))
+                    parts.append((unpack(packed, np.int32)[0], *unpack(batch.column(5)[i].as_py(), np.int32, np.int32)))
                     continue
                 if table is None:
                     table = by_code(parts)
                     parts = []
                 starts, counts, values = table
-                lengths = batch.column(3)[i].values.to_numpy()
+                codes, lengths = unpack_codes(packed), batch.column(3)[i].values.to_numpy()
                 ids = gather(values, starts[codes], counts[codes]) if len(codes) else np.zeros(0, dtype=np.int32)
                 ends = np.append(0, np.cumsum(counts[codes], dtype=np.int64))[np.append(0, np.cumsum(lengths))]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))

@@ -44,9 +44,15 @@ def test_word_bpe_equals_the_library_on_made_texts(spark):
     assert sorted(map(tuple, got.collect()), key=str) == library_digests(rows)
 
 
-@pytest.mark.parametrize("sizes", [word_bpe.Sizes(500, 20, 1 << 25, 7, 30), word_bpe.Sizes(1, 1 << 19, 40, 3, 1)])
+def test_codes_come_back_whatever_their_size():
+    for codes in ([], [0], [191, 192, 193], np.arange(0, 3_000_000, 997), [192 + (62 << 14) - 1, 192 + (62 << 14), 2**31 - 1]):
+        codes = np.array(codes, dtype=np.int32)
+        assert (word_bpe.unpack_codes(word_bpe.pack_codes(codes)) == codes).all()
+
+
+@pytest.mark.parametrize("sizes", [word_bpe.Sizes(500, 20, 1 << 25, 1 << 20), word_bpe.Sizes(1, 1 << 19, 40, 1 << 20), word_bpe.Sizes(50, 1 << 19, 1 << 25, 9)])
 def test_word_bpe_small_blocks(spark, sizes):
-    """Many blocks in a task, many dictionary rows in a block, ids handed back in small parts."""
+    """Many blocks in a task, by each of the bounds."""
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) + rng.choice(["", ",", "."]) for _ in range(rng.choice([0, 1, 60])))) for i in range(300)]
     got = word_bpe.digests(word_bpe.encode(docs_of(spark, rows), PATH, decoded=True, sizes=sizes))
