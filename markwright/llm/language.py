@@ -2,10 +2,11 @@
 
 A text's subwords are the runs of three and of four bytes of its lower-cased form, in which everything but letters is
 one space. Each is hashed into a table of embeddings; their mean goes through a linear layer and a softmax. The model is
-trained by stochastic gradient descent in numpy on a bounded sample of labelled documents, each represented by subwords
-drawn evenly from the whole text. Since both layers are linear, prediction adds up one small row for each subword of the
-whole text. A temperature, fit on a part of the sample kept aside, calibrates the probabilities, and the rejection
-threshold is the least score from which on that part's predictions are right in 99 of 100 cases.
+trained by stochastic gradient descent in numpy on a bounded sample of labelled documents, each by its whole text: the
+counts of its places in the table, of which there are as many as the table has at most. Since both layers are linear,
+prediction adds up one small row for each subword of the whole text. A temperature, fit on a part of the sample kept
+aside and judged as predictions are, calibrates the probabilities, and the rejection threshold is the least score from
+which on that part's predictions are right in 99 of 100 cases.
 
 Languages are learned only from rows whose held_out is false; language, source and id are never inputs.
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from markwright.llm.common import held_out, stratified
 from markwright.llm.vectors import text_pieces
 
-#: Labelled documents in the sample, subwords drawn from each, size of the hash table and of an embedding.
-BOUND, DRAWN, TABLE, DIM = 6000, 400, 1 << 15, 16
+#: Labelled documents in the sample, size of the hash table and of an embedding.
+BOUND, TABLE, DIM = 2000, 1 << 15, 16
 RIGHT = 0.99
 _FOLD = np.full(256, 32, dtype=np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
@@ -53,36 +54,42 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[keep], per_text
 
 
-def drawn(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, places): DRAWN subwords of each text, spread evenly over all of it."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, places, counts): the distinct table places of all subwords of each text, and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_pieces(batch.column(0)):
                 places, count = subwords(data, offsets)
                 ends = np.cumsum(count)
-                lists = []
-                for m, end in zip(count, ends, strict=True):
-                    mine = places[end - m : end].reshape(-1)
-                    lists.append(mine[np.linspace(0, len(mine) - 1, DRAWN).astype(int)] if len(mine) else mine)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "lang", "places"])
+                found = [np.unique(places[end - m : end], return_counts=True) for m, end in zip(count, ends, strict=True)]
+                lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], ["doc_id", "lang", "places", "counts"])
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), "lang").mapInArrow(run, "doc_id long, lang string, places array<int>")
+    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), "lang").mapInArrow(run, "doc_id long, lang string, places array<int>, counts array<int>")
 
 
-def train(places: np.ndarray, label: np.ndarray, n_labels: int, seed: int = 11, steps: int = 300, batch: int = 64, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
-    """A row of class scores for each table place, and the bias: the product of the two linear layers."""
+def means(rows: np.ndarray, places: np.ndarray, shares: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text, whose places begin at starts, the mean of the rows of its subwords."""
+    return np.stack([np.add.reduceat(rows[:, c][places] * shares, starts) for c in range(rows.shape[1])], axis=1)
+
+
+def train(places: np.ndarray, shares: np.ndarray, ends: np.ndarray, label: np.ndarray, n_labels: int, seed: int = 11, steps: int = 300, batch: int = 64, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The embeddings, the linear layer and its bias. The text that ends at ends[i] has label[i]; shares are the parts of its subwords."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (TABLE, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, n_labels)).astype(np.float32)
     bias = np.zeros(n_labels, dtype=np.float32)
     passes = max(6, -(-steps * batch // len(label)))
+    sizes = np.diff(ends, prepend=0)
     for turn in range(passes):
         order = rng.permutation(len(label))
         step = rate * (1 - turn / passes)
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
-            x = embed[places[rows]].mean(axis=1)
+            at = np.concatenate([np.arange(ends[r] - sizes[r], ends[r]) for r in rows])
+            p_, s_ = places[at], shares[at]
+            x = means(embed, p_, s_, np.cumsum(sizes[rows]) - sizes[rows])
             logits = x @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -91,28 +98,35 @@ def train(places: np.ndarray, label: np.ndarray, n_labels: int, seed: int = 11,
             pull = p @ out.T
             out -= 10 * step * (x.T @ p)
             bias -= step * p.sum(axis=0)
-            spread = np.repeat(pull, places.shape[1], axis=0) * np.float32(64 * step / places.shape[1])
-            flat = places[rows].reshape(-1)
+            weight = s_ * np.float32(64 * step)
             for d in range(DIM):
-                embed[:, d] -= np.bincount(flat, spread[:, d], TABLE).astype(np.float32)
-    return embed @ out, bias
+                embed[:, d] -= np.bincount(p_, np.repeat(pull[:, d], sizes[rows]) * weight, TABLE).astype(np.float32)
+    return embed, out, bias
 
 
 def fit(docs: DataFrame, bound: int = BOUND) -> dict | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    found = drawn(stratified(known, "lang", bound)).where("size(places) > 0").orderBy("doc_id", "lang", "places").toArrow()
+    found = counted(stratified(known, "lang", bound)).where("size(places) > 0").orderBy("doc_id", "lang", "places", "counts").toArrow()
     if not found.num_rows:
         return None
     names = found.column("lang").to_pylist()
     langs = sorted(set(names))
     label = np.array([langs.index(v) for v in names])
-    places = found.column("places").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+    lists = found.column("places").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    places, counts = lists.flatten().to_numpy(), found.column("counts").combine_chunks().flatten().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    shares = (counts / np.repeat(np.add.reduceat(counts, starts), sizes)).astype(np.float32)
     aside = np.arange(len(label)) % 5 == 4
     aside &= np.isin(label, label[~aside])  # a language is not set aside whole
-    scores, bias = train(places[~aside], label[~aside], len(langs))
+    inside = np.repeat(~aside, sizes)
+    embed, out, bias = train(places[inside], shares[inside], np.cumsum(sizes[~aside]), label[~aside], len(langs))
+    # The product of the two layers, where it is the smaller table.
+    rows, head = (embed @ out, np.eye(len(langs), dtype=np.float32)) if len(langs) <= DIM else (embed, out)
     temperature, threshold = 1.0, 0.0
     if aside.any():
-        logits = scores[places[aside]].mean(axis=1) + bias
+        far = ~inside
+        logits = means(rows.astype(np.float64), places[far], shares[far], np.cumsum(sizes[aside]) - sizes[aside]) @ head + bias
         best = {}
         for t in np.geomspace(0.05, 20, 60):
             z = logits / t
@@ -124,7 +138,7 @@ def fit(docs: DataFrame, bound: int = BOUND) -> dict | None:
         order = np.argsort(-top, kind="stable")
         good = np.flatnonzero(np.cumsum(right[order]) >= RIGHT * np.arange(1, len(order) + 1))
         threshold = float(top[order][good[-1]]) if len(good) else 1.0
-    return {"langs": langs, "scores": scores.astype(np.float32), "bias": bias, "temperature": temperature, "threshold": threshold}
+    return {"langs": langs, "rows": rows.astype(np.float32), "head": head, "bias": bias, "temperature": temperature, "threshold": threshold}
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -134,7 +148,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected (the score is under the calibrated threshold) for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: the table of subword scores
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE rows of DIM numbers at most, and DIM for each of the languages, which the sample bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -145,8 +159,8 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 if m is not None:
                     places, count = subwords(data, offsets)
                     ends = np.cumsum(count)
-                    total = np.stack([np.concatenate([[0], np.cumsum(m["scores"][:, c][places].sum(axis=1, dtype=np.float64))]) for c in range(len(m["langs"]))], axis=1)
-                    logits = (total[ends] - total[ends - count]) / np.maximum(2 * count, 1)[:, None] + m["bias"]
+                    total = np.stack([np.concatenate([[0], np.cumsum(m["rows"][:, c][places].sum(axis=1, dtype=np.float64))]) for c in range(m["rows"].shape[1])], axis=1)
+                    logits = (total[ends] - total[ends - count]) / np.maximum(2 * count, 1)[:, None] @ m["head"] + m["bias"]
                     p = _softmax(logits / m["temperature"])
                     lang = [m["langs"][i] if ok else "und" for i, ok in zip(p.argmax(axis=1), lettered, strict=True)]
                     score = np.where(lettered, p.max(axis=1), 0.0)

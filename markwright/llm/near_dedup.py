@@ -12,9 +12,9 @@ Two documents with similarity 0.8 share no band with probability (1 - 0.8**4)**2
 one with probability below 1e-6.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a text with fewer words than a shingle
-has its whole word sequence as its only shingle; rows that repeat a doc_id count as one document if their texts agree,
-else the text with the greatest digest of those it is the first of stands for the id in comparisons; a row without a doc_id is linked
-with nothing and has no component_id; extra columns are ignored; empty tables give empty results.
+has its whole word sequence as its only shingle; every row is a document of its own, also where rows share a doc_id (a
+component is named by the smallest doc_id in it, so two components may have one name then); a row without a doc_id is
+linked with nothing and has no component_id; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markwright.llm.common import cut, small
@@ -48,7 +48,7 @@ _times = (_seeds[:FINE_SAMPLE] >> np.uint64(32)).astype(np.uint32) | np.uint32(1
 _plus = (_seeds[FINE_SAMPLE:] >> np.uint64(32)).astype(np.uint32)
 _salts = mix(np.arange(5000, 5000 + FINE_SAMPLE, dtype=np.uint64))
 
-FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"
+FEATURES = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"
 
 
 def minima(shingles: np.ndarray, size: int = SAMPLE) -> np.ndarray:
@@ -83,24 +83,29 @@ def set_digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, 128-bit digest of the set, odd sketch and band keys of every document."""
+    """doc_id, hash of the text, set size, 128-bit digest of the set, odd sketch and band keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_pieces(batch.column(1)):
+            for lo, hi, data, offsets in text_pieces(batch.column(2)):
                 sets = shingle_sets(data, offsets, k)
                 samples = np.stack([minima(s) for s in sets])
                 digests = set_digests(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), list_array(odd_sketches(samples)), list_array(band_keys(samples))],
-                    ["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), list_array(odd_sketches(samples)), list_array(band_keys(samples))],
+                    ["doc_id", "text_hash", "n_shingles", "d1", "d2", "sketch", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, FEATURES)
+    return rows_of(docs).mapInArrow(run, FEATURES)
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): the first two name a row, up to rows that are equal in both id and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, fine: bool = False) -> DataFrame:
-    """(doc_id, shingles binary, fine) of the documents with the doc_id and set digest of ids: the sorted shingle hashes, the fine sketch or null."""
+    """(node, shingles binary, fine) of the rows that ids, (node, doc_id, text_hash, d1), name: the sorted shingle hashes, the fine sketch or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +113,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, fine: bool = False) -> Da
                 sets = shingle_sets(data, offsets, k)
                 own = pa.array(set_digests(sets)[:, 0] == batch.column(2).slice(lo, hi - lo).to_numpy())
                 maps = list_array(odd_sketches(np.stack([minima(s, FINE_SAMPLE) for s in sets]), FINE_BITS)) if fine else pa.nulls(hi - lo, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()), maps], ["doc_id", "shingles", "fine"]).filter(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()), maps], ["node", "shingles", "fine"]).filter(own)
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("doc_id", "text", "d1")
-    return chosen.mapInArrow(run, "doc_id long, shingles binary, fine array<long>")
+    chosen = rows_of(docs).join(ids, ["doc_id", "text_hash"]).select("node", "text", "d1")
+    return chosen.mapInArrow(run, "node long, shingles binary, fine array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,8 +137,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("p"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("q"))
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
@@ -147,50 +152,50 @@ def _near(x: str, y: str, percent: int) -> F.Column:
     return F.expr(f"{sizes} AND {_apart(f'{x}_sketch', f'{y}_sketch')} <= {MOST_BITS}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that can be reached, itself included), kept.
+def placed_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row, (doc_id, text_hash, n_shingles, d1, d2), and every class of rows with equal sets, (d1, d2, doc_id, text_hash, component).
 
-    The bands and the bounds of the sketches are made for a similarity of 0.8, so a lower percent is refused.
+    A class has the doc_id and text_hash of its first row, component is a number; rows without words or doc_id have no class.
     """
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent is {percent}; under {LEAST_PERCENT} the bands and sketches would lose links")
     found = cut(features(docs, k))
-    classes = cut(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max(F.struct("d1", "d2")).alias("d")).select("doc_id", "d.d1", "d.d2")
-    reps = found.join(chosen, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
-    reps = cut(reps.select("doc_id", "d1", F.col("n_shingles").alias("n"), "sketch", "bands"))
-    light = reps.select("doc_id", "n", "sketch", "bands")
+    classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = cut(classes.select("d1", "d2", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("node")))
+    reps = found.join(classes, ["d1", "d2", "doc_id", "text_hash"]).dropDuplicates(["node"])
+    reps = cut(reps.select("node", "doc_id", "text_hash", "d1", F.col("n_shingles").alias("n"), "sketch", "bands"))
+    light = reps.select("node", "n", "sketch", "bands")
+    named = reps.select("node", "doc_id", "text_hash", "d1")
 
     # Buckets with more than one member; the centre is the smallest member.
-    members = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = cut(members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1"))
+    members = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = cut(members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"))
     # Both sides of a merge join come straight from their exchanges, so that Spark can split a bucket that holds a large part of all rows.
     members = cut(members.join(buckets.hint("merge"), "key"))
 
     def side(name: str) -> DataFrame:
-        return light.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
+        return light.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
 
     def near(pairs: DataFrame) -> DataFrame:
         return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent)).select("a", "b")
 
-    tried = cut(near(members.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))))
-    ids = cut(reps.select("doc_id", "d1").join(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct(), "doc_id", "left_semi"))
-    sets = cut(full_sets(docs, small(ids), k).dropDuplicates(["doc_id"]))
+    tried = cut(near(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))))
+    ids = cut(named.join(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct(), "node", "left_semi"))
+    sets = cut(full_sets(docs, small(ids), k).dropDuplicates(["node"]))
     links = cut(confirmed(tried, sets, percent))
     labels = components(links)
 
     # What a single centre cannot show: members of a bucket that are not in the component of its centre may have a link
     # to another member. They are compared with the members of other components; pairs with the centre are known.
-    known = labels.withColumnRenamed("node", "doc_id")
-    placed = members.where("size > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.join(known.select(F.col("doc_id").alias("centre"), F.col("component").alias("hub")), "centre", "left").withColumn("hub", F.coalesce("hub", "centre"))
+    placed = members.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(labels.select(F.col("node").alias("centre"), F.col("component").alias("hub")), "centre", "left").withColumn("hub", F.coalesce("hub", "centre"))
     mixed = cut(placed.groupBy("key").agg(F.count_if(F.col("component") != F.col("hub")).alias("others")).where("others > 0").select("key"))
-    placed = cut(placed.join(small(mixed), "key").join(light, "doc_id").select("key", "band", "doc_id", "centre", "component", "hub", "n", "sketch", "bands"))
-    ids = cut(reps.select("doc_id", "d1").join(placed.select("doc_id").distinct(), "doc_id", "left_semi"))
-    sets = cut(full_sets(docs, small(ids), k, fine=True).dropDuplicates(["doc_id"]))
-    placed = cut(placed.join(sets.select("doc_id", "fine"), "doc_id"))
-    x = placed.where("component <> hub").select("key", F.col("doc_id").alias("a"), F.col("component").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("fine").alias("a_fine"), F.col("bands").alias("a_bands"), "band")
-    y = placed.where("doc_id <> centre").select("key", F.col("doc_id").alias("b"), F.col("component").alias("b_c"), "hub", F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"), F.col("fine").alias("b_fine"), F.col("bands").alias("b_bands"))
+    placed = cut(placed.join(small(mixed), "key").join(light, "node").select("key", "band", "node", "centre", "component", "hub", "n", "sketch", "bands"))
+    ids = cut(named.join(placed.select("node").distinct(), "node", "left_semi"))
+    sets = cut(full_sets(docs, small(ids), k, fine=True).dropDuplicates(["node"]))
+    placed = cut(placed.join(sets.select("node", "fine"), "node"))
+    x = placed.where("component <> hub").select("key", F.col("node").alias("a"), F.col("component").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("fine").alias("a_fine"), F.col("bands").alias("a_bands"), "band")
+    y = placed.where("node <> centre").select("key", F.col("node").alias("b"), F.col("component").alias("b_c"), "hub", F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"), F.col("fine").alias("b_fine"), F.col("bands").alias("b_bands"))
     # A pair is compared in the first band that it shares, and only there.
     first = "CASE " + " ".join(f"WHEN a_bands[{i}] = b_bands[{i}] THEN {i}" for i in range(BANDS)) + " END"
     apart = f"{_apart('a_fine', 'b_fine', FINE_BITS)} <= {FINE_MOST}"
@@ -199,23 +204,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not rest.isEmpty():
         links = cut(links.union(confirmed(rest, sets, percent)))
         labels = components(links)
+    classes = classes.join(labels, "node", "left").select("d1", "d2", "doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+    return found.select("doc_id", "text_hash", "n_shingles", "d1", "d2"), cut(classes)
+
 
-    named = found.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that can be reached, itself included), kept: a row for each of docs.
+
+    The bands and the bounds of the sketches are made for a similarity of 0.8, so a lower percent is refused.
+    """
+    rows, classes = placed_rows(docs, k, percent)
+    names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = classes.select("d1", "d2", "component").join(names, "component").drop("component")
+    has_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    named = rows.join(classes, ["d1", "d2"], "left")
+    component = F.when(has_class, F.col("component_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that a document with a smaller doc_id represents; columns as they come.
+    """One document of each component, that with the smallest doc_id; columns as they come.
 
-    Documents without a doc_id are kept, since nothing can be said of them. Of rows with equal doc_id and text one is kept.
+    Rows that share a doc_id are documents of their own: where several of a component have its smallest doc_id, one is kept
+    (the least hash of its text), and texts of the same id in other components stay. Of rows with equal doc_id and text one
+    is kept. Documents without a doc_id are kept, since nothing can be said of them.
     """
-    gone = cut(near_duplicates(docs.where("doc_id IS NOT NULL"), k, percent).where("NOT kept").select("doc_id").distinct())
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    twice = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"))
+    rows, classes = placed_rows(docs.where("doc_id IS NOT NULL"), k, percent)
+    firsts = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = classes.select("d1", "d2", "component").join(firsts, "component").select("d1", "d2", "first")
+    # Rows with their own hash of the text, since equal sets may come from texts that differ in case or white space.
+    others = rows.where("n_shingles > 0").join(classes, ["d1", "d2"]).where(F.struct("doc_id", "text_hash") != F.col("first"))
+    gone = cut(others.select("doc_id", "text_hash").distinct())
+    left = docs.join(small(gone), same_row(docs, gone), "left_anti")
+    twice = cut(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash"))
     n = twice.count()
     if not n:
         return left
-    repeated = left.join(small(twice, n), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(small(twice, n), "doc_id", "left_anti").select(*docs.columns).union(repeated)
+    repeated = left.join(small(twice, n), same_row(left, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(small(twice, n), same_row(left, twice), "left_anti").union(repeated)
+
+
+def same_row(docs: DataFrame, named: DataFrame) -> Column:
+    return (docs["doc_id"].cast("long") == named["doc_id"]) & (F.xxhash64(docs["text"]) == named["text_hash"])

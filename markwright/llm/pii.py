@@ -45,14 +45,17 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:(?<![0-9])|\G)[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # The generators of further candidates.
-MAIL_LIKE = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:@|[(\[{<]\s?at\s?[)\]}>])\s?[A-Za-z0-9-]{1,63}+(?:\s?(?:\.|[(\[{<]\s?dot\s?[)\]}>])\s?[A-Za-z0-9-]{1,63}+){1,8}+"
-IP_LIKE = r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}+(?:\[\.\]|\(\.\))[0-9]{1,3}+(?:\[\.\]|\(\.\))[0-9]{1,3}+(?:\[\.\]|\(\.\))[0-9]{1,3}+|(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+)(?![0-9A-Za-z:.])"
+# Names have at most 127 labels; nothing else that a form can repeat has a bound.
+MAIL_LIKE = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:@|[(\[{<]\s?at\s?[)\]}>])\s?[A-Za-z0-9-]++(?:\s?(?:\.|[(\[{<]\s?dot\s?[)\]}>])\s?[A-Za-z0-9-]++){1,126}+"
+MAIL_SPOKEN = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\sat\s[A-Za-z0-9-]++(?:\sdot\s[A-Za-z0-9-]++){1,126}+"
+SIX = r"(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+|(?=[A-Fa-f:]*+[0-9])(?:[0-9A-Fa-f]{1,4}+:){1,6}+(?::[0-9A-Fa-f]{1,4}+){1,6}+"
+IP_LIKE = r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}+(?:\[\.\]|\(\.\))[0-9]{1,3}+(?:\[\.\]|\(\.\))[0-9]{1,3}+(?:\[\.\]|\(\.\))[0-9]{1,3}+|" + SIX + r")(?![0-9A-Za-z:]|\.[0-9A-Za-z])"
 NUMBER_LIKE = r"(?<![0-9])[(]?[0-9]++(?:[\x20().\/-]{1,3}+[0-9]++)*+"
 NAMED = r"(?i)(?<![A-Za-z0-9])(?:token|secret|passw(?:or)?d|pwd|credential|(?:api|access|private|secret|auth)[_-]?(?:key|token))[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-SECRET_LIKE = NAMED + r"[A-Za-z0-9+\/_.=~!$%^&*-]{8,512}+"
-RUN_LIKE = r"(?<![A-Za-z0-9+\/_-])(?=[A-Za-z+\/_-]{0,40}+[0-9])[A-Za-z0-9+\/_-]{32,512}+(?![A-Za-z0-9+\/_-])"
+SECRET_LIKE = NAMED + r"[A-Za-z0-9+\/_.=~!$%^&*-]{8,}+"
+RUN_LIKE = r"(?<![A-Za-z0-9+\/_-])(?=[A-Za-z+\/_-]*+[0-9])[A-Za-z0-9+\/_-]{32,}+"
 #: What every match of a pattern or generator has.
-ANY = r"[0-9@]|(?i:[(\[{<]\s?at\s?[)\]}>])|[0-9A-Fa-f]:[0-9A-Fa-f]|[:=]\s{0,3}[\"']?[A-Za-z0-9+\/_.=~!$%^&*-]{8}"
+ANY = r"[0-9@]|(?i:[(\[{<]\s?at\s?[)\]}>]|\sdot\s)|[:=]\s{0,3}[\"']?[A-Za-z0-9+\/_.=~!$%^&*-]{8}"
 #: kind, start, end, text, 32 characters before and after; form: 2 an exact form that is valid, 1 one that is not, 0 a proposal.
 MATCHES = "array<struct<k:int,s:int,e:int,m:string,l:string,r:string,form:int>>"
 
@@ -139,7 +142,8 @@ def candidates(text: Column) -> Column:
         F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), F.filter(matches(text, CARD, 2, checked(_is_card)), lambda x: F.length(digits(x["m"])) >= 13)),
         F.when(text.contains("+"), matches(text, PHONE, 3, checked(lambda m: F.length(digits(m)).between(8, 15)))),
         F.when(text.rlike(r"(?i)@|[(\[{<]\s?at\s?[)\]}>]"), matches(text, MAIL_LIKE, 0)),
-        F.when(text.rlike(r"[0-9](?:\[\.\]|\(\.\))|[0-9A-Fa-f]:[0-9A-Fa-f]"), matches(text, IP_LIKE, 1)),
+        F.when(text.rlike(r"(?i)\sdot\s"), matches(text, MAIL_SPOKEN, 0)),
+        F.when(text.rlike(r"[0-9](?:\[\.\]|\(\.\))|[0-9A-Fa-f]::?[0-9A-Fa-f]"), matches(text, IP_LIKE, 1)),
         F.when(many, F.transform(F.filter(matches(text, NUMBER_LIKE, 3), lambda x: F.length(digits(x["m"])).between(7, 19)), lambda x: x.withField("k", F.when(F.length(digits(x["m"])) >= 13, 2).otherwise(3)))),
         F.when(text.rlike(SECRET_LIKE), F.transform(matches(text, SECRET_LIKE, 4), _value)),
         F.when(text.rlike(r"[A-Za-z0-9+\/_-]{32}"), matches(text, RUN_LIKE, 4)),
@@ -171,12 +175,13 @@ def _features(k: Column, m: Column, left: Column, right: Column, d: Column) -> C
     before = F.lit(False)
     for i, pattern in enumerate(WORDS.values()):
         before = before | ((k == i) & left.rlike(pattern))
-    plain = F.regexp_replace(F.regexp_replace(m, r"(?i)\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?", "."), r"(?i)\s?[(\[{<]\s?at\s?[)\]}>]\s?", "@")
+    plain = F.regexp_replace(F.regexp_replace(m, r"(?i)\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s", "."), r"(?i)\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s", "@")
     values = (
         k == 0, k == 1, k == 2, k == 3, k == 4, F.length(d), F.length(m), F.length(F.regexp_replace(m, "[0-9A-Za-z]", "")), (k == 2) & luhn(d), F.size(groups), F.array_max(F.transform(groups, lambda g: F.length(g))),
         ~left.rlike(r"[0-9A-Za-z._-]\z"), ~right.rlike(r"\A[0-9A-Za-z_-]"), m.startswith("+") | left.rlike(r"\+\z"), m.rlike(r"[()\[\]]"), before, F.length(digits(F.concat(left, right))), d.startswith("0"), m.rlike(DATE),
-        plain.rlike(r"\A[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\z") & octets(plain), plain.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}\z"), m.rlike(r"\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z"),
-        F.size(F.array_distinct(F.split(m, ""))), m.rlike("[A-Za-z]") & (F.length(d) > 0),
+        plain.rlike(r"\A[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\z") & octets(plain), plain.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}\z"), m.rlike(r"\A(?:" + SIX + r")\z"),
+        # The ends tell a long value's kind.
+        F.size(F.array_distinct(F.split(F.concat(F.left(m, F.lit(256)), F.right(m, F.lit(256))), ""))), m.rlike("[A-Za-z]") & (F.length(d) > 0),
     )
     return F.array(*(F.coalesce(v.cast("double"), F.lit(0.0)) for v in values))
 
@@ -214,8 +219,10 @@ def examples(spans: DataFrame) -> DataFrame:
         """From (kind, text, label[, left])."""
         return F.array(*(F.struct(F.lit(x[0]).alias("k"), x[1].alias("m"), F.lit(x[2]).alias("label"), (x[3] if len(x) > 3 else left).alias("l")) for x in of))
 
-    rows = F.when(k == 0, made((0, m, 1), (0, F.replace(m, F.lit("@"), F.lit(" (at) ")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit(" (at) ")), F.lit("."), F.lit(" (dot) ")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit("[at]")), F.lit("."), F.lit("[dot]")), 1), (0, F.regexp_replace(m, r"\..*\z", ""), 0), (0, F.regexp_replace(m, r"@.*\z", " [at] 12.5"), 0)))
-    rows = rows.when(k == 1, made((1, m, 1), (1, F.replace(m, F.lit("."), F.lit("[.]")), 1), (1, many, 0), (1, F.replace(F.regexp_replace(m, r"[0-9]+\z", "799"), F.lit("."), F.lit("(.)")), 0), (3, m, 0), (3, many, 0)))
+    rows = F.when(k == 0, made((0, m, 1), (0, F.replace(m, F.lit("@"), F.lit(" (at) ")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit(" (at) ")), F.lit("."), F.lit(" (dot) ")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit("[at]")), F.lit("."), F.lit("[dot]")), 1), (0, F.replace(F.replace(m, F.lit("@"), F.lit(" at ")), F.lit("."), F.lit(" dot ")), 1), (0, F.regexp_replace(m, r"\..*\z", ""), 0), (0, F.regexp_replace(m, r"@.*\z", " [at] 12.5"), 0), (0, F.regexp_replace(m, r"@.*\z", " at 7 dot 5"), 0)))
+    hexed = F.lower(F.hex(F.xxhash64("m")))
+    six = F.regexp_replace(F.lpad(hexed, 16, "0"), r"([0-9a-f]{4})(?=[0-9a-f])", "$1:")
+    rows = rows.when(k == 1, made((1, m, 1), (1, F.concat(F.lit("2001:db8::"), F.right(hexed, F.lit(3))), 1), (1, F.concat(F.lit("fe80::"), F.right(six, F.lit(14))), 1), (1, F.concat(six, F.lit(":"), six), 1), (1, F.regexp_replace(m, r"\A([0-9]+)\.([0-9]+)\..*\z", "$1::$2"), 0), (1, F.replace(m, F.lit("."), F.lit("[.]")), 1), (1, many, 0), (1, F.replace(F.regexp_replace(m, r"[0-9]+\z", "799"), F.lit("."), F.lit("(.)")), 0), (3, m, 0), (3, many, 0)))
     rows = rows.when(k == 2, made((2, m, 1), (2, grouped, 1), (2, turned, 0), (2, F.substring(turned, 1, 14), 0), (2, F.concat(F.substring(d, 1, 4), F.lit(" "), turned), 0), (3, F.substring(d, 1, 11), 0)))
     rows = rows.otherwise(made((3, m, 1), (3, bare, 1), (3, F.concat(F.lit("("), F.substring(d, 2, 3), F.lit(") "), F.substring(d, 5, 3), F.lit("-"), F.substring(d, 8, 4)), 1), (3, F.substring(d, 1, 7), 0), (3, d, 0), (3, year, 0), (3, F.concat(F.substring(d, 1, 4), F.lit("."), F.substring(d, 5, 4)), 0), (2, F.concat(d, d), 0)))
     secrets = made((4, key, 1, name), (4, F.regexp_replace(F.base64(F.unhex(key)), "=", ""), 1, name), (4, F.upper(F.substring(key, 1, 24)), 1, name), (4, key, 0), (4, F.concat(F.lit("id-"), key), 0), (4, word, 0, name), (4, F.substring(word, 1, 9), 0, name), (4, F.substring(F.concat(d, F.lit("12345678")), 1, 8), 0, name), (4, F.repeat(word, 4), 0))
@@ -282,7 +289,7 @@ def fit(found: DataFrame) -> tuple[list[dict[str, list]], dict[int, float]]:
     real = found.where("size(__cand) > 0").select(F.inline("__cand")).where("form > 0")
     # Copies of a span, however many, are one span.
     distinct = real.groupBy("k", "form", "m").agg(F.min(F.struct(F.xxhash64("l", "r"), "l", "r")).alias("c")).select("k", "form", "m", "c.l", "c.r", F.concat("k", "form").alias("group"))
-    chosen = stratified(distinct, "group", BOUND, "m").select("k", "m", "l", "r", "form")
+    chosen = stratified(distinct, "group", BOUND).select("k", "m", "l", "r", "form")
     rows = examples(chosen.union(made_spans(found.sparkSession).withColumn("form", F.lit(2)))).collect()
     rows.sort()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["label"]) for r in rows])
@@ -336,14 +343,16 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with their spans redacted; columns as they come, a null text stays null.
 
-    Documents and their candidates are written once, so that the patterns pass over each text once.
+    Documents and their candidates are written once, so that the patterns pass over each text once. A row travels as one
+    struct, so no column of docs can clash with what is computed beside it.
     """
-    found = cut(propose(docs))
+    found = cut(propose(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text"))))
     spans = select_spans(found, fit(found))
     spans = spans.withColumn("__runs", F.when(F.size("__spans") > 0, runs(F.col("__spans"))))
     end = F.array_max(F.transform("__spans", lambda c: c["e"]))
     clean = F.concat(redacted(F.col("text"), F.col("__runs")), F.substring("text", end + 1, F.length("text")))
-    return spans.withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.when(F.size("__spans") > 0, clean).otherwise(F.col("text"))
+    return spans.select(*(clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def named(spans: str) -> Column:

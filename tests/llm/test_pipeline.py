@@ -14,7 +14,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 from test_llm import edited, prose, true_components
 
 import corpus_pipeline
-from markwright.llm import language, pii, quality
+from markwright.llm import language, near_dedup, pii, quality
+from markwright.llm.common import stratified
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, `__n` int, base string, component_id long, features string"
 ITEM = prose(91, 40)
@@ -77,13 +78,26 @@ def test_near_duplicate_stage(spark, docs, sf_dir):
     assert kept.columns == docs.columns
     got = counted(kept)
     assert max(got.values()) == 1 or all(r[0] is None for r, n in got.items() if n > 1)
-    # Each text that stands alone under its id is judged by its group; rows without an id stay.
-    alone = [(i, t) for i, t in TEXTS if i not in (3, None)]
-    groups = true_components(alone, 5, 80)
-    assert {r[0] for r in got if r[0] not in (3, None)} == {i for i, _ in alone if groups[i][1] == i}
+    # Every row is judged by its group, whatever its id; rows without an id stay.
+    named = [(i, t) for i, t in TEXTS if i is not None]
+    groups = true_components([((i, k), t) for k, (i, t) in enumerate(named)], 5, 80)
+    assert Counter((r[0], r[1]) for r in got.elements() if r[0] is not None) == Counter({t for k, t in enumerate(named) if groups[t[0], k][1] == (t[0], k)})
     assert Counter(r[1] for r in got.elements() if r[0] is None) == Counter(t for i, t in TEXTS if i is None)
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    """No text goes because of its id: of each group one row stays, whatever ids its members share with other texts."""
+    a, b = prose(301, 60), prose(302, 60)
+    keep = lambda rows: sorted(map(tuple, corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()))
+    assert keep([(1, a), (5, a), (5, b), (9, b)]) == [(1, a), (5, b)]
+    assert keep([(1, a), (5, a + " extra"), (5, b)]) == [(1, a), (5, b)]
+    assert len(keep([(5, a), (5, b), (8, a + " more"), (9, b + " more")])) == 2
+    assert len(keep([(5, a), (5, a + " extra"), (5, a.upper()), (5, a)])) == 1
+    assert keep([(7, prose(400 + i, 40)) for i in range(200)]) == sorted((7, prose(400 + i, 40)) for i in range(200))
+    got = near_dedup.near_duplicates(spark.createDataFrame([(5, a), (5, b), (8, a + " more"), (9, b + " more")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True), (5, 5, True), (8, 5, False), (9, 5, False)]
+
+
 def test_decontamination_stage(spark, docs, sf_dir):
     kept = corpus_pipeline.decontaminate(spark, docs, sf_dir)
     assert kept.columns == docs.columns and counted(kept) == without_item(counted(docs))
@@ -136,7 +150,7 @@ def test_language_scores_by_hand(spark, docs):
             continue
         # Letters fold to lower case, all but letters of ASCII to one blank; blanks in a row give no subword.
         folded = [b | 32 if chr(b).isascii() and chr(b).isalpha() else b if b >= 128 else 32 for b in text.encode()] + [32, 32, 32]
-        sums, n = np.zeros(len(model["langs"])), 0
+        sums, n = np.zeros(model["rows"].shape[1]), 0
         for i in range(len(folded) - 3):
             if folded[i] == folded[i + 1] == 32:
                 continue
@@ -144,9 +158,9 @@ def test_language_scores_by_hand(spark, docs):
             three = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
             four = (three * 0x27D4EB2F ^ e * 0x165667B1) & 0xFFFFFFFF
             for place in ((three * 0x2C1B3C6D & 0xFFFFFFFF) >> 17, (four * 0x297A2D39 & 0xFFFFFFFF) >> 17):
-                sums += model["scores"][place]
+                sums += model["rows"][place]
             n += 2
-        z = (sums / n + model["bias"]) / model["temperature"]
+        z = (sums / n @ model["head"] + model["bias"]) / model["temperature"]
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert r["lang_pred"] == model["langs"][int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4
 
@@ -169,6 +183,33 @@ def test_quality_scores_by_hand(spark, sf_dir):
     assert np.isclose((x[len(quality.NAMES) :] ** 2).sum(), 1)
 
 
+def test_many_languages_share_the_embeddings(spark):
+    """With more languages than an embedding has numbers the layers stay apart; the table that is sent out stays as large."""
+    rng = np.random.default_rng(2)
+    rows = [(100 * i + j, " ".join(f"{chr(97 + i % 26)}{'aeiou'[i // 26]}{'xyz'[w]}" for w in rng.integers(0, 3, 60)), f"l{i}") for i in range(40) for j in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    assert len(model["langs"]) == 40 and model["rows"].shape == (language.TABLE, language.DIM) and model["head"].shape == (language.DIM, 40)
+    got = language.predict(d, model).join(d, "doc_id").where("held_out").selectExpr("avg(cast(lang = lang_pred as int)) a").first()["a"]
+    assert got > 0.9
+
+
+def test_the_sample_keeps_its_bound(spark):
+    shared = spark.createDataFrame([(1 if i % 2 else None, f"text {i}", f"l{i % 2}") for i in range(20_000)], "doc_id long, text string, lang string")
+    assert stratified(shared, "lang", 600).groupBy("lang").count().collect() in ([("l0", 300), ("l1", 300)], [("l1", 300), ("l0", 300)])
+    assert stratified(shared, "lang", 600).exceptAll(stratified(shared.repartition(7), "lang", 600)).isEmpty()
+    copies = spark.range(30_000).selectExpr("7 doc_id", "'the same' text", "'en' lang")
+    assert stratified(copies, "lang", 600).count() == 1
+    many = spark.range(20_000).selectExpr("id doc_id", "'t' text", "concat('l', id % 10000) lang")
+    assert stratified(many, "lang", 6000).count() == 6000
+    labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, quality int")
+    texts = spark.range(9000).selectExpr("if(id % 2 = 0, 1, 7) doc_id", "concat('a text ', id) text")
+    held = [r["doc_id"] for r in labels.selectExpr("doc_id", "crc32(cast(doc_id as string)) % 3 = 1 h").where("NOT h").collect()]
+    assert held == [1, 7]
+    rows = quality.cut(quality.described(texts.join(labels.selectExpr("doc_id", "quality label"), "doc_id"), "doc_id", "label"))
+    assert stratified(rows, "label", 100).count() == 100 and quality.fit(texts, labels, bound=100) is not None
+
+
 def test_rows_that_repeat_an_id_are_scored_each(spark, sf_dir):
     model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     d = spark.createDataFrame([(1, prose(3, 60)), (1, "wow!!! &&& ### buy!! $$$ " * 12), (None, prose(3, 60)), (1, prose(3, 60))], "doc_id long, text string")
@@ -176,9 +217,20 @@ def test_rows_that_repeat_an_id_are_scored_each(spark, sf_dir):
     assert got == {(1, 1): 2, (1, 0): 1, (None, 1): 1}
 
 
+def test_long_secrets_and_addresses_go_whole(spark):
+    """Nothing of a value stays behind its mark, however long it is; names of columns are free."""
+    long = {"token: " + "aB3" * 250: "aB3", "secret = " + "f9" * 5000: "f9f9", "mail " + "x1" * 200 + " (at) " + "h" * 90 + " (dot) org": "x1x1", "api_key=" + "Q7z" * 200_000: "Q7z"}
+    d = spark.createDataFrame([(i, f"{prose(i, 20)} {t} {prose(i, 9)}", "a", 1, [2], [3]) for i, t in enumerate(long)], "doc_id long, text string, `__cand` string, `__base` int, `__spans` array<int>, `row` array<int>")
+    clean = pii.redact(d)
+    assert clean.columns == d.columns and clean.dtypes == d.dtypes
+    for r, left in zip(sorted(clean.collect()), long.values(), strict=True):
+        assert left not in r["text"] and "<" in r["text"] and r["text"].startswith(prose(r["doc_id"], 20)) and r["text"].endswith(prose(r["doc_id"], 9))
+        assert (r["__cand"], r["__base"], r["__spans"], r["row"]) == ("a", 1, [2], [3])
+
+
 def test_planted_personal_data_is_found_and_the_rest_left(spark):
-    planted = [f"{prose(i, 40)} {x} {prose(i + 1, 30)}" for i, x in enumerate(("bob.lee@mail3.example.com", "10.20.30.41", "4111 1111 1111 1111", "+1 (375) 555-4393", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "api_key: Zx81kQp0Lm93vB7tRw2Y", "carol (at) host (dot) org", "192[.]168[.]7[.]9"))]
-    clean = [prose(50, 90), "on 2024-05-17 at 10:30 we sold 1,250,000 of 3.5", "see chapter 12.4.7 and page 4096", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "the password = something", "4111 1111 1111 1112", "300.400.500.600", "the token: everything goes"]
+    planted = [f"{prose(i, 40)} {x} {prose(i + 1, 30)}" for i, x in enumerate(("bob.lee@mail3.example.com", "10.20.30.41", "4111 1111 1111 1111", "+1 (375) 555-4393", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "api_key: Zx81kQp0Lm93vB7tRw2Y", "carol (at) host (dot) org", "192[.]168[.]7[.]9", "bob at example dot com", "2001:db8::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"))]
+    clean = [prose(50, 90), "on 2024-05-17 at 10:30 we sold 1,250,000 of 3.5", "see chapter 12.4.7 and page 4096", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "the password = something", "4111 1111 1111 1112", "300.400.500.600", "the token: everything goes", "we met at noon dot", "use std::vector or a::b", "at 12:30:45 sharp"]
     d = spark.createDataFrame(list(enumerate(planted + clean)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_spans"] for r in pii.counts_and_digests(pii.find(d)).collect()}
     assert sum(got[i] > 0 for i in range(len(planted))) >= 0.9 * len(planted)
