@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 
 from markwright.functions.text import trim_end, unix_newlines
 
-#: Cells of the table that are held at once; a larger table is made again from kept rows, in blocks.
-HELD = 16_000_000
-#: Rows kept for each level of blocks.
-KEPT = 16
-
-
 def _shared(left: list[str], right: list[str]) -> int:
     """How many lines both start with."""
     start = 0
@@ -25,53 +19,76 @@ def _shared(left: list[str], right: list[str]) -> int:
     return start
 
 
-def _row_above(below: np.ndarray, y: np.ndarray, value: int) -> np.ndarray:
-    """The row of a line above the row below it: the running maximum from the right."""
-    row = below[:-1].copy()
-    np.maximum(row, np.where(y == value, below[1:] + 1, 0), out=row)
-    return np.append(np.maximum.accumulate(row[::-1])[::-1], below[-1:])
+#: A line's mask is kept if it stands in more than one of so many lines; others are made when they are needed.
+COMMON = 256
+
+
+def _masks(lines: list[str]):
+    """Gives the set of places at which a line stands, counted from the last line, as the bits of a number."""
+    places: dict[str, list[int]] = {}
+    for i, line in enumerate(reversed(lines)):
+        places.setdefault(line, []).append(i)
+    size, known = len(lines) // 8 + 1, {}
+
+    def mask(line: str) -> int:
+        at = places.get(line, ())
+        if len(at) == 1:
+            return 1 << at[0]
+        if line in known or not at:
+            return known.get(line, 0)
+        bits = bytearray(size)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        number = int.from_bytes(bits, "little")
+        if len(at) * COMMON > len(lines):
+            known[line] = number
+        return number
+
+    return mask
 
 
 def script(left: list[str], right: list[str]) -> list[str]:
     """The edit script by longest common subsequence; on a tie the addition comes first.
 
-    Memory grows with the lines, not with their product.
+    A row of the table of lengths is held as one number, with a bit for each column that says whether the length there is
+    that of the next column; rows follow from each other, from the last line to the first, by an addition and a few bit
+    operations on whole numbers, 64 columns to a machine word. Where two lines differ, that bit alone decides: if it is
+    set, leaving out the right line costs nothing, so it is an addition; else the left line goes. Every so many rows one is
+    kept and the rows between are made again, so that memory grows with the lines and the root of the rows.
     """
     start = _shared(left, right)
     a, b = left[start:], right[start:]
-    place = {v: i for i, v in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([place[v] for v in a], dtype=np.int64), np.array([place[v] for v in b], dtype=np.int64)
-    kind = np.uint16 if min(len(a), len(b)) < 1 << 16 else np.uint32
+    n, mask = len(b), _masks(b)
+    full = (1 << n) - 1
+
+    def row_above(row: int, line: str) -> int:
+        met = row & mask(line)
+        return (row + met | row - met) & full if met else row
+
+    block = max(1, int(len(a) ** 0.5))
+    row, kept = full, {}
+    for i in range(len(a) - 1, -1, -1):
+        if (i + 1) % block == 0 or i + 1 == len(a):
+            kept[i + 1] = row
+        row = row_above(row, a[i])
     out = [f" {v}" for v in left[:start]]
-
-    def walk(top: int, end: int, below: np.ndarray, j: int) -> int:
-        """Writes what lines top to end of a give from column j on; below is the row of end from column j. Returns the column reached."""
-        step = 1 if (end - top) * len(below) <= HELD or end - top <= KEPT else -(-(end - top) // KEPT)
-        # rows[i]: length of the common subsequence of what follows i and each column.
-        rows, row, first = {end: below}, below, j
+    j = 0
+    for top in range(0, len(a), block):
+        end = min(top + block, len(a))
+        row, rows = kept.pop(end), []
         for i in range(end - 1, top - 1, -1):
-            row = _row_above(row, y[first:], x[i])
-            if (i - top) % step == 0:
-                rows[i] = row
-        if step > 1:
-            for i in range(top, end, step):
-                last = min(i + step, end)
-                j = walk(i, last, rows.pop(last)[j - first :], j)
-            return j
-        i = top
-        while i < end:
-            if j < len(b) and x[i] == y[j]:
-                out.append(f" {a[i]}")
-                i, j = i + 1, j + 1
-            elif j < len(b) and rows[i][j + 1 - first] >= rows[i + 1][j - first]:
+            row = row_above(row, a[i])
+            rows.append(row)
+        for i in range(top, end):
+            same = rows.pop().to_bytes(n // 8 + 1, "little")
+            while j < n and b[j] != a[i] and same[n - 1 - j >> 3] >> (n - 1 - j & 7) & 1:
                 out.append(f"+{b[j]}")
                 j += 1
+            if j < n and b[j] == a[i]:
+                out.append(f" {a[i]}")
+                j += 1
             else:
                 out.append(f"-{a[i]}")
-                i += 1
-        return j
-
-    j = walk(0, len(a), np.zeros(len(b) + 1, dtype=kind), 0)
     return [*out, *(f"+{v}" for v in b[j:])]
 
 

@@ -69,12 +69,33 @@ def match_graphics(refs: DataFrame, placements: DataFrame) -> DataFrame:
     return explode_errors(joined, errors, "manifest_id", "item")
 
 
+def dyadic_cells(low: Column, high: Column) -> Column:
+    """array<struct<level, cell>>: the fewest aligned power-of-two spans that cover the whole numbers from low to high.
+
+    A span of a level holds 2**level numbers, and cell is its place among those. There are at most two of a level, so a
+    range of n numbers has some 2 log2(n) of them; a number lies in one cell of each level. Empty where high < low or either
+    is null.
+    """
+    first, past = low.cast("long"), high.cast("long") + 1
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.greatest(past - first, F.lit(1)))) - 1)
+
+    def of_level(level: Column) -> Column:
+        span = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        left, right = F.call_function("shiftright", first + span - 1, level), F.call_function("shiftright", past, level)
+        inside = left < right
+        at = lambda cell: F.struct(level.cast("int").alias("level"), cell.cast("long").alias("cell"))
+        return F.array(F.when(inside & (F.pmod(left, F.lit(2)) == 1), at(left)), F.when(inside & (F.pmod(right, F.lit(2)) == 1), at(right - 1)))
+
+    return F.when(past > first, F.array_compact(F.flatten(F.transform(levels, of_level)))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+
+
 def fresh_manifests(runs: DataFrame, manifests: DataFrame, keys: Sequence[str], tolerance: int = 2, width: int = 60, paths: Sequence[str] = (), complete: str | None = None) -> DataFrame:
     """(run_id, manifest_id): manifests generated from `tolerance` seconds before a run starts until as long after it ends.
 
     They must agree with the run in `keys`, and in `paths` once these are normal, case ignored; if `complete` names a column
-    of the manifests, it must be true. A range join made an equi-join: runs are put into all buckets of `width` seconds that
-    they touch, manifests into theirs.
+    of the manifests, it must be true. A range join made an equi-join: the time of a run, in steps of `width` seconds, is
+    covered by dyadic cells, some two for each doubling of its length, and a manifest lies in one cell of each level that
+    some run has. A run of any length stays an equi-join; what the first and last step hold beside is filtered.
     """
     if complete:
         manifests = manifests.where(complete)
@@ -82,10 +103,14 @@ def fresh_manifests(runs: DataFrame, manifests: DataFrame, keys: Sequence[str],
         same = {f"__{p}": normal_path(F.col(p)) for p in paths}
         runs, manifests, keys = runs.withColumns(same), manifests.withColumns(same), [*keys, *same]
     low, high = F.col("started_at") - F.make_interval(secs=F.lit(tolerance)), F.col("finished_at") + F.make_interval(secs=F.lit(tolerance))
-    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
-    spread = runs.select("run_id", *keys, low.alias("low"), high.alias("high")).withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
-    made = manifests.select("manifest_id", *keys, "generated_at").withColumn("bucket", bucket(F.col("generated_at")))
-    return spread.join(made, [*keys, "bucket"]).where("generated_at BETWEEN low AND high").select("run_id", "manifest_id")
+    step = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
+    cells = dyadic_cells(step(F.col("low")), step(F.col("high")))
+    spread = runs.select("run_id", *keys, low.alias("low"), high.alias("high")).where("low <= high").select("*", F.inline(cells))
+    # 63 at most, so that manifests are not put into levels that no run has.
+    levels = sorted(r["level"] for r in spread.select("level").distinct().collect())
+    made = manifests.select("manifest_id", *keys, "generated_at", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    made = made.withColumn("cell", F.call_function("shiftright", step(F.col("generated_at")), F.col("level")))
+    return spread.join(made, [*keys, "level", "cell"]).where("generated_at BETWEEN low AND high").select("run_id", "manifest_id")
 
 
 def drift(expected: DataFrame, existing: DataFrame, key: str) -> DataFrame:

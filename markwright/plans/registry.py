@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from markwright.functions import chars as C
 from markwright.functions import text as X
-from markwright.operators import contracts, diff, evaluate, integrity, keys, lint, pages, rules
-from markwright.plans.views import ctes, view
+from markwright.operators import contracts, diff, evaluate, integrity, keys, lint, pages, rules, terms
+from markwright.plans.views import ctes, diff_pairs, view
 from markwright.sources.files import normal_path, table, text_receipts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,23 @@ def _(spark, d):
     return lint.scan_terms(table(spark, d, "documents"), TERMS)
 
 
+#: Parts of the benchmark's texts, of six lengths, from every place: tens of thousands of terms, more with every item.
+TERM_LIST = "SELECT item_id * 1000000 + s * 100 + l AS ord, substr(text, CAST(s AS INT), CAST(l AS INT)) AS term FROM ({places}) p WHERE length(substr(text, CAST(s AS INT), CAST(l AS INT))) = l"
+
+
+@query(
+    "l16_scan_term_table",
+    f"""WITH lengths AS (SELECT unnest([12, 14, 17, 20, 24, 32]) AS l),
+terms AS ({TERM_LIST.format(places='SELECT item_id, text, unnest(range(1, length(text) + 1)) AS s, l FROM benchmark, lengths')}),
+parts AS (SELECT doc_id, substr(text, 1 + 1000 * k, 1040) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text) // 1000 + 1)) AS k FROM documents)),
+grams AS (SELECT doc_id, part, j, substr(part, j, 12) AS gram FROM (SELECT doc_id, part, unnest(range(1, length(part) + 1)) AS j FROM parts))
+SELECT DISTINCT doc_id, ord, term FROM grams JOIN terms ON gram = substr(term, 1, 12) AND substr(part, j, length(term)) = term""",
+)
+def _(spark, d):
+    items = table(spark, d, "benchmark").selectExpr("item_id", "text", "explode(sequence(1, length(text))) AS s").selectExpr("*", "explode(array(12, 14, 17, 20, 24, 32)) AS l")
+    return terms.scan_term_table(table(spark, d, "documents"), spark.sql(TERM_LIST.format(places="SELECT * FROM {items}"), items=items))
+
+
 @query("l17_require_marker", "SELECT doc_id FROM documents WHERE NOT contains(text, 'Licensed under')")
 def _(spark, d):
     return lint.require_marker(table(spark, d, "documents"), "Licensed under")
@@ -384,9 +401,15 @@ def _(spark, d):
     return integrity.match_graphics(refs, placed)
 
 
-@query("d29_fresh_manifests", f"{ctes('runs', 'run_manifests')} SELECT run_id, manifest_id FROM runs r JOIN run_manifests m ON r.user_id = m.user_id AND generated_at BETWEEN started_at - INTERVAL 2 SECOND AND finished_at + INTERVAL 2 SECOND WHERE m.complete AND replace(r.input, '/./', '/') = replace(lower(m.input), '//', '/')")
+@query(
+    "d29_fresh_manifests",
+    f"""{ctes('runs', 'run_manifests')} SELECT run_id, manifest_id FROM runs r JOIN run_manifests m ON r.user_id = m.user_id AND r.subject_pack = m.subject_pack AND r.profile = m.profile
+  AND generated_at BETWEEN started_at - INTERVAL 2 SECOND AND finished_at + INTERVAL 2 SECOND
+WHERE m.complete AND replace(r.input, '/./', '/') = replace(lower(m.input), '//', '/') AND lower(r.output) = m.output""",
+)
 def _(spark, d):
-    return integrity.fresh_manifests(view(spark, d, "runs"), view(spark, d, "run_manifests"), ["user_id"], width=3600, paths=["input"], complete="complete")
+    """Runs from seconds to more than a year long, of which one in eight ends before it starts."""
+    return integrity.fresh_manifests(view(spark, d, "runs"), view(spark, d, "run_manifests"), ["user_id", "subject_pack", "profile"], width=1, paths=["input", "output"], complete="complete")
 
 
 @query("d30_drift", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'missing' ELSE 'different' END AS problem FROM documents WHERE doc_id % 9 = 0 OR doc_id % 10 = 0")
@@ -667,14 +690,14 @@ def _n_lines(c: str) -> str:
 @query("f67_line_diff", f"{ctes('diff_pairs')}, c AS (SELECT pair_id, {_clean('before_text')} AS a, {_clean('after_text')} AS b FROM diff_pairs) SELECT pair_id, a = b AS equal, ({_n_lines('b')} - {_n_lines('a')})::BIGINT AS net, sha256(a) AS before_sha256, sha256(b) AS after_sha256 FROM c")
 def _(spark, d):
     """The texts that the lines of the diff give again: what it keeps and removes is the text before, what it keeps and adds the one after."""
-    found = diff.line_diff(view(spark, d, "diff_pairs"))
+    found = diff.line_diff(diff_pairs(spark, d))
     side = lambda sign: F.sha2(F.array_join(F.transform(F.filter("lines", lambda x: ~x.startswith(sign)), lambda x: F.substr(x, F.lit(2))), "\n"), 256)
     return found.select("pair_id", ((F.col("added") == 0) & (F.col("removed") == 0)).alias("equal"), (F.col("added") - F.col("removed")).alias("net"), side("+").alias("before_sha256"), side("-").alias("after_sha256"))
 
 
 @query("f68_diff_report", f"{ctes('diff_pairs')}, c AS (SELECT *, {_clean('before_text')} AS a, {_clean('after_text')} AS b FROM diff_pairs) SELECT pair_id, sha256(before_text) AS before_sha256, sha256(after_text) AS after_sha256, a <> b AS changed, ({_n_lines('b')} - {_n_lines('a')})::BIGINT AS net FROM c")
 def _(spark, d):
-    return diff.diff_report(view(spark, d, "diff_pairs")).select("pair_id", "before_sha256", "after_sha256", "changed", (F.col("added") - F.col("removed")).alias("net"))
+    return diff.diff_report(diff_pairs(spark, d)).select("pair_id", "before_sha256", "after_sha256", "changed", (F.col("added") - F.col("removed")).alias("net"))
 
 
 @query(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from markwright.operators.order import numbered
 from markwright.sources.files import table
 
 TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "events", "embeddings")
@@ -25,7 +27,7 @@ VIEWS: dict[str, str] = {
     CASE doc_id % 3 WHEN 0 THEN 'junior' WHEN 1 THEN 'senior' ELSE 'math' END AS pack_id
   FROM {documents}""",
     "diff_pairs": """SELECT doc_id AS pair_id, text AS before_text,
-    CASE WHEN doc_id % 4 = 0 THEN text ELSE coalesce(lead(text) OVER (PARTITION BY source, floor(doc_id / 1000) ORDER BY doc_id), text) END AS after_text FROM {documents}""",
+    CASE WHEN doc_id % 4 = 0 THEN text ELSE coalesce(lead(text) OVER (PARTITION BY source ORDER BY doc_id), text) END AS after_text FROM {documents}""",
     "reference_keys": """SELECT doc_id, concat(CASE WHEN doc_id % 6 = 0 THEN 'page 1 no key here'
     WHEN doc_id % 6 = 1 THEN '第1页 BAADA CBBDD 11.（1）'
     WHEN doc_id % 6 = 2 THEN 'BAADA CBBDD 略 ABCDA ABCDA'
@@ -44,9 +46,14 @@ VIEWS: dict[str, str] = {
     CASE WHEN doc_id % 37 = 0 THEN {sha}concat(text, '!'){end} ELSE {sha}text{end} END AS sha256 FROM {documents} WHERE doc_id % 41 <> 0""",
     "file_state": """SELECT source AS manifest_id, concat('f/', CAST(doc_id AS VARCHAR(20))) AS path, n_chars AS bytes, {sha}text{end} AS sha256
   FROM {documents} WHERE doc_id % 43 <> 0""",
-    "runs": """SELECT event_id AS run_id, user_id, ts AS started_at, ts + INTERVAL 6 HOUR AS finished_at, concat('a/./', CAST(user_id AS VARCHAR(20)), '.md') AS input FROM {events} WHERE event_type = 'click'""",
-    "run_manifests": """SELECT event_id AS manifest_id, user_id, ts AS generated_at, event_id % 3 <> 0 AS complete,
-    concat(CASE WHEN event_id % 2 = 0 THEN 'A//' ELSE 'a/' END, CAST(CASE WHEN event_id % 5 = 0 THEN user_id + 1 ELSE user_id END AS VARCHAR(20)), '.md') AS input FROM {events} WHERE event_type IN ('view', 'purchase')""",
+    "runs": """SELECT event_id AS run_id, user_id, concat('pack', CAST(user_id % 3 AS VARCHAR(10))) AS subject_pack, CASE WHEN event_id % 2 = 0 THEN 'classroom' ELSE 'compact' END AS profile, ts AS started_at,
+    CASE event_id % 8 WHEN 0 THEN ts + INTERVAL 5 SECOND WHEN 1 THEN ts + INTERVAL 90 SECOND WHEN 2 THEN ts + INTERVAL 20 MINUTE WHEN 3 THEN ts + INTERVAL 6 HOUR WHEN 4 THEN ts + INTERVAL 3 DAY
+      WHEN 5 THEN ts + INTERVAL 45 DAY WHEN 6 THEN ts + INTERVAL 400 DAY ELSE ts - INTERVAL 1 SECOND END AS finished_at,
+    concat('a/./', CAST(user_id AS VARCHAR(20)), '.md') AS input, concat('Out/', CAST(user_id AS VARCHAR(20)), '.PDF') AS output FROM {events} WHERE event_type = 'click'""",
+    "run_manifests": """SELECT event_id AS manifest_id, user_id, concat('pack', CAST(CASE WHEN event_id % 13 = 0 THEN user_id + 1 ELSE user_id END % 3 AS VARCHAR(10))) AS subject_pack,
+    CASE WHEN event_id % 4 < 2 THEN 'classroom' ELSE 'compact' END AS profile, ts AS generated_at, event_id % 3 <> 0 AS complete,
+    concat(CASE WHEN event_id % 2 = 0 THEN 'A//' ELSE 'a/' END, CAST(CASE WHEN event_id % 5 = 0 THEN user_id + 1 ELSE user_id END AS VARCHAR(20)), '.md') AS input,
+    concat('out/', CAST(CASE WHEN event_id % 11 = 0 THEN user_id + 1 ELSE user_id END AS VARCHAR(20)), '.pdf') AS output FROM {events} WHERE event_type IN ('view', 'purchase')""",
     "run_paths": """SELECT user_id AS run_id, concat(CASE WHEN event_id % 2 = 0 THEN 'Out/F' ELSE 'out/f' END, CAST(event_id % 50 AS VARCHAR(10)), '.md') AS path, event_type FROM {events}""",
     "rules_lit": """SELECT * FROM (VALUES
   ('junior.choice-answer.compact-line', 'junior', 'choice', true, 'hard', 100), ('junior.question-lead.same-line', 'junior', 'lead', true, 'hard', 95),
@@ -92,6 +99,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(fill(VIEWS[name], True, {t: "{" + t + "}" for t in TABLES}), **used)
 
 
+def diff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of this name, without a window over the texts of a source: next ids are found on narrow rows, texts join by id."""
+    docs = table(spark, sf_dir, "documents")
+    places = numbered(docs.select("source", "doc_id"), [F.col("doc_id")], "source")
+    after = places.select(F.col("source").alias("s"), (F.col("place") - 1).alias("p"), F.col("doc_id").alias("next_id"))
+    following = places.join(after, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p"))).where("doc_id % 4 <> 0").select("doc_id", "next_id")
+    named = docs.select(F.col("doc_id"), F.col("text").alias("before_text")).join(following, "doc_id", "left")
+    texts = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("after_text"))
+    return named.join(texts, "next_id", "left").select(F.col("doc_id").alias("pair_id"), "before_text", F.coalesce("after_text", "before_text").alias("after_text"))
+
+
 def ctes(*names: str) -> str:
     """The views as the head of an oracle: WITH a AS (...), b AS (...)."""
     return "WITH " + ",\n".join(f"{n} AS ({fill(VIEWS[n], False)})" for n in names)

@@ -1,4 +1,7 @@
 import hashlib
+import random
+import time
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -6,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from markwright.functions import text as X
-from markwright.operators import contracts, diff, evaluate, integrity, keys, lint, order, pages, rules
+from markwright.operators import contracts, diff, evaluate, integrity, keys, lint, order, pages, rules, terms
 from markwright.sources import files
 
 LINE = st.lists(st.sampled_from("abc"), max_size=8)
@@ -47,8 +50,7 @@ def test_long_pairs_are_diffed(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=25), st.lists(st.sampled_from("abc"), max_size=25))
-def test_script_in_blocks_is_the_whole_one(a, b):
-    whole = diff.script(a, b)
+def test_script_is_the_one_of_the_whole_table(a, b):
     n, m = len(a), len(b)
     common = [[0] * (m + 1) for _ in range(n + 1)]
     for i in reversed(range(n)):
@@ -62,10 +64,71 @@ def test_script_in_blocks_is_the_whole_one(a, b):
             want, j = [*want, f"+{b[j]}"], j + 1
         else:
             want, i = [*want, f"-{a[i]}"], i + 1
+    assert diff.script(a, b) == want
+    for common in (1, 10**9):  # masks made each time, masks kept
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(diff, "COMMON", common)
+            assert diff.script(a, b) == want
+
+
+def test_a_pair_of_thirty_thousand_lines_is_diffed_in_seconds():
+    rng = random.Random(2)
+    a = [str(rng.randrange(10_000)) if rng.random() < 0.7 else "" for _ in range(30_000)]
+    b = [x if rng.random() < 0.9 else str(rng.random()) for x in a if rng.random() < 0.9]
+    began = time.process_time()
+    lines = diff.script(a, b)
+    assert time.process_time() - began < 10
+    assert [x[1:] for x in lines if x[0] in " -"] == a and [x[1:] for x in lines if x[0] in " +"] == b
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 20])
+def test_terms_of_a_table_are_found_as_contains_finds_them(piece):
+    rng = random.Random(3)
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(diff, "HELD", 4)
-        patch.setattr(diff, "KEPT", 2)
-        assert whole == diff.script(a, b) == want
+        patch.setattr(terms, "PIECE", piece)
+        for k in range(400):
+            letters = "ab" if k % 2 else "abcdefé漢 "
+            word = lambda sizes: "".join(rng.choice(letters) for _ in range(rng.choice(sizes)))
+            some = [word([1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 17, 20, 30]).encode() for _ in range(rng.randint(1, 12))]
+            texts = [(word([0, 1, 5, 20, 60, 400]) + rng.choice(some).decode() * rng.randint(0, 2)).encode() for _ in range(rng.randint(0, 6))]
+            row, term = terms.find_terms(texts, some, terms.file_terms(some))
+            assert list(zip(row.tolist(), term.tolist(), strict=True)) == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(some) if x in t]
+
+
+def test_term_table_cases(spark):
+    docs = spark.createDataFrame([(1, "the token: é漢"), (2, None), (3, ""), (None, "token" * 500_000 + "END"), (1, "Token")], "doc_id long, text string")
+    rows = [(1, "token"), (2, "token"), (3, None), (4, ""), (5, "漢"), (6, "nENDx"), (7, "nEND"), (8, "tokentokentokentokentoken")]
+    want = sorted(((i, o, t) for i, x in [tuple(r) for r in docs.collect()] for o, t in rows if x is not None and t is not None and t in x), key=str)
+    listed = spark.createDataFrame(rows, "ord int, term string")
+    for budget in (terms.BUDGET, 9):
+        got = terms.scan_term_table(docs, listed, budget=budget)
+        assert got.columns == ["doc_id", "ord", "term"] and sorted(map(tuple, got.collect()), key=str) == want
+    assert terms.scan_term_table(docs, listed.limit(0)).isEmpty() and terms.scan_term_table(docs.limit(0), listed).isEmpty()
+
+
+def test_dyadic_cells_cover_a_range_once(spark):
+    ranges = [(lo, hi) for lo in range(-9, 10) for hi in range(-9, 20)] + [(0, 10**12), (-(10**12), 7), (None, 3), (3, None)]
+    rows = spark.createDataFrame(ranges, "lo long, hi long").select("lo", "hi", integrity.dyadic_cells(F.col("lo"), F.col("hi")).alias("cells")).collect()
+    for r in rows:
+        cells = sorted((c["cell"] << c["level"], (c["cell"] + 1) << c["level"]) for c in r["cells"])
+        if r["lo"] is None or r["hi"] is None or r["hi"] < r["lo"]:
+            assert not cells
+            continue
+        assert cells[0][0] == r["lo"] and cells[-1][1] == r["hi"] + 1 and all(a[1] == b[0] for a, b in zip(cells, cells[1:]))
+        assert len(cells) <= 2 * (r["hi"] - r["lo"] + 1).bit_length()
+
+
+def test_fresh_manifests_of_runs_of_any_length(spark):
+    rng = random.Random(4)
+    start = datetime(1969, 12, 20)
+    runs = [(i, i % 3, start + timedelta(seconds=rng.randrange(4_000_000)), timedelta(seconds=rng.choice([-1, -9, 0, 5, 3600, 10**6, 10**9]))) for i in range(120)]
+    made = [(j, j % 3, start + timedelta(seconds=rng.randrange(5_000_000), microseconds=rng.choice([0, 1, 999_999]))) for j in range(400)] + [(500 + i, u, s + d + timedelta(seconds=2, microseconds=x)) for i, (_, u, s, d) in enumerate(runs) for x in (0, 1)]
+    r = spark.createDataFrame([(i, u, s, s + d) for i, u, s, d in runs] + [(999, 1, None, start)], "run_id long, user_id long, started_at timestamp, finished_at timestamp")
+    m = spark.createDataFrame(made, "manifest_id long, user_id long, generated_at timestamp")
+    two = timedelta(seconds=2)
+    want = sorted((i, j) for i, u, s, d in runs for j, v, t in made if u == v and s - two <= t <= s + d + two)
+    for width in (1, 60):
+        assert sorted(map(tuple, integrity.fresh_manifests(r, m, ["user_id"], width=width).collect())) == want
 
 
 def test_images(spark):
