@@ -1,22 +1,31 @@
 """Record contracts: JSON records against a schema, compiled into column predicates over VARIANT.
 
-The schema is walked once, while the plan is built; Spark evaluates the resulting predicates, so a record is parsed once
-and no Python runs. Covered: type, required, enum, const, minLength, pattern, minimum, maximum, properties,
-additionalProperties false, items, uniqueItems, minItems, maxItems, anyOf, oneOf, not and local $ref. A type mismatch ends
-the checks of its node. additionalProperties given as a schema is not checked. Nesting is compiled to its end; a $ref that
-leads back into itself is followed again eight times, and a part of a record that lies deeper than that is not checked but
-reported as a problem of its own.
+The schema is walked while the plan is built; Spark evaluates the resulting predicates, so a record is parsed once and no
+Python runs. Covered: type, required, enum, const, minLength, pattern, minimum, maximum, properties, additionalProperties
+false, items, uniqueItems, minItems, maxItems, anyOf, oneOf, not and local $ref. A type mismatch ends the checks of its
+node. additionalProperties given as a schema is not checked.
+
+A schema whose references lead back into themselves is followed to the records' own depth. Some levels are compiled in
+one expression; what a record holds below them comes out as rows (record, reference, path, value), level by level, until
+no record goes deeper. Then the levels are judged from the deepest up, each reading the problems of the parts below it, so
+that references under anyOf, oneOf and not count as any other. A reference that leads back to itself without going deeper
+into the value has no meaning and is refused.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markwright.sources.files import cut
 
+#: Places at which one expression may stop at a reference that leads back; more of them make fewer rounds and larger plans.
+STOPS = 8
+PART = "array<struct<ref:string,path:string,value:variant>>"
 PROBLEM = "array<struct<path:string,message:string>>"
 
 
@@ -52,20 +61,109 @@ def _equals(v: Column, value: Any) -> Column:
     return F.to_json(v) == json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-def compile_schema(schema: dict, v: Column, path: Column, root: dict | None = None, depth: int = 8, refs: frozenset[str] = frozenset("#")) -> Column:
-    """The problems of a variant under a schema, as an array; depth counts references followed again, refs are those on the way."""
-    root = root or schema
-    while "$ref" in schema:
-        if schema["$ref"] in refs:
-            if depth <= 0:
-                return F.array(F.struct(path.alias("path"), F.lit("deeper than the schema is followed").alias("message")))
-            depth -= 1
-        refs |= {schema["$ref"]}
-        target: Any = root
-        for part in schema["$ref"].removeprefix("#").strip("/").split("/"):
-            target = target[part] if part else target
-        schema = target
-    sub = lambda s, x, p: compile_schema(s, x, p, root, depth, refs)
+def target_of(root: dict, ref: str) -> dict:
+    target: Any = root
+    for part in ref.removeprefix("#").strip("/").split("/"):
+        target = target[part] if part else target
+    return target
+
+
+def branches(schema: dict) -> Iterator[dict]:
+    """The schemas that judge the same value."""
+    for name in ("anyOf", "oneOf"):
+        yield from (b for b in schema.get(name, ()) if isinstance(b, dict))
+    if isinstance(schema.get("not"), dict):
+        yield schema["not"]
+
+
+def parts(schema: dict) -> Iterator[dict]:
+    """The schemas that judge parts of the value."""
+    yield from schema.get("properties", {}).values()
+    if isinstance(schema.get("items"), dict):
+        yield schema["items"]
+
+
+def refs_in(schema: dict, deeper: bool = True) -> set[str]:
+    """The references that stand in a schema, with or without those of parts of the value."""
+    if "$ref" in schema:
+        return {schema["$ref"]}
+    inner = [*branches(schema), *(parts(schema) if deeper else ())]
+    return set().union(*(refs_in(s, deeper) for s in inner))
+
+
+def leading_back(root: dict) -> set[str]:
+    """The references that can come to stand inside themselves."""
+
+    def reached(first: str, deeper: bool) -> set[str]:
+        seen: set[str] = set()
+        todo = refs_in(target_of(root, first), deeper)
+        while todo:
+            seen |= todo
+            todo = set().union(*(refs_in(target_of(root, r), deeper) for r in todo)) - seen
+        return seen
+
+    every = refs_in(root) | reached("#", True)
+    for ref in every:
+        if ref in reached(ref, False):
+            raise ValueError(f"{ref} leads back to itself without going deeper into the value")
+    return {ref for ref in every if ref in reached(ref, True)}
+
+
+class Walk:
+    """How far references are followed in one expression: those that lead back, `times` times; then stop() has the say."""
+
+    def __init__(self, root: dict, back: set[str], times: int, stop: Callable[[str, Column, Column], Column]):
+        self.root, self.back, self.times, self.stop = root, back, times, stop
+
+    def stops_in(self, schema: dict) -> bool:
+        """Whether a schema, followed far enough, refers to what leads back."""
+        seen: set[str] = set()
+        todo = refs_in(schema)
+        while todo:
+            seen |= todo
+            todo = set().union(*(refs_in(target_of(self.root, r)) for r in todo)) - seen
+        return bool(seen & self.back)
+
+    def enter(self, schema: dict) -> tuple[dict | str, Walk]:
+        """The schema behind references, or the reference to stop at, and the walk from there."""
+        walk = self
+        while "$ref" in schema:
+            ref = schema["$ref"]
+            if ref in walk.back:
+                if not walk.times:
+                    return ref, walk
+                walk = Walk(walk.root, walk.back, walk.times - 1, walk.stop)
+            schema = target_of(walk.root, ref)
+        return schema, walk
+
+
+def compile_parts(schema: dict, v: Column, path: Column, walk: Walk) -> list[Column]:
+    """Arrays of the places where the walk stops in a variant: (ref, path, value)."""
+    if not walk.stops_in(schema):
+        return []
+    schema, walk = walk.enter(schema)
+    if isinstance(schema, str):
+        return [F.array(F.struct(F.lit(schema).alias("ref"), path.alias("path"), v.alias("value"))).cast(PART)]
+    found = [c for branch in branches(schema) for c in compile_parts(branch, v, path, walk)]
+    keys = F.json_object_keys(F.to_json(v))
+    for key, s in schema.get("properties", {}).items():
+        inner = compile_parts(s, F.try_variant_get(v, f"$['{key}']", "variant"), F.concat(path, F.lit(f"/{key}")), walk)
+        if inner:
+            found.append(F.when(F.array_contains(keys, key), F.concat(*inner)))
+    if schema.get("items"):
+        places = lambda x, i: F.concat(*compile_parts(schema["items"], x, F.concat(path, F.lit("/"), i.cast("string")), walk))
+        if walk.stops_in(schema["items"]):
+            found.append(F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), places)))
+    none = F.array().cast(PART)
+    return [F.coalesce(c, none) for c in found]
+
+
+def compile_schema(schema: dict, v: Column, path: Column, walk: Walk) -> Column:
+    """The problems of a variant under a schema, as an array."""
+    schema, walk = walk.enter(schema)
+    if isinstance(schema, str):
+        return walk.stop(schema, v, path)
+    sub = lambda s, x, p: compile_schema(s, x, p, walk)
     fine = lambda s: F.size(sub(s, v, path)) == 0
 
     found: list[Column] = []
@@ -74,13 +172,13 @@ def compile_schema(schema: dict, v: Column, path: Column, root: dict | None = No
         properties = schema.get("properties", {})
         keys = F.json_object_keys(F.to_json(v))
         for key in schema.get("required", []):
-            found.append(_problem(~F.array_contains(keys, key), path, f'missing required property "{key}"'))
+            found.append(_problem(~F.array_contains(keys, key), path, f'lacks "{key}"'))
         for key, s in properties.items():
             inner = sub(s, F.try_variant_get(v, f"$['{key}']", "variant"), F.concat(path, F.lit(f"/{key}")))
             found.append(F.when(F.array_contains(keys, key), inner).otherwise(_none()))
         if schema.get("additionalProperties") is False:
             extra = F.array_except(keys, F.array(*map(F.lit, properties)).cast("array<string>"))
-            found.append(F.transform(extra, lambda k: F.struct(path.alias("path"), F.concat(F.lit('unsupported property "'), k, F.lit('"')).alias("message"))))
+            found.append(F.transform(extra, lambda k: F.struct(path.alias("path"), F.concat(F.lit('has no place for "'), k, F.lit('"')).alias("message"))))
         kind = "object"
     elif kind == "array" or "items" in schema:
         items = F.try_variant_get(v, "$", "array<variant>")
@@ -113,7 +211,7 @@ def compile_schema(schema: dict, v: Column, path: Column, root: dict | None = No
             found.append(_problem(number > float(schema["maximum"]), path, f"above {schema['maximum']}"))
     problems = F.concat(*found) if found else _none()
     if kind:
-        problems = F.when(_is(v, kind), F.coalesce(problems, _none())).otherwise(F.array(F.struct(path.alias("path"), F.concat(F.lit(f"should be {kind}, got "), kind_of(v)).alias("message"))))
+        problems = F.when(_is(v, kind), F.coalesce(problems, _none())).otherwise(F.array(F.struct(path.alias("path"), F.concat(F.lit("is of type "), kind_of(v), F.lit(f", not {kind}")).alias("message"))))
     for name, message in (("oneOf", "does not match exactly one branch"), ("not", "matches the forbidden schema"), ("anyOf", "matches no branch")):
         if name == "not" and isinstance(schema.get("not"), dict):
             broken = fine(schema["not"])
@@ -130,9 +228,63 @@ def compile_schema(schema: dict, v: Column, path: Column, root: dict | None = No
 
 def check_record_contract(df: DataFrame, key: str, json_col: str, schema: dict) -> DataFrame:
     """(key, path, message): a row for each problem; JSON that can't be parsed has one."""
-    parsed = df.select(key, F.col(json_col).alias("__json"), F.try_parse_json(json_col).alias("__v"))
+    back = leading_back(schema)
+    whole = df.select(F.col(key).alias("key"), F.try_parse_json(json_col).alias("value"))
     bad = F.array(F.struct(F.lit("").alias("path"), F.lit("not JSON").alias("message")))
-    problems = F.when(F.col("__v").isNull(), bad).otherwise(compile_schema(schema, F.col("__v"), F.lit("")))
-    return parsed.select(key, F.inline(problems))
+    judged = lambda problems: F.when(F.col("value").isNull(), bad).otherwise(problems)
+    if not back:
+        walk = Walk(schema, back, 0, lambda ref, v, path: _none())
+        return whole.select(F.col("key").alias(key), F.inline(judged(compile_schema(schema, F.col("value"), F.lit(""), walk))))
+
+    # How often what leads back is followed in one expression, so that it stops at some STOPS places at most.
+    wide = max(_stops(schema, ref, back) for ref in back)
+    times = next(t for t in range(1, 65) if wide ** (t + 1) > STOPS or t == STOPS)
+    value, path = F.col("value"), F.col("path")
+    known = lambda ref, v, p: F.coalesce(F.try_element_at("below", F.concat(F.lit(f"{ref} "), p)), _none())
+    walk = Walk(schema, back, times, known)
+
+    def by_ref(use: Callable[[dict], Column]) -> Column:
+        out = F.lit(None)
+        for ref in sorted(back):
+            out = F.when(F.col("ref") == ref, use(target_of(schema, ref))).otherwise(out)
+        return out
+
+    def places(s: dict) -> Column:
+        found = compile_parts(s, value, path, walk)
+        return F.concat(*found) if found else F.array().cast(PART)
+
+    # The whole record is a part of its own, without a reference.
+    start = cut(whole.select(F.monotonically_increasing_id().alias("id"), "key", F.lit("").alias("path"), "value"))
+    levels, places_of = [start], lambda: places(schema)
+    while True:
+        deeper = levels[-1].where("value IS NOT NULL").select("id", F.inline(places_of()))
+        deeper = cut(deeper.groupBy("id", "ref", "path").agg(F.any_value("value").alias("value")))
+        if deeper.isEmpty():
+            break
+        levels.append(deeper)
+        places_of = lambda: by_ref(places)
+    below = None
+    for level in reversed(levels[1:]):
+        judge = by_ref(lambda s: compile_schema(s, value, path, walk))
+        rows = cut(_with_below(level, below).select("id", "ref", "path", judge.alias("problems")))
+        below = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "ref", "path"), "problems"))).alias("below"))
+    problems = judged(compile_schema(schema, value, path, walk))
+    return _with_below(start, below).select(F.col("key").alias(key), F.inline(problems))
+
+
+def _with_below(level: DataFrame, below: DataFrame | None) -> DataFrame:
+    none = F.lit(None).cast(f"map<string,{PROBLEM}>").alias("below")
+    return level.select("*", none) if below is None else level.join(below, "id", "left")
+
+
+def _stops(root: dict, ref: str, back: set[str]) -> int:
+    """At how many places a reference's schema, followed once, refers to what leads back."""
 
+    def count(schema: dict) -> int:
+        if schema.get("$ref") in back:
+            return 1
+        while "$ref" in schema:
+            schema = target_of(root, schema["$ref"])
+        return sum(count(s) for s in (*branches(schema), *parts(schema)))
 
+    return count(target_of(root, ref))

@@ -203,10 +203,71 @@ def test_deep_contracts(spark):
     tree = {"type": "object", "properties": {"n": {"type": "integer"}, "child": {"$ref": "#"}}}
     deep = lambda n, v: {"child": deep(n - 1, v)} if n else {"n": v}
     check = lambda schema, v: [(r["path"], r["message"]) for r in contracts.check_record_contract(spark.createDataFrame([(1, json.dumps(v))], "k long, j string"), "k", "j", schema).collect()]
-    assert check(plain, record) == [("/p" * 11, "should be integer, got string")]
-    assert check(tree, deep(8, 1)) == []
-    assert check(tree, deep(8, "x")) == [("/child" * 8 + "/n", "should be integer, got string")]
-    assert check(tree, deep(9, 1)) == [("/child" * 9, "deeper than the schema is followed")]
+    assert check(plain, record) == [("/p" * 11, "is of type string, not integer")]
+    rows = [(0, json.dumps(deep(8, 1))), (1, json.dumps(deep(200, 1))), (2, json.dumps(deep(200, "x"))), (3, json.dumps(deep(9, "x")))]
+    got = contracts.check_record_contract(spark.createDataFrame(rows, "k long, j string"), "k", "j", tree).collect()
+    assert sorted(map(tuple, got)) == [(k, "/child" * n + "/n", "is of type string, not integer") for k, n in ((2, 200), (3, 9))]
+
+
+def test_recursive_contracts_equal_a_walk_of_each_record(spark):
+    """Trees of several branches, references under anyOf, oneOf and not, and two that lead into each other, against a plain walk."""
+    import json
+
+    schema = {
+        "$ref": "#/$defs/node",
+        "$defs": {
+            "node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer", "maximum": 9}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}, "other": {"anyOf": [{"$ref": "#/$defs/leaf"}, {"$ref": "#/$defs/node"}]}, "never": {"not": {"$ref": "#/$defs/node"}}}},
+            "leaf": {"oneOf": [{"type": "string"}, {"type": "object", "required": ["leaf"], "properties": {"leaf": {"$ref": "#/$defs/leaf"}, "node": {"$ref": "#/$defs/node"}}}]},
+        },
+    }
+    rng = random.Random(5)
+
+    def made(depth):
+        v = {"v": rng.choice([1, 2, 3, 3, 4, 10, "x"])} if rng.random() < 0.95 else {}
+        if depth and rng.random() < 0.8:
+            v["kids"] = [made(depth - 1) for _ in range(rng.randint(0, 2))]
+        if depth and rng.random() < 0.5:
+            v["other"] = made(depth - 1) if rng.random() < 0.5 else leaf(depth - 1)
+        if depth and rng.random() < 0.2:
+            v["never"] = made(depth - 1)
+        return v
+
+    def leaf(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice(["s", 5])
+        return {"leaf": leaf(depth - 1)} | ({"node": made(depth - 1)} if rng.random() < 0.5 else {})
+
+    def node_problems(v, path):
+        if not isinstance(v, dict):
+            return [path]
+        out = [] if "v" in v else [path]
+        if "v" in v and (not isinstance(v["v"], int) or v["v"] > 9):
+            out.append(f"{path}/v")
+        for i, kid in enumerate(v.get("kids", [])):
+            out += node_problems(kid, f"{path}/kids/{i}")
+        if "other" in v and leaf_problems(v["other"], "") and node_problems(v["other"], ""):
+            out.append(f"{path}/other")
+        if "never" in v and not node_problems(v["never"], ""):
+            out.append(f"{path}/never")
+        return out
+
+    def leaf_problems(v, path):
+        if isinstance(v, str):
+            return []
+        inner = [path] if not isinstance(v, dict) or "leaf" not in v else leaf_problems(v["leaf"], path)
+        if isinstance(v, dict) and "node" in v:
+            inner = inner + node_problems(v["node"], path)
+        return [path] if inner else []
+
+    records = [(i, made(9)) for i in range(60)] + [(60, 5)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records] + [(61, "{"), (62, None)], "k long, j string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(contracts, "STOPS", 4)  # some rounds, on few levels
+        got = sorted((r["k"], r["path"]) for r in contracts.check_record_contract(df, "k", "j", schema).collect())
+    assert got == sorted([(i, p) for i, r in records for p in node_problems(r, "")] + [(61, ""), (62, "")])
+    assert len({i for i, _ in got}) < 62
+    with pytest.raises(ValueError, match="without going deeper"):
+        contracts.check_record_contract(df, "k", "j", {"anyOf": [{"type": "string"}, {"$ref": "#"}]})
 
 
 def outcomes(spark, rows):
