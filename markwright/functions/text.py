@@ -123,10 +123,28 @@ def fingerprint(payload: Column, kind: T.DataType | None = None) -> Column:
     return F.concat(F.lit("snapshot-"), F.substring(F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256), 1, 16))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON of any shape with the keys of its objects in order at every depth, and no white space; null if it can't be read.
+
+    A variant keeps the fields of an object in key order, so writing it out again is enough; a number is written without
+    trailing zeros.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+def open_fingerprint(text: Column) -> Column:
+    """fingerprint() of JSON whose type is not declared."""
+    return F.concat(F.lit("snapshot-"), F.substring(F.sha2(canonical_json(text), 256), 1, 16))
+
+
 def natural_key(name: Column) -> Column:
-    """A sort key under which runs of digits compare as numbers, case ignored first."""
+    """A sort key under which runs of digits of any length compare as numbers, case ignored first.
+
+    A run stands as the number of its digits, leading zeros aside, and the digits.
+    """
+    number = lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d)
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"\A\d"), F.lpad(F.regexp_replace(r, r"\A0+(?=\d)", ""), 30, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"\A\d"), number(F.regexp_replace(r, r"\A0+(?=\d)", ""))).otherwise(r)), "")
 
 
 def retryable(status: Column) -> Column:
@@ -144,3 +162,8 @@ def version_key(name: Column) -> Column:
     """array<int> of v<major>.<minor> in a file name; null if there is none."""
     v = F.regexp_extract(name, r"v(\d+\.\d+)", 1)
     return F.when(v != "", F.transform(F.split(v, r"\."), lambda x: x.try_cast("int")))
+
+
+def version_numbers(version: Column) -> Column:
+    """array<int> of the parts of a dotted version; a part that is no number is null, which comes first."""
+    return F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))

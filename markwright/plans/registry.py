@@ -345,9 +345,9 @@ def _(spark, d):
 def _(spark, d):
     i, name = F.col("doc_id"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("pack_id")
     docs = table(spark, d, "documents")
-    packs = docs.select(name, F.when(i % 3 == 0, "8.1").otherwise("8.2").alias("spec_version"), F.lit("8.2").alias("manifest_version"))
-    snaps = docs.select(name, F.when(i % 5 == 0, "8.1").otherwise("8.2").alias("snapshot_version"))
-    evals = docs.select(name, F.lit("8.2").alias("eval_version"), (i % 7 != 0).alias("eval_ok"))
+    packs = docs.select(name, F.when(i % 3 == 0, "8.9").otherwise("8.15").alias("spec_version"), F.lit("8.15").alias("manifest_version"))
+    snaps = docs.select(name, F.explode(F.when(i % 5 == 0, F.array(F.lit("8.9"), F.lit("8.2"))).otherwise(F.array(F.lit("8.9"), F.lit("8.15"), F.lit("8.2")))).alias("snapshot_version"))
+    evals = docs.select(name, F.explode(F.array(F.lit("8.9"), F.lit("8.15"))).alias("eval_version"), (i % 7 != 0).alias("eval_ok"))
     return evaluate.health(packs, snaps, evals).select("pack_id", "healthy", F.array_join("issues", "; ").alias("issues"))
 
 
@@ -476,9 +476,9 @@ def _(spark, d):
     return evaluate.natural_order(view(spark, d, "file_names"), "image_name", "source").select("source", "doc_id", "place")
 
 
-@query("v46_merge_rules", f"{ctes('doc_rules')} SELECT id, priority, count(*) OVER (PARTITION BY id) > 1 AS duplicate, row_number() OVER (ORDER BY coalesce(priority, 0) DESC, id)::INT AS place FROM (SELECT id, max(priority) AS priority FROM doc_rules GROUP BY id)")
+@query("v46_merge_rules", f"{ctes('doc_rules')} SELECT id, priority, count(*) OVER (PARTITION BY id) > 1 AS duplicate, row_number() OVER (ORDER BY coalesce(priority, 0) DESC, id)::INT AS place FROM doc_rules")
 def _(spark, d):
-    return rules.merge_rules(view(spark, d, "doc_rules").groupBy("id").agg(F.max("priority").alias("priority"))).select("id", "priority", "duplicate", "place")
+    return rules.merge_rules(view(spark, d, "doc_rules")).select("id", "priority", "duplicate", "place")
 
 
 # Scalars
@@ -493,6 +493,20 @@ def _(spark, d):
     return _answers(spark, d).select("doc_id", F.sha2(X.normalize_answer(fenced), 256).alias("sha256"))
 
 
+#: The same record written in two ways, with nested objects in an array.
+RECORDS = """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"z": ', props, ', "a": [ ', props, ', {{"y": 1.0, "b": ', CAST(event_id AS VARCHAR(20)), '}} ], "event": "', event_type, '"}}')
+  ELSE concat('{{"event":"', event_type, '","a":[', props, ',{{"b":', CAST(event_id AS VARCHAR(20)), ',"y":1}}],"z":', props, '}}') END AS record FROM {events}"""
+
+
+@query(
+    "t63_open_fingerprint",
+    """SELECT event_id, 'snapshot-' || substr(sha256('{"a":[{"k":' || k || '},{"b":' || event_id || ',"y":1}],"event":"' || event_type || '","z":{"k":' || k || '}}'), 1, 16) AS fingerprint
+FROM (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)""",
+)
+def _(spark, d):
+    return spark.sql(RECORDS, events=table(spark, d, "events")).select("event_id", X.open_fingerprint(F.col("record")).alias("fingerprint"))
+
+
 @query("t51_join_question_leads", rf"{ctes('answer_md')} SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN replace(text, '18.' || chr(10) || chr(10) || '（1）', '18. （1）') ELSE text END) AS sha256 FROM answer_md")
 def _(spark, d):
     return _answers(spark, d).select("doc_id", F.sha2(X.join_question_leads(F.col("text")), 256).alias("sha256"))

@@ -404,6 +404,43 @@ def test_fingerprints_sort_keys_at_every_depth(spark):
     assert got == "snapshot-" + hashlib.sha256(plain.encode()).hexdigest()[:16]
 
 
+def test_open_json_has_one_canonical_form(spark):
+    import json
+
+    rng = random.Random(6)
+
+    def made(depth):
+        kind = rng.randrange(6 if depth else 4)
+        return [rng.randrange(99), "é漢\n\"", True, None, {}, []][kind] if kind < 4 else {rng.choice("zaBé_k") + str(i): made(depth - 1) for i in range(3)} if kind == 4 else [made(depth - 1) for _ in range(3)]
+
+    def shuffled(v):
+        if isinstance(v, dict):
+            return {k: shuffled(v[k]) for k in rng.sample(sorted(v), len(v))}
+        return [shuffled(x) for x in v] if isinstance(v, list) else v
+
+    values = [{"top": made(6)} for _ in range(60)]
+    rows = [(i, json.dumps(shuffled(v), indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)) for i, v in enumerate(values) for _ in range(3)]
+    got = spark.createDataFrame(rows, "k long, j string").select("k", X.canonical_json(F.col("j")).alias("c")).distinct().collect()
+    assert sorted(map(tuple, got)) == [(i, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for i, v in enumerate(values)]
+    odd = spark.createDataFrame([("{",), (None,), ('{"a":1,"a":2}',)], "j string").select(X.canonical_json(F.col("j")).alias("c")).collect()
+    assert [r["c"] for r in odd] == [None] * 3
+
+
+def test_versions_compare_by_numbers(spark):
+    packs = spark.createDataFrame([("p", "8.15", "8.15")], "pack_id string, spec_version string, manifest_version string")
+    snaps = spark.createDataFrame([("p", "8.9"), ("p", "8.15"), ("p", None)], "pack_id string, snapshot_version string")
+    evals = spark.createDataFrame([("p", "8.9", False), ("p", "8.15", True), ("p", "8.2", True)], "pack_id string, eval_version string, eval_ok boolean")
+    row = evaluate.health(packs, snaps, evals).first()
+    assert row["healthy"] and row["summary"] == "ok"
+
+
+def test_digit_runs_of_any_length_are_in_order(spark):
+    names = ["a" + "1" + "0" * 30, "a2" + "0" * 29, "a2", "A10", "a010", "a9b", "a9a", "b", "a" + "9" * 31, "", "10", "9"]
+    got = evaluate.natural_order(spark.createDataFrame([("g", n) for n in names], "source string, name string"), "name", "source").orderBy("place").collect()
+    want = ["9", "10", "a2", "a9a", "a9b", "A10", "a010", "a2" + "0" * 29, "a1" + "0" * 30, "a" + "9" * 31, "b"]
+    assert [r["name"] for r in got][1:] == want and got[0]["name"] == ""
+
+
 def test_scratch_tables_go_away(spark):
     from pathlib import Path
 
