@@ -343,10 +343,11 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with their spans redacted; columns as they come, a null text stays null.
 
-    Documents and their candidates are written once, so that the patterns pass over each text once. A row travels as one
-    struct, so no column of docs can clash with what is computed beside it.
+    Documents and their candidates are written once, so that the patterns pass over each text once. What a row has beside
+    its text travels as one struct, so no column of docs can clash with what is computed.
     """
-    found = cut(propose(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text"))))
+    rest = [docs[f"`{c}`"] for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
+    found = cut(propose(docs.select(F.struct(*rest).alias("row"), F.col("text"))))
     spans = select_spans(found, fit(found))
     spans = spans.withColumn("__runs", F.when(F.size("__spans") > 0, runs(F.col("__spans"))))
     end = F.array_max(F.transform("__spans", lambda c: c["e"]))
