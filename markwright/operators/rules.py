@@ -54,32 +54,59 @@ def merge_rules(rules: DataFrame) -> DataFrame:
     return numbered(rules.withColumn("duplicate", twice), [F.coalesce("priority", F.lit(0)).desc(), F.col("id")])
 
 
+def merge_layers(layers: DataFrame) -> DataFrame:
+    """(profile_key, path, value) of profiles from layers of leaves, (profile_key, rank, path, value): the greatest rank wins.
+
+    A scalar hides the leaves that a lower layer has below it, and leaves hide a lower scalar above them.
+    """
+    best = layers.groupBy("profile_key", "path").agg(F.max(F.struct("rank", "value")).alias("b")).select("profile_key", "path", "b.value", "b.rank")
+    steps = F.split("path", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "."))
+    above = best.where(F.size(steps) > 1).select("profile_key", F.explode(prefixes).alias("prefix"), F.col("path").alias("leaf"), F.col("rank").alias("leaf_rank"))
+    clash = above.join(best.select("profile_key", F.col("path").alias("prefix"), F.col("rank").alias("top_rank")), ["profile_key", "prefix"])
+    hidden = clash.select("profile_key", F.when(F.col("top_rank") > F.col("leaf_rank"), F.col("leaf")).otherwise(F.col("prefix")).alias("path")).distinct()
+    return best.join(hidden, ["profile_key", "path"], "left_anti").select("profile_key", "path", "value")
+
+
 def layered_resolve(entries: DataFrame, inherits: DataFrame) -> DataFrame:
     """(profile_key, path, value): leaf rows of profiles after inheritance.
 
-    entries are (profile_key, path, value) leaves, inherits (profile_key, parent, ord). Ancestors are found by joins, one
-    level a round, until a round finds none; of several layers with a path the nearest wins, of parents the later; a scalar hides the leaves that
-    an outer layer has below it, and leaves hide an outer scalar above them. A cycle gives the path `#error`.
+    entries are (profile_key, path, value) leaves, inherits (profile_key, parent, ord). Each profile is resolved once, in the
+    round after the last of its parents, from its own leaves and theirs as they came out; so the work follows the links, not
+    the ways along them, of which stacked diamonds have exponentially many. Its own leaves come before its parents', a later
+    parent's before an earlier one's; parents that are nowhere are skipped. Profiles that no round reaches have a cycle at or
+    above them, and one row, `#error`.
     """
     own = entries.select("profile_key").union(inherits.select("profile_key")).distinct()
-    level = own.select("profile_key", F.col("profile_key").alias("layer"), F.array().cast("array<int>").alias("order"), F.array("profile_key").alias("seen"))
-    layers, cycles = level, level.limit(0)
-    up = inherits.select(F.col("profile_key").alias("layer"), F.col("parent"), F.col("ord").cast("int").alias("ord"))
-    while True:
-        level = cut(level.join(up, "layer").select("profile_key", F.col("parent").alias("layer"), F.concat("order", F.array(-F.col("ord"))).alias("order"), "seen"))
-        if level.isEmpty():
+    links = inherits.join(own.withColumnRenamed("profile_key", "parent"), "parent", "left_semi")
+    links = cut(links.select("profile_key", "parent", F.col("ord").cast("int").alias("ord")).distinct())
+    # Of the same order the greater name comes first, so that reruns agree.
+    own_rank = F.struct(F.lit(1).alias("own"), F.lit(0).alias("ord"), F.lit("").alias("parent"))
+    own_leaves = entries.select("profile_key", own_rank.alias("rank"), "path", "value")
+    waiting = cut(links.select("profile_key").distinct())
+    resolved = cut(merge_layers(own_leaves.join(waiting, "profile_key", "left_anti")))
+    while not waiting.isEmpty():
+        blocked = links.join(waiting.withColumnRenamed("profile_key", "parent"), "parent", "left_semi").select("profile_key").distinct()
+        still = cut(waiting.join(blocked, "profile_key", "left_semi"))
+        ready = cut(waiting.join(still, "profile_key", "left_anti"))
+        if ready.isEmpty():
+            break
+        rank = F.struct(F.lit(0).alias("own"), "ord", F.col("parent").cast("string").alias("parent"))
+        now = links.join(ready, "profile_key", "left_semi")
+        inherited = now.join(resolved.withColumnRenamed("profile_key", "parent"), "parent").select("profile_key", rank.alias("rank"), "path", "value")
+        resolved = resolved.union(cut(merge_layers(own_leaves.join(ready, "profile_key", "left_semi").union(inherited))))
+        links, waiting = cut(links.join(still, "profile_key", "left_semi")), still
+    # Those left that another one left inherits from, again and again, are on a cycle or between two; the others are below one.
+    core = waiting
+    while not core.isEmpty():
+        parents = links.join(core, "profile_key", "left_semi").select(F.col("parent").alias("profile_key")).distinct()
+        inner = cut(core.join(parents, "profile_key", "left_semi"))
+        if inner.count() == core.count():
             break
-        cycles = cycles.unionByName(level.where(F.array_contains("seen", F.col("layer"))))
-        level = level.where(~F.array_contains("seen", F.col("layer"))).withColumn("seen", F.concat("seen", F.array("layer")))
-        layers = layers.unionByName(level)
-    leaves = layers.join(entries.withColumnRenamed("profile_key", "layer"), "layer")
-    nearest = Window.partitionBy("profile_key", "path").orderBy("order")
-    best = leaves.withColumn("n", F.row_number().over(nearest)).where("n = 1").select("profile_key", "path", "value", "order")
-    above = best.select("profile_key", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", r"\.")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("path", r"\."), F.lit(1), i), "."))).alias("prefix"), F.col("path").alias("leaf"), F.col("order").alias("leaf_order"))
-    clash = above.where("prefix <> leaf").join(best.select("profile_key", F.col("path").alias("prefix"), F.col("order").alias("top_order")), ["profile_key", "prefix"])
-    hidden = clash.select("profile_key", F.when(F.col("top_order") < F.col("leaf_order"), F.col("leaf")).otherwise(F.col("prefix")).alias("path")).distinct()
-    kept = best.join(hidden, ["profile_key", "path"], "left_anti").select("profile_key", "path", "value")
-    return kept.unionByName(cycles.select("profile_key", F.lit("#error").alias("path"), F.concat(F.lit("cycle at "), "layer").alias("value")).distinct())
+        core = inner
+    named = waiting.join(core.withColumn("on", F.lit(True)), "profile_key", "left")
+    error = F.when(F.col("on"), F.concat(F.lit("cycle at "), F.col("profile_key").cast("string"))).otherwise("cycle above")
+    return resolved.unionByName(named.select("profile_key", F.lit("#error").alias("path"), error.alias("value")))
 
 
 def compile_snapshots(packs: DataFrame, rules: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -318,6 +318,26 @@ def test_long_chains_of_layers(spark):
     assert [got[f"c{i}"] for i in range(10)] == [{"#error": f"cycle at c{i}"} for i in range(10)]
 
 
+def test_stacked_diamonds_are_resolved_once_each(spark):
+    n = 10
+    entries, parents = [("end", "deep", "end"), ("end", "x.y", "1")], []
+    for i in range(n):
+        below = f"d{i + 1}" if i + 1 < n else "end"
+        entries += [(f"a{i}", "side", f"a{i}"), (f"b{i}", "side", f"b{i}"), (f"d{i}", f"own{i}", "o")]
+        parents += [(f"d{i}", f"a{i}", 1), (f"d{i}", f"b{i}", 2), (f"a{i}", below, 1), (f"b{i}", below, 1)]
+    # Below a cycle, and a parent's object after a scalar that hid an outer one.
+    entries += [("p", "x", "scalar"), ("q", "x.z", "3"), ("r", "k", "r")]
+    parents += [("c1", "c2", 1), ("c2", "c1", 1), ("under", "c1", 1), ("under2", "under", 1), ("q", "p", 1), ("r", "end", 1), ("r", "q", 2)]
+    got = {}
+    found = rules.layered_resolve(spark.createDataFrame(entries, "profile_key string, path string, value string"), spark.createDataFrame(parents, "profile_key string, parent string, ord int"))
+    for r in found.collect():
+        assert r["path"] not in got.setdefault(r["profile_key"], {})
+        got[r["profile_key"]][r["path"]] = r["value"]
+    assert got["d0"] == {"deep": "end", "x.y": "1", "side": "b0"} | {f"own{i}": "o" for i in range(n)}
+    assert got["c1"] == {"#error": "cycle at c1"} and got["under2"] == {"#error": "cycle above"} and "#error" in got["under"]
+    assert got["q"] == {"x.z": "3"} and got["r"] == {"k": "r", "deep": "end", "x.y": "1", "x.z": "3"}
+
+
 def test_numbers_come_from_several_ranges(spark):
     rows = [(f"r{i:03}", None if i % 5 == 0 else i % 4, "g" if i % 7 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "id string, priority int, source string").repartition(3)
