@@ -178,12 +178,12 @@ def _(spark, d):
 
 #: A record may hold a record of its kind, as deep as it likes.
 CHAIN = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 5, "maximum": 90}, "child": {"$ref": "#"}}}
-CHAINS = """SELECT event_id, concat(repeat('{{"k":7,"child":', CAST(event_id % 50 AS INT)), props, repeat('}}', CAST(event_id % 50 AS INT))) AS record FROM {events}"""
+CHAINS = """SELECT event_id, concat(repeat('{{"k":7,"child":', CAST(event_id % 20 AS INT)), props, repeat('}}', CAST(event_id % 20 AS INT))) AS record FROM {events}"""
 
 
 @query(
     "l19_recursive_contract",
-    "SELECT event_id, repeat('/child', (event_id % 50)::INT) || '/k' AS path, CASE WHEN k < 5 THEN 'below 5' ELSE 'above 90' END AS message FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) WHERE k < 5 OR k > 90",
+    "SELECT event_id, repeat('/child', (event_id % 20)::INT) || '/k' AS path, CASE WHEN k < 5 THEN 'below 5' ELSE 'above 90' END AS message FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) WHERE k < 5 OR k > 90",
 )
 def _(spark, d):
     return contracts.check_record_contract(spark.sql(CHAINS, events=table(spark, d, "events")), "event_id", "record", CHAIN)
