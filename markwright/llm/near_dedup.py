@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markwright.llm.common import cut, small
+from markwright.llm.common import cut, partitions, small
 from markwright.llm.graph import components
 from markwright.llm.vectors import list_array, mix, shingle_sets, text_pieces
 
@@ -161,7 +161,10 @@ def placed_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
         raise ValueError(f"percent is {percent}; under {LEAST_PERCENT} the bands and sketches would lose links")
     found = cut(features(docs, k))
     classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    classes = cut(classes.select("d1", "d2", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("node")))
+    classes = cut(classes.select("d1", "d2", "first.doc_id", "first.text_hash"))
+    # Nodes are numbered in the order of ids: what others were copied from often comes first, and makes the best centre.
+    in_order = classes.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    classes = cut(in_order.select("*", F.monotonically_increasing_id().alias("node")))
     reps = found.join(classes, ["d1", "d2", "doc_id", "text_hash"]).dropDuplicates(["node"])
     reps = cut(reps.select("node", "doc_id", "text_hash", "d1", F.col("n_shingles").alias("n"), "sketch", "bands"))
     light = reps.select("node", "n", "sketch", "bands")
