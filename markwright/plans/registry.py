@@ -5,6 +5,7 @@ Each query runs over whole tables. Oracles are DuckDB SQL; they start from the s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,28 @@ from markwright.functions import chars as C
 from markwright.functions import text as X
 from markwright.operators import contracts, diff, evaluate, integrity, keys, lint, pages, rules, terms
 from markwright.plans.views import ctes, diff_pairs, view
-from markwright.sources.files import normal_path, table, text_receipts
+from markwright.sources.files import file_receipts, normal_path, publish, read_answers, read_json_documents, read_published, shared_dir, table, text_receipts, write_files
+
+#: Documents of one file.
+SHELF = 25
+SHELVES = f"SELECT doc_id // {SHELF} AS shelf, string_agg(text || chr(10), '' ORDER BY doc_id) AS text, count(*) AS n, min(doc_id) AS least FROM documents GROUP BY 1"
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shelves(spark: SparkSession, d: str) -> str:
+    """Documents as text files, so many to a file; its folder."""
+    root = _folder(spark, "shelves")
+    write_files(table(spark, d, "documents").withColumn("shelf", F.floor(F.col("doc_id") / SHELF)), root, "shelf", "doc_id", "text")
+    return root
+
+
+def _shelf(path: str) -> F.Column:
+    return F.regexp_extract(path, r"shelf=(\d+)/", 1).cast("long").alias("shelf")
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,6 +503,39 @@ def _(spark, d):
     return rules.merge_rules(view(spark, d, "doc_rules")).select("id", "priority", "duplicate", "place")
 
 
+# Files
+@query("s01_read_answers", f"SELECT shelf, length(text)::BIGINT AS chars, sha256(text) AS sha256 FROM ({SHELVES})")
+def _(spark, d):
+    """Answer sheets written as files and read back whole."""
+    return read_answers(spark, f"{_shelves(spark, d)}/*/*.txt").select(_shelf("answer_id"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("s03_file_receipts", f"SELECT shelf, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256 FROM ({SHELVES})")
+def _(spark, d):
+    return file_receipts(spark, _shelves(spark, d), "*.txt").select(_shelf("path"), "bytes", "sha256")
+
+
+@query("s02_read_json_documents", f"SELECT shelf, CASE WHEN shelf % 7 <> 3 THEN n END AS n, CASE WHEN shelf % 7 <> 3 THEN least END AS least, shelf % 7 = 3 AS issue FROM ({SHELVES})")
+def _(spark, d):
+    """A JSON file for each shelf, of which some begin with a byte order mark and some are cut off."""
+    per = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / SHELF).alias("shelf")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    record = F.to_json(F.struct("shelf", "n", "least"))
+    text = F.when(F.col("shelf") % 7 == 3, F.substr(record, F.lit(1), F.length(record) - 2)).when(F.col("shelf") % 3 == 0, F.concat(F.lit("\ufeff"), record)).otherwise(record)
+    root = _folder(spark, "manifests")
+    write_files(per.withColumn("text", text), root, "shelf", "n", "text")
+    found = read_json_documents(spark, f"{root}/*/*.txt", "shelf long, n long, least long")
+    return found.select(_shelf("path"), "document.n", "document.least", F.col("issue").isNotNull().alias("issue"))
+
+
+@query("s05_publish", "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 <> 0")
+def _(spark, d):
+    """The second of two published versions."""
+    root, docs = _folder(spark, "published"), table(spark, d, "documents").select("doc_id", "text")
+    publish(docs.where("doc_id % 3 = 0"), root)
+    publish(docs.where("doc_id % 3 <> 0"), root)
+    return read_published(spark, root).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
 # Scalars
 @query(
     "t50_normalize_answer",

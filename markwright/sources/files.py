@@ -48,6 +48,50 @@ def write_table(df: DataFrame, path: str, as_json: bool = False) -> None:
     writer.json(path) if as_json else writer.parquet(path)
 
 
+#: The file of a published folder that names the version to read.
+CURRENT = "CURRENT"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(df: DataFrame, root: str) -> str:
+    """Write df as a new version under root, then point readers to it by one rename; returns the version's folder.
+
+    Readers see the old version or the new one, whole. A writer that dies leaves a version that nothing points to; versions
+    are kept, so a reader that has begun ends well.
+    """
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{root}/{version}")
+    named, system = _file_system(spark, f"{root}/{CURRENT}.{version}")
+    out = system.create(named, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = [system.makeQualified(p) for p in (named, _file_system(spark, f"{root}/{CURRENT}")[0])]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified[0].toUri(), spark._jsc.hadoopConfiguration()).rename(*qualified, options)
+    return f"{root}/{version}"
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The version of root that is current now."""
+    version = spark.read.text(f"{root}/{CURRENT}", wholetext=True).first()["value"].strip()
+    return spark.read.parquet(f"{root}/{version}")
+
+
+def write_files(df: DataFrame, path: str, by: str, order: str, text: str) -> None:
+    """A folder by=value for each value of a column, with one file of its rows' texts, a line end after each, in order.
+
+    Rows of a value are written by one task, as a stream.
+    """
+    dealt = df.select(by, order, F.coalesce(text, F.lit("")).alias("value")).repartition(by).sortWithinPartitions(by, order)
+    dealt.select(by, "value").write.mode("errorifexists").partitionBy(by).text(path)
+
+
 def normal_path(path: Column) -> Column:
     """A path for comparison: forward slashes, no single dots or doubled slashes, case folded."""
     slashes = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"(?:/\.?)+/", "/")

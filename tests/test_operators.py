@@ -424,6 +424,18 @@ def test_fingerprints_sort_keys_at_every_depth(spark):
     assert got == "snapshot-" + hashlib.sha256(plain.encode()).hexdigest()[:16]
 
 
+def test_readers_see_a_whole_version_whatever_happens_to_writers(spark, tmp_path):
+    root = f"file://{tmp_path}/table"
+    files.publish(spark.range(5).selectExpr("id", "'old' v"), root)
+    before = files.read_published(spark, root)
+    with pytest.raises(Exception, match="(?i)overflow|stops here|raise"):
+        files.publish(spark.range(100).selectExpr("if(id = 77, raise_error('stops here'), id) id", "'broken' v"), root)
+    assert {r["v"] for r in files.read_published(spark, root).collect()} == {"old"} and files.read_published(spark, root).count() == 5
+    files.publish(spark.range(7).selectExpr("id", "'new' v"), root)
+    assert files.read_published(spark, root).count() == 7 and {r["v"] for r in files.read_published(spark, root).collect()} == {"new"}
+    assert before.count() == 5  # a reader that began earlier ends well
+
+
 def test_open_json_has_one_canonical_form(spark):
     import json
 
