@@ -7,7 +7,8 @@ A page is blocked if the lower bound of its host's posterior is under the limit.
 fit, the longest wins.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; path: what follows up to `?`, `#` or the
-end. The suffix is a host's last label, the registered domain its last two.
+end. The suffix is a host's last label, or, where a table of suffixes is given, the longest of these that the host is or
+ends in; the registered domain has one label more.
 
 Defined cases: a null url or one without `://` has empty host and path, which form a host like others; pages without an
 outcome are judged and not counted; rows that repeat a page_id count each; extra columns are ignored; with no outcomes
@@ -58,7 +59,7 @@ def html_outcomes(pages: DataFrame) -> DataFrame:
 #: Reputation from the counts of each host (view hosts: host, n, good). Shared by Spark and the oracle. Strength of a
 #: prior: (mean (1 - mean) - spread) / spread, with the spread of the rates beyond what their sizes explain, from 1 to 1000.
 REPUTATION_SQL = """
-named AS (SELECT host, n, good, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix FROM hosts),
+named AS ({named}),
 all_pages AS (SELECT CAST(coalesce(sum(good), 0) AS DOUBLE) AS g, CAST(coalesce(sum(n), 0) AS DOUBLE) AS m FROM named),
 suffixes AS (SELECT suffix, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS g FROM named GROUP BY suffix),
 domains AS (SELECT domain, min(suffix) AS suffix, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS g FROM named GROUP BY domain),
@@ -76,19 +77,36 @@ _STRENGTH = """strength_{i} AS (SELECT CASE WHEN v <= e OR k < 2 THEN 1000.0 ELS
   FROM (SELECT CAST(n AS DOUBLE) AS n, CAST({g} AS DOUBLE) AS g, p AS q FROM {view}, root WHERE n > 0) t) u)"""
 
 
-def reputation_sql(deviations: float = DEVIATIONS, limit: float = LIMIT) -> str:
+#: Hosts with their registered domain and suffix, where no table says more.
+LAST_LABELS = "SELECT host, n, good, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix FROM hosts"
+
+
+def with_suffixes(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """hosts, (host, n, good), with domain and suffix by a table of suffixes, (suffix), such as `co.uk`; case is ignored."""
+    known = suffixes.select(F.lower("suffix").alias("tail")).distinct()
+    labels = F.split("host", r"\.")
+    tails = hosts.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("at", "tail"))
+    longest = tails.join(small(known), "tail").groupBy("host").agg(F.min("at").alias("at"))
+    at = F.coalesce("at", F.size(labels) - 1)
+    rest = lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
+    return hosts.join(longest, "host", "left").select("host", "n", "good", rest(F.greatest(at - 1, F.lit(0))).alias("domain"), rest(at).alias("suffix"))
+
+
+def reputation_sql(deviations: float = DEVIATIONS, limit: float = LIMIT, named: str = LAST_LABELS) -> str:
     """CTEs that end in `reputation` (host, mean, bound, judged)."""
     levels = {f"strength_{i}": _STRENGTH.format(i=i, view=v, g=g) for i, (v, g) in enumerate((("suffixes", "g"), ("domains", "g"), ("named", "good")))}
-    return REPUTATION_SQL.format(**levels, deviations=f"CAST({deviations} AS DOUBLE)", limit=f"CAST({limit} AS DOUBLE)")
+    return REPUTATION_SQL.format(**levels, named=named, deviations=f"CAST({deviations} AS DOUBLE)", limit=f"CAST({limit} AS DOUBLE)")
 
 
-def judge(outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, deviations: float = DEVIATIONS, limit: float = LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict, bound from (page_id, url, good)."""
+def judge(outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, deviations: float = DEVIATIONS, limit: float = LIMIT, suffixes: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, bound from (page_id, url, good); suffixes, (suffix), if there is a table of them."""
     spark = outcomes.sparkSession
     host, path = url_parts("url")
     placed = cut(outcomes.select("page_id", host.alias("host"), path.alias("path"), "good"))
     hosts = cut(placed.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
-    known = cut(spark.sql(f"WITH hosts AS (SELECT * FROM {{h}}), {reputation_sql(deviations, limit)} SELECT host, bound, judged FROM reputation", h=hosts))
+    named = LAST_LABELS if suffixes is None else "SELECT * FROM hosts"
+    hosts = hosts if suffixes is None else cut(with_suffixes(hosts, suffixes))
+    known = cut(spark.sql(f"WITH hosts AS (SELECT * FROM {{h}}), {reputation_sql(deviations, limit, named)} SELECT host, bound, judged FROM reputation", h=hosts))
     rule, verdict = rule_case(rules)
     return placed.join(small(known), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "judged").alias("verdict"), F.round("bound", 6).alias("bound"))
 

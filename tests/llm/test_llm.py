@@ -197,6 +197,19 @@ def test_urls(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, good int")).isEmpty()
 
 
+def test_a_table_of_suffixes_names_the_registered_domains(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk", 1, 1), ("b.co.uk", 1, 0), ("co.uk", 1, 1), ("uk", 1, 1), ("x.y.com", 2, 1), ("", 1, 1), ("host", 1, 1)], "host string, n long, good long")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filters.with_suffixes(hosts, spark.createDataFrame([("CO.UK",), ("com",), ("co.uk",)], "suffix string")).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "x.y.com": ("y.com", "com"), "": ("", ""), "host": ("host", "host")}
+    bad, good = [f"x://p{i}.bad.co.uk/" for i in range(40)], [f"x://q{i}.good.co.uk/" for i in range(40)]
+    pages = spark.createDataFrame([(i, u, int(u in good)) for i, u in enumerate(bad + good)] + [(99, "x://new.bad.co.uk/", None)], "page_id long, url string, good int")
+    table_ = spark.createDataFrame([("co.uk",)], "suffix string")
+    by = {r["page_id"]: r for r in url_filters.judge(pages, suffixes=table_).collect()}
+    plain = {r["page_id"]: r for r in url_filters.judge(pages).collect()}
+    assert len(by) == 81 and by[99]["verdict"] == "block" and by[50]["verdict"] == "allow"
+    assert by[99]["bound"] < plain[99]["bound"]  # without the table all of co.uk is one domain
+
+
 # 5
 def test_fingerprints(spark, docs, empty):
     import unicodedata
