@@ -137,7 +137,40 @@ def test_every_stage_takes_an_empty_table(spark, docs, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).isEmpty()
 
 
+def test_texts_of_a_megabyte_go_whole_through_every_stage(spark, sf_dir):
+    long = prose(500, 200_000)
+    holds = prose(501, 150_000) + " " + ITEM + " " + prose(502, 100_000) + " write to ann@mail.example.com"
+    assert min(len(long), len(holds)) > 1_000_000
+    d = spark.createDataFrame([row(i, t) for i, t in ((1, long), (2, long + " one more"), (3, holds), (4, prose(503, 60)))], SCHEMA).repartition(2).persist()
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(corpus_pipeline.near_duplicates(spark, d, sf_dir)) == [1, 3, 4]
+    assert ids(corpus_pipeline.decontaminate(spark, d, sf_dir)) == [1, 2, 4]
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_personal_data(spark, d, sf_dir).select("doc_id", "text").collect()}
+    assert clean == {1: long, 2: long + " one more", 3: holds.replace("ann@mail.example.com", "<EMAIL>"), 4: prose(503, 60)}
+    sizes = {r["doc_id"]: r["size"] for r in corpus_pipeline.mix(spark, d, sf_dir).select("doc_id", "size").collect()}
+    assert sizes and all(n == len(spaced(clean[i])) for i, n in sizes.items() if i != 3)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(d, language.fit(d)).collect()}
+    assert set(got.values()) <= {"en", "und"} and len(got) == 4
+    model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert {r["doc_id"]: 0 <= r["score"] <= 1 for r in quality.score(d, model).collect()} == dict.fromkeys((1, 2, 3, 4), True)
+
+
 # The learned operators against forward passes of their own.
+def test_every_quality_score_is_the_models(spark, sf_dir):
+    """Scores of the table, in pieces of many texts, against each text described alone and passed through the model."""
+    every = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.fit(every, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    want = Counter()
+    for r in every.collect():
+        data = np.frombuffer((r["text"] or "").encode(), dtype=np.uint8)
+        x = quality.describe(data, np.array([0, len(data)]))[0].astype(np.float64)
+        z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+        z[len(quality.NAMES) :] *= quality.WORD_WEIGHT
+        score = 1 / (1 + np.exp(-np.clip((z @ model["w"] - model["threshold"]) * model["slope"], -30, 30)))
+        want[r["doc_id"], round(float(score), 5), int(score >= 0.5)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 5), r["predicted"]) for r in quality.score(every, model).collect()) == want
+
+
 def test_language_scores_by_hand(spark, docs):
     texts = ["The river, É über!", "le fleuve et les ponts", "", "½ ² Ⅷ", None, "x", "The river, É über!"] + [f"the old stone bridge {i} stands" for i in range(30)] + [f"le vieux pont {i} de pierre" for i in range(30)]
     langs = ["en", "fr", "en", None, "en", None, "en"] + ["en"] * 30 + ["fr"] * 30
