@@ -105,7 +105,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, fine: bool = False) -> DataFrame:
-    """(node, shingles binary, fine) of the rows that ids, (node, doc_id, text_hash, d1), name: the sorted shingle hashes, the fine sketch or null."""
+    """(node, shingles array<long>, fine) of the rows that ids, (node, doc_id, text_hash, d1), name: the sorted shingle hashes, the fine sketch or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,33 +113,19 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, fine: bool = False) -> Da
                 sets = shingle_sets(data, offsets, k)
                 own = pa.array(set_digests(sets)[:, 0] == batch.column(2).slice(lo, hi - lo).to_numpy())
                 maps = list_array(odd_sketches(np.stack([minima(s, FINE_SAMPLE) for s in sets]), FINE_BITS)) if fine else pa.nulls(hi - lo, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()), maps], ["node", "shingles", "fine"]).filter(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), maps], ["node", "shingles", "fine"]).filter(own)
 
     chosen = rows_of(docs).join(ids, ["doc_id", "text_hash"]).select("node", "text", "d1")
-    return chosen.mapInArrow(run, "node long, shingles binary, fine array<long>")
+    return chosen.mapInArrow(run, "node long, shingles array<long>, fine array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
+    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets, which are compared inside the join."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    sizes = 100 * F.least(F.size("p"), F.size("q")) >= percent * F.greatest(F.size("p"), F.size("q"))
+    shared = F.size(F.array_intersect("p", "q"))
+    return pairs.join(x, "a").join(y, "b").where(sizes).where((100 + percent) * shared >= percent * (F.size("p") + F.size("q"))).select("a", "b")
 
 
 def _apart(x: str, y: str, bits: int = SKETCH_BITS) -> str:
