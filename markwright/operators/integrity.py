@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from markwright.functions import chars as C
 from markwright.functions.text import trim_space
-from markwright.sources.files import normal_path
+from markwright.operators.order import small
+from markwright.sources.files import cut, normal_path
 
 # Fixed values.
 OCR_STATUSES = ("not-requested", "requested", "ok", "failed")
@@ -51,6 +52,56 @@ def file_set_delta(bound: DataFrame, actual: DataFrame, keys: Sequence[str] = ("
     return joined.select(*keys, F.when(F.col("in_bound").isNull(), "actual").otherwise("bound").alias("side"))
 
 
+def unequal_branches(entries: DataFrame, files: DataFrame, keys: Sequence[str] = ("manifest_id", "path"), values: Sequence[str] = ("bytes", "sha256"), leaf: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(entries, files): the rows of both sides that lie in branches in which the sides differ.
+
+    The last of the keys is a path. Its branches are the folders within the other keys, and below a folder buckets of some
+    `leaf` paths by hash. A branch's digest is a sum over its rows' hashes that does not depend on their order; entries count
+    for it and files against it, so that one aggregation, most of which is done before its shuffle, tells which branches are
+    equal. Rows of those are never shuffled. Both sides must have the values as well; keys should occur once a side: a branch
+    that holds the same rows on both sides is equal, whether or not keys repeat. A branch with a null key counts as unequal.
+    """
+    *scope, path = keys
+    by = [f"__by{i}" for i in range(len(scope))] + ["__folder"]
+    same = lambda other: [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in by]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns({**{c: F.col(k) for c, k in zip(by, scope, strict=False)}, "__folder": F.regexp_extract(path, r"(?s)\A(.*)/", 1), "__hash": F.xxhash64(path)})
+
+    def digest(df: DataFrame, side: int) -> DataFrame:
+        parts = [c for k in (*keys, *values) for c in (F.col(k).cast("string"), F.col(k).isNull())]
+        wide = [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+        # Halves, so that a sum of them holds for 2**31 rows.
+        halves = [h for w in wide for h in (F.call_function("shiftright", w, F.lit(32)), w.bitwiseAND(F.lit(0xFFFFFFFF)))]
+        unkeyed = F.greatest(*(F.col(k).isNull() for k in keys))
+        return placed(df).select(*by, "__hash", unkeyed.alias("__unkeyed"), F.lit(side).cast("long").alias("__d0"), *((h * side).alias(f"__d{i + 1}") for i, h in enumerate(halves)))
+
+    rows = digest(entries, 1).unionByName(digest(files, -1))
+    sums = [f"__d{i}" for i in range(5)]
+    differ = " OR ".join(["__unkeyed", *(f"{c} <> 0" for c in sums)])
+
+    def differing(df: DataFrame, *cols: str) -> DataFrame:
+        return df.groupBy(*cols).agg(*(F.sum(c).alias(c) for c in sums), F.max("__unkeyed").alias("__unkeyed"), F.count("*").alias("__n")).where(differ)
+
+    fan = F.ceil(F.col("__n") / (2 * leaf)).cast("long").alias("__fan")
+    folders = cut(differing(rows, *by).select(*(F.col(c).alias(f"f{c}") for c in by), fan))
+    bucket = F.pmod(F.coalesce("__hash", F.lit(0)), "__fan").alias("__bucket")
+    inside = lambda df: df.join(small(folders), same("f")).select(*(c for c in df.columns), bucket)
+    low = cut(differing(inside(rows), *by, "__bucket").select(*(F.col(c).alias(f"b{c}") for c in by), F.col("__bucket").alias("b__bucket")))
+    unequal = lambda df: inside(placed(df)).join(small(low), [*same("b"), F.col("__bucket") == F.col("b__bucket")], "left_semi").select(*df.columns)
+    return unequal(entries), unequal(files)
+
+
+def reconcile(entries: DataFrame, files: DataFrame, keys: Sequence[str] = ("manifest_id", "path"), leaf: int = 64) -> DataFrame:
+    """(keys..., error): missing, bytes and sha256 as verify_integrity has them, and undeclared, from the unequal branches only.
+
+    For two large sides that mostly agree; keys occur once a side. Missing rows are the stale entries, and with the undeclared
+    ones both differences of the sets.
+    """
+    e, f = unequal_branches(entries, files, keys, leaf=leaf)
+    return verify_integrity(e, f, keys).unionByName(undeclared_files(e, f, keys).withColumn("error", F.lit("undeclared")))
+
+
 def path_collisions(inputs: DataFrame, outputs: DataFrame, run: str = "run_id", fold_case: bool = True) -> DataFrame:
     """Outputs (run, path) that would overwrite an input of their run."""
     key = F.lower("path") if fold_case else F.col("path")

@@ -94,10 +94,13 @@ def math_segments(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     token = "@@MATH@@"
     first, second, third = r"(?s)\$\$(.+?)\$\$", r"(?s)\\\[(.+?)\\\]", r"(?s)(\A|[^\\])\$(.+?)\$"
     after_first = F.regexp_replace("text", first, token)
-    after_second = F.regexp_replace(after_first, second, token)
+    # Past the last closing bracket no opening one has a partner; each would be looked for up to the end.
+    rest = F.substring_index(after_first, r"\]", -1)
+    closed = F.left(after_first, F.length(after_first) - F.length(rest))
+    after_second = F.concat(F.regexp_replace(closed, second, token), rest)
 
     def rows(text: Column | str, pattern: str, group: int, mode: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda t: F.struct(F.lit(mode).alias("mode"), trim_space(t).alias("tex")))
 
-    found = F.concat(rows("text", first, 1, "display"), rows(after_first, second, 1, "display"), rows(after_second, third, 2, "inline"))
+    found = F.concat(rows("text", first, 1, "display"), rows(closed, second, 1, "display"), rows(after_second, third, 2, "inline"))
     return docs.select(key, F.posexplode(found).alias("i", "m")).select(key, (F.col("i") + 1).alias("seq"), "m.mode", "m.tex")

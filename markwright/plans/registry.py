@@ -187,6 +187,32 @@ def _(spark, d):
     return integrity.check_manifest_fields(_manifests(spark, d), outs)
 
 
+_REVIEWED = "doc_id % 3 = 0 AND doc_id % 59 <> 0"
+_REVIEW_RULES = [
+    ("review", "doc_id % 59 = 0"), ("status.review_artifact_ready without directory", f"{_REVIEWED} AND doc_id % 4 = 0"), ("status.review_artifact_ready without manifest", f"{_REVIEWED} AND doc_id % 5 = 0"),
+    ("status.review_artifact_ready", "doc_id % 61 = 0 AND doc_id % 3 <> 0"),
+]
+
+
+@query(
+    "l18_review_artifacts",
+    ctes("manifests") + ", outs AS (SELECT concat('f/', doc_id, '.pdf') AS path FROM documents WHERE doc_id % 6 <> 0) " + " UNION ALL ".join([f"SELECT manifest_id, '{e}' AS error FROM manifests WHERE {w}" for e, w in _FIELD_RULES] + [f"SELECT doc_id, '{e}' FROM documents WHERE {w}" for e, w in _REVIEW_RULES]),
+)
+def _(spark, d):
+    """Manifests of which some kept review artifacts, in folders of which some are gone, or have lost their manifest."""
+    i = F.col("manifest_id")
+    folder = F.concat(F.lit("r/"), i.cast("string"))
+    ready = F.when(i % 3 == 0, True).when(i % 61 != 0, False)
+    kept = _manifests(spark, d).withColumns({
+        "status": F.col("status").withField("review_artifact_ready", ready),
+        "review": F.when(i % 59 != 0, F.struct(folder.alias("output_dir"), F.concat(folder, F.lit("/manifest.json")).alias("manifest_path"))),
+    })
+    docs = table(spark, d, "documents")
+    named = lambda where, head, tail, is_dir: docs.where(where).select(F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit(tail)).alias("path"), F.lit(is_dir).alias("is_dir"))
+    there = named("doc_id % 6 <> 0", "f/", ".pdf", False).union(named("doc_id % 4 <> 0", "r/", "", True)).union(named("doc_id % 5 <> 0", "r/", "/manifest.json", False))
+    return integrity.check_manifest_fields(kept, there)
+
+
 CONTRACT = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 5, "maximum": 90, "not": {"const": 42}}}, "additionalProperties": False}
 
 
@@ -405,6 +431,15 @@ def _(spark, d):
     return integrity.file_set_delta(*_files(spark, d))
 
 
+@query(
+    "d26_reconcile",
+    f"{FILES} SELECT manifest_id, path, 'missing' AS error FROM file_entries e ANTI JOIN file_state s {KEYS} UNION ALL SELECT manifest_id, path, 'bytes' FROM file_entries e JOIN file_state s {KEYS} WHERE e.bytes <> s.bytes UNION ALL SELECT manifest_id, path, 'sha256' FROM file_entries e JOIN file_state s {KEYS} WHERE e.sha256 <> s.sha256 UNION ALL SELECT manifest_id, path, 'undeclared' FROM file_state ANTI JOIN file_entries {KEYS}",
+)
+def _(spark, d):
+    """All four reports at once, from the branches whose digests differ; one file in ten differs here, so that leaves are small."""
+    return integrity.reconcile(*_files(spark, d), leaf=4)
+
+
 @query(
     "d22_snapshot_consistency",
     f"""{ctes('manifests')}, snaps AS (SELECT DISTINCT concat('snap/', doc_id % 10, '.json') AS path, concat('s', doc_id % 10) AS snapshot_id FROM documents), j AS (SELECT m.*, s.path AS found, s.snapshot_id AS real_id FROM manifests m LEFT JOIN snaps s ON m.snapshot_path = s.path)

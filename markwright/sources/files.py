@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import quote, urlsplit
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +35,42 @@ def read_json_documents(spark: SparkSession, glob: str, schema: T.StructType | s
     return parsed.select("path", "document", F.when(F.col("document").isNull(), F.concat(F.lit("unreadable JSON: "), "path")).alias("issue"))
 
 
-def file_receipts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of every file under a directory; contents are dropped in the same projection."""
+#: Larger files are hashed as a stream, in blocks of this many bytes.
+WHOLE, BLOCK = 64 << 20, 4 << 20
+
+
+def _hash_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            local = urlsplit(path).scheme in ("", "file")
+            system, inner = (fs.LocalFileSystem(), path.removeprefix("file:")) if local else fs.FileSystem.from_uri(quote(path, safe="/:@"))
+            n, digest = 0, hashlib.sha256()
+            with system.open_input_stream(inner) as stream:
+                while block := stream.read(BLOCK):
+                    n += len(block)
+                    digest.update(block)
+            yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [n], "sha256": [digest.hexdigest()]})
+
+
+def file_receipts(spark: SparkSession, root: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """(path, bytes, sha256) of every file under a directory, of any size.
+
+    Spark lists the files. Those of up to `whole` bytes are hashed by its built-ins, contents dropped in the same projection;
+    larger ones, which would not fit into a row, are dealt by path and read as a stream of blocks by the task that has them.
+    Those need a file system that Arrow can open: local, HDFS, S3, GCS. Spark's scans pass over empty files; they are what its
+    listing has beside, which is fetched only if it has more files than the scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = files.where(F.col("length") <= whole).select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path").repartition("path")
+    receipts = rows.unionByName(large.mapInArrow(_hash_streams, "path string, bytes long, sha256 string"))
+    if len(files._jdf.inputFiles()) == files.count():
+        return receipts
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "value string")
+    # The listing's names are encoded, and write local paths with three slashes.
+    listed = listed.select(F.regexp_replace(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))), r"\Afile:///", "file:/").alias("path"))
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.lit(hashlib.sha256().hexdigest()).alias("sha256"))
+    return receipts.unionByName(empty)
 
 
 def text_receipts(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -295,6 +295,70 @@ def test_integrity_mutations(spark):
         assert [r["error"] for r in got] == [error]
 
 
+def test_reconcile_joins_unequal_branches_only(spark):
+    schema = "manifest_id string, path string, bytes long, sha256 string"
+    row = lambda i: (f"m{i % 2}", f"d{i % 7}/{'flat' if i % 3 else i % 50}/f{i}", i, str(i))
+    state = {i: row(i) for i in range(20_000)}
+    declared = dict(state)
+    want = set()
+    for i, (error, change) in {11: ("missing", None), 4_000: ("bytes", 2), 9_001: ("sha256", 3), 15_555: ("undeclared", None)}.items():
+        want.add((*state[i][:2], error))
+        if change:
+            bad = list(state[i])
+            bad[change] = -1 if change == 2 else "bad"
+            declared[i] = tuple(bad)
+        else:
+            del (state if error == "missing" else declared)[i]
+    e = spark.createDataFrame(list(declared.values()), schema)
+    f = spark.createDataFrame(list(state.values())[::-1], schema)
+    assert {tuple(r) for r in integrity.reconcile(e, f).collect()} == want
+    left, right = integrity.unequal_branches(e, f)
+    assert left.columns == e.columns and left.count() + right.count() < 0.03 * 40_000
+    assert integrity.reconcile(e, e).isEmpty() and integrity.reconcile(e.limit(0), f.limit(0)).isEmpty()
+    assert integrity.reconcile(e.limit(0), f).where("error = 'undeclared'").count() == len(state)
+
+
+def test_reconcile_with_nulls(spark):
+    """Null keys never meet, as in the plain join; null values break no rule; changes that a plain exclusive or would hide are found."""
+    schema = "manifest_id string, path string, bytes long, sha256 string"
+    e = spark.createDataFrame([(None, "a/b", 1, "x"), ("m", None, 1, "x"), ("m", "a/b", None, "x"), ("m", "c", 5, None), ("n", "t", 1, "1")], schema)
+    f = spark.createDataFrame([(None, "a/b", 1, "x"), ("m", None, 1, "x"), ("m", "a/b", 1, "x"), ("m", "c", None, "5"), ("n", "t", 2, "1")], schema)
+    got = sorted(map(str, (tuple(r) for r in integrity.reconcile(e, f).collect())))
+    plain = integrity.verify_integrity(e, f).unionByName(integrity.undeclared_files(e, f).withColumn("error", F.lit("undeclared")))
+    assert got == sorted(map(str, (tuple(r) for r in plain.collect()))) and len(got) == 5
+
+
+def test_unclosed_brackets_cost_their_length(spark):
+    import time
+
+    from markwright.operators import pages
+
+    opened = r"\[ x " * 100_000
+    df = spark.createDataFrame([(1, opened), (2, r"\[a\] $b$ " + opened), (3, r"\[\] x \] \[c")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = [tuple(r) for r in pages.math_segments(df).orderBy("doc_id", "seq").collect()]
+    assert time.perf_counter() - began < 20
+    assert got == [(2, 1, "display", "a"), (2, 2, "inline", "b"), (3, 1, "display", r"\] x")]
+
+
+def test_receipts_of_files_larger_than_a_row(spark, tmp_path):
+    """A sparse file beyond 2 GB, which no row can hold, beside small ones; names with spaces and percent signs."""
+    size = (1 << 31) + 4097
+    with open(tmp_path / "big one%.bin", "wb") as out:
+        out.seek(size - 3)
+        out.write(b"end")
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "no+thing 5%.bin").write_bytes(b"")
+    want = hashlib.sha256()
+    for _ in range((size - 3) // (1 << 20)):
+        want.update(bytes(1 << 20))
+    want.update(bytes((size - 3) % (1 << 20)) + b"end")
+    got = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in files.file_receipts(spark, str(tmp_path)).collect()}
+    assert got == {"big one%.bin": (size, want.hexdigest()), "small.bin": (3, hashlib.sha256(b"abc").hexdigest()), "empty.bin": (0, hashlib.sha256(b"").hexdigest()), "no+thing 5%.bin": (0, hashlib.sha256(b"").hexdigest())}
+    assert {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in files.file_receipts(spark, str(tmp_path), "*l*.bin", whole=0).collect()} == {k: got[k][1] for k in ("small.bin",)}
+
+
 def test_layers(spark):
     entries = spark.createDataFrame([("a", "x.y", "1"), ("a", "z", "1"), ("b", "x", "2"), ("c", "x.w", "3"), ("l1", "q", "4"), ("l2", "r", "5")], "profile_key string, path string, value string")
     parents = spark.createDataFrame([("b", "a", 1), ("c", "b", 1), ("l1", "l2", 1), ("l2", "l1", 1), ("c", "gone", 2)], "profile_key string, parent string, ord int")
