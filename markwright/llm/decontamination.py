@@ -6,6 +6,7 @@ shingles n. An item's MinHash sketch is its smallest shingle hashes; in a partit
 floor((1 - threshold) * n) + 1 of them, since a document that holds the threshold share of an item's shingles misses at
 most floor((1 - threshold) * n), and so holds at least one of the sketch. A document's shingle hashes are looked up in
 the sketches, which leaves few candidates and loses none; they are confirmed by containment of the shingles themselves.
+Sketches within SKETCH_ROWS rows are broadcast; of more, a bitmap is, and only shingles that it lets through are shuffled.
 
 Shingles are sequences of `k` words with A-Z in lower case; an item with fewer words is one shingle of all its words.
 
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markwright.llm.common import cut, small
+from markwright.llm.common import BROADCAST_ROWS, cut, small
 
 SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -71,6 +72,38 @@ def sketches(items: DataFrame, k: int, threshold: float) -> DataFrame:
     return items.select("item_id", "m", F.explode(F.slice(hashed, F.lit(1), needed)).alias("hash"))
 
 
+#: Beyond this many rows of sketches they are not broadcast; a bitmap of their hashes is.
+SKETCH_ROWS = BROADCAST_ROWS
+
+#: A page of the bitmap has 2**PAGE numbers of 64 bits; a bitmap has 2**MOST bits (64 MB) at most.
+PAGE, MOST = 10, 29
+
+
+def _place(h: Column, bits: int) -> tuple[Column, Column, Column]:
+    """Page, number within the page and bit of a hash in a bitmap of 2**bits bits."""
+    right = lambda c, by: F.call_function("shiftright", c, F.lit(by))
+    at = h.bitwiseAND(F.lit((1 << bits) - 1))
+    word = right(at, 6)
+    return right(word, PAGE).cast("int"), word.bitwiseAND(F.lit((1 << PAGE) - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def with_sketch_hash(found: DataFrame, sketch: DataFrame, n_sketch: int) -> DataFrame:
+    """The rows of `found` whose hash may be in the sketches: all of those that are, and about one in 16 of the others.
+
+    The bitmap has some 16 bits for each row of the sketches, until it has 64 MB; from there on it lets more through, but
+    loses none. Its pages are joined by broadcast, so that shingles are left out before they are shuffled.
+    """
+    bits = min(MOST, max(PAGE + 6, (16 * n_sketch - 1).bit_length()))
+    page, word, bit = _place(F.col("hash"), bits)
+    marked = sketch.select(page.alias("page"), word.alias("word"), bit.alias("bit")).groupBy("page", "word").agg(F.bit_or("bit").alias("bit"))
+    empty = found.sparkSession.range(1 << (bits - PAGE - 6)).select(F.col("id").cast("int").alias("page"), F.explode(F.sequence(F.lit(0), F.lit((1 << PAGE) - 1))).alias("word"), F.lit(0).cast("long").alias("bit"))
+    full = marked.unionByName(empty).groupBy("page", "word").agg(F.bit_or("bit").alias("bit"))
+    pages = full.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bit"))), lambda w: w["bit"]).alias("__words"))
+    pages = cut(pages.select(F.col("page").alias("__page"), "__words"))
+    held = (F.col("__page") == page) & (F.get("__words", word).bitwiseAND(bit) != 0)
+    return found.join(F.broadcast(pages), held).select(*found.columns)
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_item (distinct shingles of the item), n_shared, containment, for containments from the threshold."""
     items = cut(item_table(benchmark, k))
@@ -83,7 +116,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     candidates = None
     for m in lengths:
         found = worded.select("doc_id", F.explode(shingle_hashes(F.col("w"), m)).alias("hash"))
-        found = found.join(small(sketch.where(F.col("m") == m).select("item_id", "hash"), n_sketch), "hash").select("doc_id", "item_id")
+        own = sketch.where(F.col("m") == m).select("item_id", "hash")
+        if n_sketch > SKETCH_ROWS:
+            found = with_sketch_hash(found, own, n_sketch).distinct()
+        found = found.join(small(own, n_sketch, SKETCH_ROWS), "hash").select("doc_id", "item_id")
         candidates = found if candidates is None else candidates.union(found)
     if candidates is None:
         return base.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))

@@ -252,7 +252,7 @@ def test_fingerprints_of_repeated_ids(spark):
 
 
 # 6
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     items = [(1, LONG[100:300]), (2, "one two"), (3, None), (4, prose(77, 40)), (5, prose(2, 80)), (5, prose(2, 80))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
@@ -266,11 +266,23 @@ def test_decontamination(spark, docs):
                 want[r["doc_id"], i] = len(s)
     got = {(r["doc_id"], r["item_id"]): r["n_item"] for r in decontamination.find_items(docs, bench).collect()}
     assert got == want and len(want) >= 5
+    with monkeypatch.context() as m:
+        m.setattr(decontamination, "SKETCH_ROWS", 0)
+        assert {(r["doc_id"], r["item_id"]): r["n_item"] for r in decontamination.find_items(docs, bench).collect()} == want
     kept = decontamination.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in want}
     assert decontamination.find_items(docs, bench.limit(0)).isEmpty() and decontamination.find_items(docs.limit(0), bench).isEmpty()
 
 
+def test_bitmap_of_sketches_loses_none(spark):
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("hash"), "id")
+    for n in (1, 700, 5000):
+        sketch = hashes.where(F.col("id") < n).select("hash")
+        kept = decontamination.with_sketch_hash(hashes, sketch, n)
+        ids = {r["id"] for r in kept.collect()}
+        assert kept.columns == hashes.columns and ids >= set(range(n)) and len(ids) - n <= 0.12 * (5000 - n)
+
+
 # 7
 def true_components(rows, k, percent):
     sets = {}
