@@ -5,8 +5,8 @@ wrote for itself is removed then. A stage decides on all rows that the stage bef
 documents; the last adds what the mix takes.
 
 Defined cases, for every stage: a null text is an empty one to decide on and stays null; rows without a doc_id are judged
-by their text, except that near_duplicates keeps them all; of rows with equal doc_id and text near_duplicates keeps one,
-and rows that share an id but not a text are documents of their own, except that near_duplicates judges them together;
+by their text, except that near_duplicates keeps them all; of rows with equal doc_id and text near_duplicates keeps one;
+rows that share an id but not a text are documents of their own;
 extra columns stay, whatever their names, until the mix puts its own in place of namesakes; a table or label table without rows is let through.
 """
 
