@@ -268,3 +268,72 @@ def test_planted_personal_data_is_found_and_the_rest_left(spark):
     got = {r["doc_id"]: r["n_spans"] for r in pii.counts_and_digests(pii.find(d)).collect()}
     assert sum(got[i] > 0 for i in range(len(planted))) >= 0.9 * len(planted)
     assert all(got[i] == 0 for i in range(len(planted), len(got)))
+
+
+def described_by_hand(texts):
+    return np.stack([quality.describe(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]).astype(np.float64)
+
+
+def test_quality_learns_from_every_label(spark):
+    """More labels than a driver's sample held: means, scales and threshold are those of all rows that may be learned from."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{'aeiou'[i % 5] * (i % 7 + 1)}{i}" + ("!" if i % 9 == 0 else "") for i in range(300)])
+    kinds = rng.integers(0, 4, 12_000)
+    rows = [(i, " ".join(words[(rng.integers(0, 120 + 40 * int(k), 12)) % 300]), int(k > 0)) for i, k in enumerate(kinds.tolist())]
+    every = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    docs, labels = every.select("doc_id", "text"), every.select("doc_id", "quality")
+    model = quality.fit(docs, labels)
+    got = quality.score(docs, model).join(labels, "doc_id").where("NOT held_out").collect()
+    learned = [rows[r["doc_id"]] for r in got]
+    x = described_by_hand([t for _, t, _ in learned])
+    assert len(got) > 7000 and np.allclose(model["mean"], x.mean(axis=0), atol=1e-5) and np.allclose(model["scale"], x.std(axis=0) + 1e-3, atol=1e-4)
+    assert sum(r["score"] < 0.5 for r in got) == sum(r["quality"] == 0 for r in got)
+
+
+def test_quality_weighs_all_pairs(spark, sf_dir):
+    """The same rounds over every pair written out."""
+    every, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    noise = labels.select("doc_id", F.when(F.col("doc_id") % 10 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
+    model = quality.fit(every, noise)
+    known = every.join(noise, "doc_id").where("crc32(cast(doc_id as string)) % 3 <> 1").collect()
+    z = quality.scaled(described_by_hand([r["text"] for r in known]), model)
+    y = np.array([r["quality"] for r in known])
+    diff = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+    curve = diff.T @ diff / len(diff) / 4 + quality.DECAY * np.eye(z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(quality.ROUNDS):
+        w = w + np.linalg.solve(curve, (diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) - quality.DECAY * w)
+    assert np.abs(model["w"] - w).max() < 0.01 * np.abs(w).max()
+    assert np.isclose(model["slope"], 4 / (z @ w).std(), rtol=0.01)
+
+
+def test_quality_model_does_not_depend_on_how_rows_are_dealt(spark, sf_dir, monkeypatch):
+    every, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = quality.fit(every, labels)
+    other = quality.fit(every.repartition(7), labels.repartition(3))
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    shuffled = quality.fit(every, labels)
+    for model in (other, shuffled):
+        assert all(np.array_equal(want[k], model[k]) for k in want)
+
+
+def test_repeated_labels_and_ids_count_each(spark, sf_dir):
+    """Labels that come three times over are the model of once; a document in two rows is learned from twice."""
+    every, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id >= 100"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = quality.fit(every, labels)
+    thrice = quality.fit(every, labels.union(labels).union(labels))
+    assert np.allclose(want["w"], thrice["w"], atol=1e-4) and np.isclose(want["threshold"], thrice["threshold"], atol=1e-3)
+    twice = quality.fit(every.union(every.where("doc_id = 101")), labels)
+    again = quality.fit(every, labels.union(labels.where("doc_id = 101")))
+    assert all(np.array_equal(twice[k], again[k]) for k in twice) and not np.array_equal(want["mean"], twice["mean"])
+
+
+@pytest.mark.parametrize("spread", [1, 50, 10**9])
+def test_threshold_is_the_exact_rank(spark, monkeypatch, spread):
+    monkeypatch.setattr(quality, "SPANS", 4)
+    values = sorted(np.round(np.random.default_rng(spread).normal(size=200) * spread).tolist() + [1e-300, 3e-300, 1e12])
+    counts = [1 + i % 3 for i in range(len(values))]
+    line = [v for v, n in zip(values, counts, strict=True) for _ in range(n)]
+    scores = spark.createDataFrame(list(zip(values, counts, strict=True)), "score double, n long").persist()
+    for below in (1, 2, 100, 201, len(line) - 1):
+        assert quality.split_at(scores, below) == (line[below - 1], line[below])
