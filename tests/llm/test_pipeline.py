@@ -312,7 +312,12 @@ def test_quality_model_does_not_depend_on_how_rows_are_dealt(spark, sf_dir, monk
     want = quality.fit(every, labels)
     other = quality.fit(every.repartition(7), labels.repartition(3))
     monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
-    shuffled = quality.fit(every, labels)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = quality.fit(every, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     for model in (other, shuffled):
         assert all(np.array_equal(want[k], model[k]) for k in want)
 
