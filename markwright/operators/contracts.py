@@ -6,10 +6,14 @@ false, items, uniqueItems, minItems, maxItems, anyOf, oneOf, not and local $ref.
 node. additionalProperties given as a schema is not checked.
 
 A schema whose references lead back into themselves is followed to the records' own depth. Some levels are compiled in
-one expression; what a record holds below them comes out as rows (record, reference, path, value), level by level, until
-no record goes deeper. Then the levels are judged from the deepest up, each reading the problems of the parts below it, so
-that references under anyOf, oneOf and not count as any other. A reference that leads back to itself without going deeper
-into the value has no meaning and is refused.
+one expression. Where no such reference stands under anyOf, oneOf or not, a record's problems are those of its parts, and
+one aggregate over each record goes from the parts of a level to those of the next. Else what a record holds below comes
+out as rows (record, reference, path, value), level by level, until no record goes deeper; then the levels are judged from
+the deepest up, each reading the problems of the parts below it. A reference that leads back to itself without going
+deeper into the value has no meaning and is refused.
+
+Spark computes an expression again wherever it stands, and a part taken out of a variant is built anew, so members of
+members are found by one path from a value that is bound, and what is used more than once is bound by let().
 """
 
 from __future__ import annotations
@@ -33,34 +37,86 @@ def _none() -> Column:
     return F.array().cast(PROBLEM)
 
 
+def _joined(found: list[Column]) -> Column:
+    """Arrays of problems as one; concat() takes several times as long inside lambdas, where Spark generates no code."""
+    return found[0] if len(found) == 1 else F.flatten(F.array(*found)) if found else _none()
+
+
 def _problem(condition: Column, path: Column, message: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(F.struct(path.alias("path"), F.lit(message).alias("message")))).otherwise(_none())
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def kind_of(v: Column) -> Column:
     """The JSON type of a variant: object, array, string, integer (also 3.0), number, boolean, null."""
-    s = F.schema_of_variant(v)
     number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(v.isNull() | (s == "VOID"), "null").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
+    named = lambda s: (
+        F.when(s == "BIGINT", "integer").when(v.isNull() | (s == "VOID"), "null").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
         .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(number == F.floor(number), "integer").otherwise("number")
     )
+    return let(F.schema_of_variant(v), named)
 
 
-def _is(v: Column, wanted: str) -> Column:
-    return kind_of(v).isin("integer", "number") if wanted == "number" else kind_of(v) == wanted
+def _is(kind: Column, wanted: str) -> Column:
+    return kind.isin("integer", "number") if wanted == "number" else kind == wanted
 
 
-def _equals(v: Column, value: Any) -> Column:
+def _equals(v: Column, kind: Column, value: Any) -> Column:
     if isinstance(value, bool):
-        return _is(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
+        return _is(kind, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
     if isinstance(value, int | float):
-        return _is(v, "number") & (F.try_variant_get(v, "$", "double") == float(value))
+        return _is(kind, "number") & (F.try_variant_get(v, "$", "double") == float(value))
     if isinstance(value, str):
-        return _is(v, "string") & (F.try_variant_get(v, "$", "string") == value)
+        return _is(kind, "string") & (F.try_variant_get(v, "$", "string") == value)
     return F.to_json(v) == json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
+def step(key: str) -> str | None:
+    """A key as a step of a variant's path; None if no form of steps can hold it."""
+    forms = (("['", "']", "'?"), ('["', '"]', '"?'), (".", "", ".["))
+    return next((f"{head}{key}{tail}" for head, tail, barred in forms if key and not set(key) & set(barred)), None)
+
+
+class Place:
+    """Where a value stands in a record: keys lead to it from a variant; its path for problems."""
+
+    def __init__(self, base: Column, path: Column, keys: tuple[str, ...] = ()):
+        self.base, self.origin, self.keys = base, path, keys
+
+    @property
+    def path(self) -> Column:
+        return F.concat(self.origin, F.lit("".join(f"/{key}" for key in self.keys))) if self.keys else self.origin
+
+    def get(self, kind: str) -> Column:
+        """The value as a type; null if it is not of it or not there, but a JSON null is a variant."""
+        steps = [step(key) for key in self.keys]
+        if None in steps:
+            raise ValueError(f"no path of a variant leads to the key {self.keys[steps.index(None)]!r}")
+        return F.try_variant_get(self.base, "$" + "".join(steps), kind)
+
+    @property
+    def value(self) -> Column:
+        return self.get("variant") if self.keys else self.base
+
+    @property
+    def is_object(self) -> Column:
+        return self.get("struct<>").isNotNull()
+
+    def member(self, key: str) -> Place:
+        return Place(self.base, self.origin, (*self.keys, key))
+
+    def bound(self, use: Callable[[Place], Column]) -> Column:
+        """use() of the place, with the value taken out once."""
+        return let(self.value, lambda x: use(Place(x, self.path)))
+
+    def item(self, x: Column, i: Column) -> Place:
+        return Place(x, F.concat(self.path, F.lit("/"), i.cast("string")))
+
+
 def target_of(root: dict, ref: str) -> dict:
     target: Any = root
     for part in ref.removeprefix("#").strip("/").split("/"):
@@ -91,38 +147,52 @@ def refs_in(schema: dict, deeper: bool = True) -> set[str]:
     return set().union(*(refs_in(s, deeper) for s in inner))
 
 
-def leading_back(root: dict) -> set[str]:
-    """The references that can come to stand inside themselves."""
+def reached(root: dict, schema: dict, deeper: bool = True) -> set[str]:
+    """The references that a schema comes to, followed far enough."""
+    seen: set[str] = set()
+    todo = refs_in(schema, deeper)
+    while todo:
+        seen |= todo
+        todo = set().union(*(refs_in(target_of(root, r), deeper) for r in todo)) - seen
+    return seen
 
-    def reached(first: str, deeper: bool) -> set[str]:
-        seen: set[str] = set()
-        todo = refs_in(target_of(root, first), deeper)
-        while todo:
-            seen |= todo
-            todo = set().union(*(refs_in(target_of(root, r), deeper) for r in todo)) - seen
-        return seen
 
-    every = refs_in(root) | reached("#", True)
+def leading_back(root: dict) -> set[str]:
+    """The references that can come to stand inside themselves."""
+    every = reached(root, root)
     for ref in every:
-        if ref in reached(ref, False):
+        if ref in reached(root, target_of(root, ref), False):
             raise ValueError(f"{ref} leads back to itself without going deeper into the value")
-    return {ref for ref in every if ref in reached(ref, True)}
+    return {ref for ref in every if ref in reached(root, target_of(root, ref))}
+
+
+def back_in_branches(root: dict, back: set[str]) -> bool:
+    """Whether a reference that leads back stands under anyOf, oneOf or not, or behind a reference there."""
+
+    def found(schema: dict) -> bool:
+        return any(reached(root, b) & back for b in branches(schema)) or any(map(found, parts(schema)))
+
+    return any(map(found, (root, *(target_of(root, ref) for ref in reached(root, root)))))
+
+
+def of_object(schema: dict) -> bool:
+    """Whether a schema is for objects; its items count for nothing then."""
+    return schema.get("type") == "object" or "properties" in schema or "required" in schema
 
 
 class Walk:
-    """How far references are followed in one expression: those that lead back, `times` times; then stop() has the say."""
+    """How far references are followed in one expression: those that lead back, `times` times; then stop() has the say, or what lies there is judged elsewhere."""
 
-    def __init__(self, root: dict, back: set[str], times: int, stop: Callable[[str, Column, Column], Column]):
+    def __init__(self, root: dict, back: set[str], times: int, stop: Callable[[str, Place], Column] | None):
         self.root, self.back, self.times, self.stop = root, back, times, stop
 
     def stops_in(self, schema: dict) -> bool:
         """Whether a schema, followed far enough, refers to what leads back."""
-        seen: set[str] = set()
-        todo = refs_in(schema)
-        while todo:
-            seen |= todo
-            todo = set().union(*(refs_in(target_of(self.root, r)) for r in todo)) - seen
-        return bool(seen & self.back)
+        return bool(reached(self.root, schema) & self.back)
+
+    def silent(self, schema: dict) -> bool:
+        """Whether a schema is a place to stop at that is judged elsewhere."""
+        return self.stop is None and isinstance(self.enter(schema)[0], str)
 
     def enter(self, schema: dict) -> tuple[dict | str, Walk]:
         """The schema behind references, or the reference to stop at, and the walk from there."""
@@ -137,81 +207,45 @@ class Walk:
         return schema, walk
 
 
-def compile_parts(schema: dict, v: Column, path: Column, walk: Walk) -> list[Column]:
+def compile_parts(schema: dict, at: Place, walk: Walk) -> list[Column]:
     """Arrays of the places where the walk stops in a variant: (ref, path, value)."""
     if not walk.stops_in(schema):
         return []
     schema, walk = walk.enter(schema)
     if isinstance(schema, str):
-        return [F.array(F.struct(F.lit(schema).alias("ref"), path.alias("path"), v.alias("value"))).cast(PART)]
-    found = [c for branch in branches(schema) for c in compile_parts(branch, v, path, walk)]
-    keys = F.json_object_keys(F.to_json(v))
+        part = lambda x: F.when(x.isNotNull(), F.array(F.struct(F.lit(schema).alias("ref"), at.path.alias("path"), x.alias("value")))).otherwise(F.array()).cast(PART)
+        return [let(at.value, part)]
+    found = [c for branch in branches(schema) for c in compile_parts(branch, at, walk)]
     for key, s in schema.get("properties", {}).items():
-        inner = compile_parts(s, F.try_variant_get(v, f"$['{key}']", "variant"), F.concat(path, F.lit(f"/{key}")), walk)
-        if inner:
-            found.append(F.when(F.array_contains(keys, key), F.concat(*inner)))
-    if schema.get("items"):
-        places = lambda x, i: F.concat(*compile_parts(schema["items"], x, F.concat(path, F.lit("/"), i.cast("string")), walk))
-        if walk.stops_in(schema["items"]):
-            found.append(F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), places)))
-    none = F.array().cast(PART)
-    return [F.coalesce(c, none) for c in found]
-
-
-def compile_schema(schema: dict, v: Column, path: Column, walk: Walk) -> Column:
-    """The problems of a variant under a schema, as an array."""
+        found += compile_parts(s, at.member(key), walk)
+    if schema.get("items") and not of_object(schema) and walk.stops_in(schema["items"]):
+        each = lambda x, i: F.concat(*compile_parts(schema["items"], at.item(x, i), walk))
+        found.append(F.coalesce(F.flatten(F.transform(at.get("array<variant>"), each)), F.array().cast(PART)))
+    return found
+
+
+def compile_schema(schema: dict, at: Place, walk: Walk) -> Column:
+    """The problems of a value that is there, as an array."""
     schema, walk = walk.enter(schema)
     if isinstance(schema, str):
-        return walk.stop(schema, v, path)
-    sub = lambda s, x, p: compile_schema(s, x, p, walk)
-    fine = lambda s: F.size(sub(s, v, path)) == 0
+        return walk.stop(schema, at) if walk.stop else _none()
+    fine = lambda s: F.size(compile_schema(s, at, walk)) == 0
+
+    def of_kind(ok: Column, found: list[Column], wanted: str) -> Column:
+        wrong = F.concat(F.lit("is of type "), kind_of(at.value), F.lit(f", not {wanted}"))
+        return F.when(ok, F.coalesce(_joined(found), _none())).otherwise(F.array(F.struct(at.path.alias("path"), wrong.alias("message"))))
 
-    found: list[Column] = []
     kind = schema.get("type")
-    if kind == "object" or "properties" in schema or "required" in schema:
-        properties = schema.get("properties", {})
-        keys = F.json_object_keys(F.to_json(v))
-        for key in schema.get("required", []):
-            found.append(_problem(~F.array_contains(keys, key), path, f'lacks "{key}"'))
-        for key, s in properties.items():
-            inner = sub(s, F.try_variant_get(v, f"$['{key}']", "variant"), F.concat(path, F.lit(f"/{key}")))
-            found.append(F.when(F.array_contains(keys, key), inner).otherwise(_none()))
-        if schema.get("additionalProperties") is False:
-            extra = F.array_except(keys, F.array(*map(F.lit, properties)).cast("array<string>"))
-            found.append(F.transform(extra, lambda k: F.struct(path.alias("path"), F.concat(F.lit('has no place for "'), k, F.lit('"')).alias("message"))))
-        kind = "object"
+    if of_object(schema):
+        problems = of_kind(at.is_object, _of_object(schema, at, walk), "object")
     elif kind == "array" or "items" in schema:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        if schema.get("items"):
-            found.append(F.flatten(F.transform(items, lambda x, i: sub(schema["items"], x, F.concat(path, F.lit("/"), i.cast("string"))))))
-        texts = F.transform(items, lambda x: F.coalesce(F.to_json(x), F.lit("null")))
-        if schema.get("uniqueItems") is True:
-            found.append(_problem(F.size(F.array_distinct(texts)) < F.size(texts), path, "items are not unique"))
-        if isinstance(schema.get("minItems"), int):
-            found.append(_problem(F.size(items) < schema["minItems"], path, f"fewer than {schema['minItems']} items"))
-        if isinstance(schema.get("maxItems"), int):
-            found.append(_problem(F.size(items) > schema["maxItems"], path, f"more than {schema['maxItems']} items"))
-        kind = "array"
+        problems = let(at.get("array<variant>"), lambda items: of_kind(items.isNotNull(), _of_array(schema, items, at, walk), "array"))
+    elif kind:
+        problems = let(kind_of(at.value), lambda k: of_kind(_is(k, kind), _of_scalar(schema, k, at), kind))
+    elif _of_scalar(schema, at.value, at):
+        problems = let(kind_of(at.value), lambda k: _joined(_of_scalar(schema, k, at)))
     else:
-        if "enum" in schema:
-            allowed = F.lit(False)
-            for value in schema["enum"]:
-                allowed = allowed | _equals(v, value)
-            found.append(_problem(~allowed, path, "not one of the allowed values"))
-        if "const" in schema:
-            found.append(_problem(~_equals(v, schema["const"]), path, f"not {json.dumps(schema['const'])}"))
-        text, number = F.when(_is(v, "string"), F.try_variant_get(v, "$", "string")), F.when(_is(v, "number"), F.try_variant_get(v, "$", "double"))
-        if isinstance(schema.get("minLength"), int):
-            found.append(_problem(F.length(text) < schema["minLength"], path, f"shorter than {schema['minLength']}"))
-        if isinstance(schema.get("pattern"), str):
-            found.append(_problem(~text.rlike(schema["pattern"]), path, f"does not match {schema['pattern']}"))
-        if "minimum" in schema:
-            found.append(_problem(number < float(schema["minimum"]), path, f"below {schema['minimum']}"))
-        if "maximum" in schema:
-            found.append(_problem(number > float(schema["maximum"]), path, f"above {schema['maximum']}"))
-    problems = F.concat(*found) if found else _none()
-    if kind:
-        problems = F.when(_is(v, kind), F.coalesce(problems, _none())).otherwise(F.array(F.struct(path.alias("path"), F.concat(F.lit("is of type "), kind_of(v), F.lit(f", not {kind}")).alias("message"))))
+        problems = _none()
     for name, message in (("oneOf", "does not match exactly one branch"), ("not", "matches the forbidden schema"), ("anyOf", "matches no branch")):
         if name == "not" and isinstance(schema.get("not"), dict):
             broken = fine(schema["not"])
@@ -222,25 +256,86 @@ def compile_schema(schema: dict, v: Column, path: Column, walk: Walk) -> Column:
             broken = n != 1 if name == "oneOf" else n == 0
         else:
             continue
-        problems = F.when(broken, F.array(F.struct(path.alias("path"), F.lit(message).alias("message")))).otherwise(problems)
+        problems = F.when(broken, F.array(F.struct(at.path.alias("path"), F.lit(message).alias("message")))).otherwise(problems)
     return problems
 
 
+def _of_object(schema: dict, at: Place, walk: Walk) -> list[Column]:
+    properties, required = schema.get("properties", {}), schema.get("required", [])
+    found: list[Column] = []
+    for key in [*properties, *(k for k in required if k not in properties)]:
+        inner, absent = at.member(key), _problem(F.lit(True), at.path, f'lacks "{key}"') if key in required else _none()
+        if key not in properties or walk.silent(properties[key]):
+            if key in required and step(key) is None:
+                found.append(F.when(F.array_contains(F.json_object_keys(F.to_json(at.value)), key), _none()).otherwise(absent))
+            elif key in required:
+                found.append(F.when(inner.is_object | inner.value.isNotNull(), _none()).otherwise(absent))
+        elif isinstance(s := walk.enter(properties[key])[0], dict) and of_object(s):
+            # An object need not be taken out to see that it is there.
+            found.append(F.when(inner.is_object | inner.value.isNotNull(), compile_schema(properties[key], inner, walk)).otherwise(absent))
+        else:
+            found.append(inner.bound(lambda x: F.when(x.value.isNull(), absent).otherwise(compile_schema(properties[key], x, walk))))  # noqa: B023
+    if schema.get("additionalProperties") is False:
+        extra = F.array_except(F.json_object_keys(F.to_json(at.value)), F.array(*map(F.lit, properties)).cast("array<string>"))
+        found.append(F.transform(extra, lambda k: F.struct(at.path.alias("path"), F.concat(F.lit('has no place for "'), k, F.lit('"')).alias("message"))))
+    return found
+
+
+def _of_array(schema: dict, items: Column, at: Place, walk: Walk) -> list[Column]:
+    found: list[Column] = []
+    if schema.get("items") and not walk.silent(schema["items"]):
+        found.append(F.flatten(F.transform(items, lambda x, i: compile_schema(schema["items"], at.item(x, i), walk))))
+    texts = F.transform(items, lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+    if schema.get("uniqueItems") is True:
+        found.append(_problem(F.size(F.array_distinct(texts)) < F.size(texts), at.path, "items are not unique"))
+    if isinstance(schema.get("minItems"), int):
+        found.append(_problem(F.size(items) < schema["minItems"], at.path, f"fewer than {schema['minItems']} items"))
+    if isinstance(schema.get("maxItems"), int):
+        found.append(_problem(F.size(items) > schema["maxItems"], at.path, f"more than {schema['maxItems']} items"))
+    return found
+
+
+def _of_scalar(schema: dict, kind: Column, at: Place) -> list[Column]:
+    v, found = at.value, []
+    if "enum" in schema:
+        allowed = F.lit(False)
+        for value in schema["enum"]:
+            allowed = allowed | _equals(v, kind, value)
+        found.append(_problem(~allowed, at.path, "not one of the allowed values"))
+    if "const" in schema:
+        found.append(_problem(~_equals(v, kind, schema["const"]), at.path, f"not {json.dumps(schema['const'])}"))
+    text, number = F.when(_is(kind, "string"), F.try_variant_get(v, "$", "string")), F.when(_is(kind, "number"), F.try_variant_get(v, "$", "double"))
+    if isinstance(schema.get("minLength"), int):
+        found.append(_problem(F.length(text) < schema["minLength"], at.path, f"shorter than {schema['minLength']}"))
+    if isinstance(schema.get("pattern"), str):
+        found.append(_problem(~text.rlike(schema["pattern"]), at.path, f"does not match {schema['pattern']}"))
+    bounds = []
+    if "minimum" in schema:
+        bounds.append(lambda n: _problem(n < float(schema["minimum"]), at.path, f"below {schema['minimum']}"))
+    if "maximum" in schema:
+        bounds.append(lambda n: _problem(n > float(schema["maximum"]), at.path, f"above {schema['maximum']}"))
+    if bounds:
+        found.append(let(number, lambda n: _joined([bound(n) for bound in bounds])))
+    return found
+
+
 def check_record_contract(df: DataFrame, key: str, json_col: str, schema: dict) -> DataFrame:
     """(key, path, message): a row for each problem; JSON that can't be parsed has one."""
     back = leading_back(schema)
-    whole = df.select(F.col(key).alias("key"), F.try_parse_json(json_col).alias("value"))
+    whole = df.select(F.col(key).alias("key"), F.col(json_col).alias("text"), F.try_parse_json(json_col).alias("value"))
+    value = F.col("value")
     bad = F.array(F.struct(F.lit("").alias("path"), F.lit("not JSON").alias("message")))
-    judged = lambda problems: F.when(F.col("value").isNull(), bad).otherwise(problems)
+    judged = lambda problems: F.when(value.isNull(), bad).otherwise(problems)
     if not back:
-        walk = Walk(schema, back, 0, lambda ref, v, path: _none())
-        return whole.select(F.col("key").alias(key), F.inline(judged(compile_schema(schema, F.col("value"), F.lit(""), walk))))
+        return whole.select(F.col("key").alias(key), F.inline(judged(compile_schema(schema, Place(value, F.lit("")), Walk(schema, back, 0, None)))))
+    if not back_in_branches(schema, back):
+        return whole.select(F.col("key").alias(key), F.inline(judged(_by_levels(schema, back, value, F.col("text")))))
 
     # How often what leads back is followed in one expression, so that it stops at some STOPS places at most.
     wide = max(_stops(schema, ref, back) for ref in back)
     times = next(t for t in range(1, 65) if wide ** (t + 1) > STOPS or t == STOPS)
-    value, path = F.col("value"), F.col("path")
-    known = lambda ref, v, p: F.coalesce(F.try_element_at("below", F.concat(F.lit(f"{ref} "), p)), _none())
+    known = lambda ref, place: F.coalesce(F.try_element_at("below", F.concat(F.lit(f"{ref} "), place.path)), _none())
+    at = Place(value, F.col("path"))
     walk = Walk(schema, back, times, known)
 
     def by_ref(use: Callable[[dict], Column]) -> Column:
@@ -250,7 +345,7 @@ def check_record_contract(df: DataFrame, key: str, json_col: str, schema: dict)
         return out
 
     def places(s: dict) -> Column:
-        found = compile_parts(s, value, path, walk)
+        found = compile_parts(s, at, walk)
         return F.concat(*found) if found else F.array().cast(PART)
 
     # The whole record is a part of its own, without a reference.
@@ -265,13 +360,46 @@ def check_record_contract(df: DataFrame, key: str, json_col: str, schema: dict)
         places_of = lambda: by_ref(places)
     below = None
     for level in reversed(levels[1:]):
-        judge = by_ref(lambda s: compile_schema(s, value, path, walk))
+        judge = by_ref(lambda s: compile_schema(s, at, walk))
         rows = cut(_with_below(level, below).select("id", "ref", "path", judge.alias("problems")))
         below = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "ref", "path"), "problems"))).alias("below"))
-    problems = judged(compile_schema(schema, value, path, walk))
+    problems = judged(compile_schema(schema, at, walk))
     return _with_below(start, below).select(F.col("key").alias(key), F.inline(problems))
 
 
+def _by_levels(schema: dict, back: set[str], value: Column, text: Column) -> Column:
+    """The problems of a record whose parts are judged each for itself, a level of them at a time."""
+    wide = max(_stops(schema, ref, back) for ref in back)
+    times = next(t for t in range(64) if wide ** (t + 2) > STOPS or t + 1 == STOPS)
+    walk, none = Walk(schema, back, times, None), F.array().cast(PART)
+
+    def behind(ref: str) -> dict:
+        """A part's schema, so that where its walk stops lies deeper in the value."""
+        s = target_of(schema, ref)
+        while "$ref" in s:
+            s = target_of(schema, s["$ref"])
+        return s
+
+    def each(at: Column, use: Callable[[dict, Place], Column], otherwise: Column) -> Column:
+        def judged(part: Column) -> Column:
+            out = otherwise
+            for ref in sorted(back | {"#"}):
+                out = F.when(part["ref"] == ref, use(behind(ref), Place(part["value"], part["path"]))).otherwise(out)
+            return out
+
+        return F.flatten(F.transform(at, judged))
+
+    def next_level(state: Column, _: Column) -> Column:
+        problems = _joined([state["problems"], each(state["at"], lambda s, place: compile_schema(s, place, walk), _none())])
+        deeper = each(state["at"], lambda s, place: F.flatten(F.array(none, *compile_parts(s, place, walk))), none)
+        return F.when(F.size(state["at"]) == 0, state).otherwise(F.struct(problems.alias("problems"), deeper.alias("at")))
+
+    record = F.array(F.struct(F.lit("#").alias("ref"), F.lit("").alias("path"), value.alias("value"))).cast(PART)
+    # Each level lies deeper in the value, so there are no more of them than brackets are opened, and the record's own.
+    levels = F.array_repeat(F.lit(0), F.regexp_count(text, F.lit(r"[\[{]")) + 1)
+    return F.aggregate(levels, F.struct(_none().alias("problems"), record.alias("at")), next_level, lambda state: state["problems"])
+
+
 def _with_below(level: DataFrame, below: DataFrame | None) -> DataFrame:
     none = F.lit(None).cast(f"map<string,{PROBLEM}>").alias("below")
     return level.select("*", none) if below is None else level.join(below, "id", "left")

@@ -193,6 +193,16 @@ def test_contract(spark, json, paths):
     assert sorted(r["path"] for r in rows) == paths
 
 
+def test_contracts_of_keys_with_marks(spark):
+    import json
+
+    keys = ["it's", 'a "b"', "q.r[0]", "w?", "' and \""]
+    schema = {"required": [*keys, "", "?.", "n"], "properties": {key: {"type": "integer"} for key in keys}}
+    rows = [(1, json.dumps(dict.fromkeys([*keys, "", "?.", "n"], 1))), (2, json.dumps(dict.fromkeys(keys, "x"))), (3, "{}")]
+    got = contracts.check_record_contract(spark.createDataFrame(rows, "k long, j string"), "k", "j", schema).collect()
+    assert sorted((r["k"], r["path"]) for r in got) == sorted([(2, "")] * 3 + [(2, f"/{key}") for key in keys] + [(3, "")] * 8)
+
+
 def test_deep_contracts(spark):
     import json
 
@@ -270,6 +280,66 @@ def test_recursive_contracts_equal_a_walk_of_each_record(spark):
         contracts.check_record_contract(df, "k", "j", {"anyOf": [{"type": "string"}, {"$ref": "#"}]})
 
 
+def test_recursive_contracts_without_branches_take_one_pass(spark, monkeypatch):
+    """Parts in arrays and members, references to references, to the root and under plain names, on records of many levels: no table between, small expressions."""
+    import json
+
+    schema = {
+        "$ref": "#/$defs/node",
+        "$defs": {
+            "node": {"type": "object", "required": ["v", "w"], "properties": {"v": {"type": "integer", "minimum": 2, "maximum": 9}, "kids": {"type": "array", "maxItems": 2, "items": {"$ref": "#/$defs/node"}}, "next": {"$ref": "#/$defs/next"}, "in": {"type": "object", "required": ["next"], "properties": {"next": {"$ref": "#/$defs/next"}}}}},
+            "next": {"$ref": "#/$defs/more"},
+            "more": {"type": "array", "items": {"$ref": "#"}},
+        },
+    }
+    rng = random.Random(7)
+
+    def made(depth):
+        if rng.random() < 0.05:
+            return rng.choice([None, 5, "{[{[", [], [{"v": 1}], True])
+        v = {"v": rng.choice([2, 3, 3.0, 9, 1, 10, 2.5, "3", None])} | ({"w": None} if rng.random() < 0.9 else {})
+        if depth:
+            v |= {"kids": [made(depth - 1) for _ in range(rng.choice([0, 1, 2, 3]))]} if rng.random() < 0.6 else {}
+            v |= {"next": rng.choice([[made(depth - 1)], [], None, 3])} if rng.random() < 0.5 else {}
+            v |= {"in": rng.choice([{"next": [made(depth - 1)]}, {}, None, []])} if rng.random() < 0.5 else {}
+        return v
+
+    whole = lambda x: isinstance(x, int | float) and not isinstance(x, bool) and x == int(x)
+
+    def node(v, path):
+        if not isinstance(v, dict):
+            return [path]
+        out = [path for k in ("v", "w") if k not in v]
+        if "v" in v and not (whole(v["v"]) and 2 <= v["v"] <= 9):
+            out.append(f"{path}/v")
+        if len(v.get("kids", [])) > 2:
+            out.append(f"{path}/kids")
+        out += [p for i, kid in enumerate(v.get("kids", [])) for p in node(kid, f"{path}/kids/{i}")]
+        out += more(v["next"], f"{path}/next") if "next" in v else []
+        if "in" in v and not (isinstance(v["in"], dict) and "next" in v["in"]):
+            out.append(f"{path}/in")
+        elif "in" in v:
+            out += more(v["in"]["next"], f"{path}/in/next")
+        return out
+
+    def more(v, path):
+        return [p for i, x in enumerate(v) for p in node(x, f"{path}/{i}")] if isinstance(v, list) else [path]
+
+    chain = {"v": 1, "w": 0}
+    for i in range(300):
+        chain = {"v": 2 + i % 9, "w": 0, "in": {"next": [chain]}}
+    records = [(i, made(7)) for i in range(200)] + [(200, chain), (201, 5)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records] + [(202, "{"), (203, None)], "k long, j string")
+    monkeypatch.setattr(contracts, "cut", None)
+    for stops in (8, 1, 100):
+        monkeypatch.setattr(contracts, "STOPS", stops)
+        found = contracts.check_record_contract(df, "k", "j", schema)
+        if stops == 8:
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("variant_get") < 200
+        got = sorted((r["k"], r["path"]) for r in found.collect())
+        assert got == sorted([(i, p) for i, r in records for p in node(r, "")] + [(202, ""), (203, "")])
+
+
 def outcomes(spark, rows):
     return spark.createDataFrame([("blind", *r) for r in rows], "stage string, comparison_key string, tier string, outcome string")
 
